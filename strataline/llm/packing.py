@@ -146,12 +146,13 @@ class _Bins:
             self.list_bin(b)
 
 
-def pack(sizes: np.ndarray, capacity: int = CAPACITY, tries: int = 400) -> np.ndarray:
+def pack(sizes: np.ndarray, capacity: int = CAPACITY, tries: int = 20) -> np.ndarray:
     """A bin number for each item of 1..capacity, in as few bins as found.
 
     Best fit decreasing, then local search: the emptiest underfull bins give items to fuller ones, by a
     move, a one-for-one or a two-for-one exchange. Every step raises the sum of squared fills, so the
-    search ends; it also ends when the bins reach the lower bound ceil(total / capacity).
+    search ends; it also ends when the bins reach the lower bound ceil(total / capacity) when no
+    bin can give anything, or after ``tries`` exchanges for each bin that best fit left underfull.
     """
     bins, size = _Bins(capacity), sizes.tolist()
     for item in np.argsort(-sizes, kind="stable").tolist():
@@ -162,20 +163,18 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY, tries: int = 400) -> np.nd
             bins.items.append([])
             bins.gap.append(capacity)
         bins.put(b, item, s)
-    bound, used, stale = -(-int(sizes.sum()) // capacity), len(bins.items), 0
-    skipped: set[int] = set()
-    while used > bound and stale < tries:
-        donor = _emptiest(bins, skipped)
+    bound, used = -(-int(sizes.sum()) // capacity), len(bins.items)
+    skipped: set[int] = set()  # bins that could give nothing since they last changed
+    for _ in range(tries * sum(map(len, bins.by_gap.values()))):
+        donor = _emptiest(bins, skipped) if used > bound else -1
         if donor < 0:
             break
-        if _improve(bins, donor, size):
-            stale = 0
-            skipped.clear()
-            if not bins.items[donor]:
-                used -= 1
-        else:
-            stale += 1
+        partner = _improve(bins, donor, size)
+        if partner < 0:
             skipped.add(donor)
+        else:
+            skipped.discard(partner)
+            used -= not bins.items[donor]
     out = np.zeros(len(size), np.int64)
     for k, b in enumerate(x for x in bins.items if x):
         out[b] = k
@@ -193,8 +192,8 @@ def _emptiest(bins: _Bins, skipped: set[int]) -> int:
     return -1
 
 
-def _improve(bins: _Bins, donor: int, size: list[int]) -> bool:
-    """One exchange after which the donor is emptier and the partner fuller; False if there is none."""
+def _improve(bins: _Bins, donor: int, size: list[int]) -> int:
+    """One exchange after which the donor is emptier and the partner fuller: the partner, or -1."""
     mine = sorted(bins.items[donor], key=size.__getitem__, reverse=True)
     fill = bins.capacity - bins.gap[donor]
     bins.unlist(donor)
@@ -204,32 +203,31 @@ def _improve(bins: _Bins, donor: int, size: list[int]) -> bool:
                 bins.put(b, item, size[item])
                 bins.items[donor].remove(item)
                 bins.gap[donor] += size[item]
-                return True
-        pairs = [(size[x], (x,)) for x in mine] + [(size[x] + size[y], (x, y)) for i, x in enumerate(mine[:24]) for y in mine[i + 1 : 24]]
+                return b
+        give = {size[x] + size[y]: (x, y) for i, x in enumerate(mine) for y in mine[i + 1 : i + 33]} | {size[x]: (x,) for x in mine}
+        totals = sum(1 << t for t in give)  # bit t is set when the donor can give t tokens in one or two items
         left = bins.gaps
-        while left:  # exchange with bins of each gap, least gap first
+        while left:  # partners from the fullest on: squared fill rises only if the partner is the fuller one
             g = (left & -left).bit_length() - 1
             left &= left - 1
-            for b in list(bins.by_gap[g])[:64]:
-                if bins.capacity - g < fill:
-                    continue  # the partner must be the fuller one, else squared fill would fall
-                have = {size[x]: x for x in bins.items[b]}
-                for total, give in pairs:
-                    for gain in range(min(g, total - 1), 0, -1):
-                        back = have.get(total - gain)
-                        if back is None:
-                            continue
+            if bins.capacity - g < fill:
+                break
+            for b in bins.by_gap[g]:
+                for back in bins.items[b]:
+                    if fits := totals >> (size[back] + 1) & ((1 << g) - 1):
+                        gain = fits.bit_length()
+                        moved = give[size[back] + gain]
                         bins.unlist(b)
                         bins.items[b].remove(back)
-                        bins.items[b].extend(give)
+                        bins.items[b].extend(moved)
                         bins.gap[b] -= gain
                         bins.list_bin(b)
-                        for x in give:
+                        for x in moved:
                             bins.items[donor].remove(x)
                         bins.items[donor].append(back)
                         bins.gap[donor] += gain
-                        return True
-        return False
+                        return b
+        return -1
     finally:
         if bins.items[donor]:
             bins.list_bin(donor)
