@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from strataline.llm.common import table
 from strataline.llm.exact_dedup import exact_dedup
+from strataline.llm.fingerprints import edited_fingerprints
 from strataline.llm.jaccard_join import jaccard_classes
 from strataline.llm.packing import pack_documents
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -22,7 +27,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op7_ngram_jaccard_join, op9_exact_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op7_ngram_jaccard_join, op9_exact_dedup, op10_best_fit_packing)}
 
 ORACLES = {
     "op7_ngram_jaccard_join": r"""
