@@ -2,19 +2,46 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from strataline.llm.common import table
 from strataline.llm.exact_dedup import exact_dedup
 from strataline.llm.fingerprints import edited_fingerprints
 from strataline.llm.jaccard_join import jaccard_classes
+from strataline.llm.language_id import identify_languages, learn_language_model
 from strataline.llm.packing import pack_documents
+from strataline.llm.quality import learn_quality, score_quality
+from strataline.llm.toxicity import learn_toxicity, tag_toxicity
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def _held_out(id_col: str = "doc_id") -> Column:
+    """True for the fifth of the documents that models never learn from."""
+    return F.crc32(F.col(id_col).cast("string")) % 5 == 0
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn_language_model(docs.where(~_held_out()))
+    return identify_languages(docs.select("doc_id", _held_out().alias("held_out"), "text"), model).drop("text", "coverage")
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    network = learn_quality(docs, table(spark, sf_dir, "labels").where(~_held_out()))
+    return score_quality(docs.select("doc_id", _held_out().alias("held_out"), "text"), network).drop("text")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = learn_toxicity(docs, table(spark, sf_dir, "labels").where(~_held_out()))
+    return tag_toxicity(docs.select("doc_id", _held_out().alias("held_out"), "text"), model).drop("text", "spans")
+
+
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
@@ -27,7 +54,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op7_ngram_jaccard_join, op9_exact_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op4_quality_classifier, op6_toxicity, op7_ngram_jaccard_join, op9_exact_dedup, op10_best_fit_packing)}
 
 ORACLES = {
     "op7_ngram_jaccard_join": r"""
