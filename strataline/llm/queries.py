@@ -10,9 +10,12 @@ from strataline.llm.exact_dedup import exact_dedup
 from strataline.llm.fingerprints import edited_fingerprints
 from strataline.llm.jaccard_join import jaccard_classes
 from strataline.llm.language_id import identify_languages, learn_language_model
+from strataline.llm.license_scan import scan_licenses
 from strataline.llm.packing import pack_documents
 from strataline.llm.quality import learn_quality, score_quality
+from strataline.llm.sentencepiece_codec import round_trip
 from strataline.llm.toxicity import learn_toxicity, tag_toxicity
+from strataline.llm.url_filter import filter_urls
 
 
 def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,12 +33,21 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(docs.select("doc_id", _held_out().alias("held_out"), "text"), model).drop("text", "coverage")
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded with merge-dropout and decoded again: ids by count and checksum, text by hash."""
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     network = learn_quality(docs, table(spark, sf_dir, "labels").where(~_held_out()))
     return score_quality(docs.select("doc_id", _held_out().alias("held_out"), "text"), network).drop("text")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn_toxicity(docs, table(spark, sf_dir, "labels").where(~_held_out()))
@@ -46,6 +58,14 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_classes(table(spark, sf_dir, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences of documents as files ``source/d<id div 100>/...``; short ones with a licence line are licence files."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    name = F.when((F.length("text") < 400) & F.lower("text").contains("licens"), F.concat(F.lit("LICENSE."), F.col("doc_id"))).otherwise(F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".txt")))
+    path = F.concat(F.coalesce("source", F.lit("none")), F.lit("/d"), F.floor(F.col("doc_id") / 100).cast("string"), F.lit("/"), name)
+    return scan_licenses(docs.select("doc_id", path.alias("path"), "text")).drop("text")
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), carry=False)
 
@@ -54,7 +74,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op4_quality_classifier, op6_toxicity, op7_ngram_jaccard_join, op9_exact_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_sentencepiece, op4_quality_classifier, op5_url_filter, op6_toxicity, op7_ngram_jaccard_join, op8_license_scan, op9_exact_dedup, op10_best_fit_packing)}
 
 ORACLES = {
     "op7_ngram_jaccard_join": r"""
