@@ -24,10 +24,12 @@ from strataline.llm.common import mix64, pieces_of, prepare, quoted, text_of
 NGRAMS = (2, 3, 4)
 SLOTS, HASHES = 1 << 18, 3
 #: Texts that the model is learned from, per language: the only bound; a text is taken whole.
-SAMPLE_PER_LANGUAGE = 800
+SAMPLE_PER_LANGUAGE = 400
 #: Languages that a model can tell apart (the width of a mask).
 MOST_LANGUAGES = 64
 TYPICAL = 0.02
+#: Characters whose n-grams the learner holds at once.
+LEARN_CHARS = 200_000
 SLICE_BYTES = 2 << 20
 UNDETERMINED = "und"
 
@@ -100,16 +102,23 @@ class LanguageModel:
     @classmethod
     def learn(cls, texts: list[str], languages: list[str]) -> LanguageModel:
         names = sorted(set(languages))[:MOST_LANGUAGES]
-        grams, owner = ngrams(texts)
+        if not names:
+            return cls([], np.zeros(SLOTS, np.uint64), np.zeros(0))
         lang = np.array([names.index(x) if x in names else -1 for x in languages])
-        values, code = np.unique(grams, return_inverse=True)
-        count = np.zeros((len(names), len(values)))
-        docs = np.zeros((len(names), len(values)))
-        pairs = np.unique(code.astype(np.int64) * max(1, len(texts)) + owner)
-        pair_code, pair_owner = pairs // max(1, len(texts)), pairs % max(1, len(texts))
-        for k in range(len(names)):
-            count[k] = np.bincount(code[lang[owner] == k], minlength=len(values))
-            docs[k] = np.bincount(pair_code[lang[pair_owner] == k], minlength=len(values)) / max(1, (lang == k).sum())
+        found, number, rows = [], [], []
+        sizes = np.cumsum([len(t) for t in texts]) // LEARN_CHARS if texts else np.zeros(0, int)
+        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):  # slices bound the memory
+            grams, owner = ngrams([texts[i] for i in part])
+            values, code = np.unique(grams, return_inverse=True)
+            pairs = np.unique(code.astype(np.int64) * max(1, len(part)) + owner)
+            pair_code, pair_owner = pairs // max(1, len(part)), pairs % max(1, len(part))
+            found.append(values)
+            number.append(np.stack([np.bincount(code[lang[part][owner] == k], minlength=len(values)) for k in range(len(names))]) if len(part) else np.zeros((len(names), 0)))
+            rows.append(np.stack([np.bincount(pair_code[lang[part][pair_owner] == k], minlength=len(values)) for k in range(len(names))]) if len(part) else np.zeros((len(names), 0)))
+        values, code = np.unique(np.concatenate(found), return_inverse=True)
+        number, rows = np.concatenate(number, 1), np.concatenate(rows, 1)
+        count = np.stack([np.bincount(code, weights=number[k], minlength=len(values)) for k in range(len(names))])
+        docs = np.stack([np.bincount(code, weights=rows[k], minlength=len(values)) / max(1, (lang == k).sum()) for k in range(len(names))])
         share = count / np.maximum(count.sum(1, keepdims=True), 1)
         typical = (docs >= TYPICAL) & (share > share.mean(0)) if len(names) > 1 else docs > 0
         masks = np.zeros(SLOTS, np.uint64)
