@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from strataline.llm.common import kept_columns, mix64, pieces_of, prepare, quoted, text_buffers, text_of
 
 #: Labelled rows that a model is fitted on, for each label: the only bound; texts are taken whole.
-SAMPLE_PER_LABEL = 1500
+SAMPLE_PER_LABEL = 500
 WEIGHTS = 1 << 18
 #: A seed is in at least SEED_ROWS toxic documents and SEED_SHARE of them, and SEED_RATIO times as frequent there as in clean ones.
 SEED_ROWS, SEED_SHARE, SEED_RATIO = 4, 0.03, 8.0
