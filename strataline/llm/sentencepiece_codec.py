@@ -16,7 +16,6 @@ import hashlib
 import heapq
 import re
 import zlib
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -31,7 +30,7 @@ DROPOUT, SEED, VARIANTS = 0.1, 20_240, 4
 CLASSES = (3, 6, 9, 12, 16, 24)
 TABLE, PROBES = 1 << 20, 6
 _SPREAD = 0x9E3779B97F4A7C15
-_NONE = np.int32((1 << 31) - 1)
+_NONE = np.int16((1 << 15) - 1)
 CACHE_WORDS = 300_000
 SLICE_BYTES = 2 << 20
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
@@ -53,27 +52,30 @@ class PieceCodec:
         n = m.get_piece_size()
         plain = [i for i in range(n) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
         self.ids = {m.id_to_piece(i): i for i in plain}
+        if n >= 1 << 15:
+            raise ValueError("tables of merges take up to 32767 pieces")
         byte_ids = {int(m.id_to_piece(i)[1:-1], 16): i for i in range(n) if m.is_byte(i)}
         if len(byte_ids) < 256:
             raise ValueError("the model has no byte pieces, so it cannot encode every text losslessly")
         self.byte_ids = [byte_ids[b] for b in range(256)]
         self.piece = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in byte_ids.items()}
+        self.pieces = [self.piece.get(i, b"") for i in range(n)]
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces reach over words: words cannot be encoded one by one")
-        self.known: list[dict[str, tuple[int, ...]]] = []  # by variant
+        self.known: list[dict[str, bytes]] = []  # by variant
         self.kept_for: tuple = ()
 
         # every pair of pieces that forms a piece: open addressing over 30-bit keys, at most PROBES places away
         pairs = {(self.ids[p[:k]] << 15 | self.ids[p[k:]]): i for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids}
         self.unknown = n
-        self.rank = np.full(n + 1, _NONE, np.int32)
+        self.rank = np.full(n + 1, _NONE, np.int16)
         for r, i in enumerate(sorted(plain, key=lambda i: -m.get_score(i))):
             self.rank[i] = r
-        self.letter = np.full(0x110000, self.unknown, np.int32)
+        self.letter = np.full(0x110000, self.unknown, np.int16)
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.letter[ord(p)] = i
-        self.table_key, self.table_id = np.full(TABLE + PROBES, -1, np.int64), np.full(TABLE + PROBES, n, np.int32)
+        self.table_key, self.table_id = np.full(TABLE + PROBES, -1, np.int64), np.full(TABLE + PROBES, n, np.int16)
         for key, i in pairs.items():
             at = (key * _SPREAD & 0xFFFFFFFFFFFFFFFF) >> 44
             while self.table_key[at] >= 0:
@@ -86,14 +88,14 @@ class PieceCodec:
         """The piece that two pieces form, or the unknown id."""
         key = (a.astype(np.int64) << 15) | b
         at = ((key.astype(np.uint64) * np.uint64(_SPREAD)) >> np.uint64(44)).astype(np.int64)
-        out = np.full(key.shape, self.unknown, np.int32)
+        out = np.full(key.shape, self.unknown, np.int16)
         for k in range(PROBES):
             hit = self.table_key[at + k] == key
             out[hit] = self.table_id[at + k][hit]
         out[(a >= self.unknown) | (b >= self.unknown)] = self.unknown
         return out
 
-    def _segment_class(self, words: list[str], keys: np.ndarray, width: int, bar: int) -> list[tuple[int, ...]]:
+    def _segment_class(self, words: list[str], keys: np.ndarray, width: int, bar: int) -> list[bytes]:
         """Agendas of many words at once: in each round every word merges its best candidate that is not skipped."""
         n = len(words)
         points = np.zeros((n, width), np.uint32)
@@ -101,7 +103,7 @@ class PieceCodec:
         flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         points[np.arange(width) < size[:, None]] = flat
         ids = self.letter[points]
-        place = np.broadcast_to(np.arange(width, dtype=np.int32), (n, width)).copy()
+        place = np.broadcast_to(np.arange(width, dtype=np.int8), (n, width)).copy()
         done_ids, done_place, done_size = ids.copy(), place.copy(), size.copy()
         rows = np.arange(n)
 
@@ -136,13 +138,14 @@ class PieceCodec:
                 new = candidates(ids[line, at], ids[line, at + 1], place[line, at], key, ok)
                 rank[line[ok], at[ok]] = new[ok]
         odd = ((done_ids == self.unknown) & (columns < done_size[:, None])).any(1)
-        out = [tuple(got[:k]) for got, k in zip(done_ids.tolist(), done_size.tolist(), strict=True)]
+        raw, step = done_ids.astype("<u4").tobytes(), 4 * width
+        out = [raw[i * step : i * step + 4 * k] for i, k in enumerate(done_size.tolist())]
         for i in np.flatnonzero(odd).tolist():  # characters outside the vocabulary become their bytes
-            word, where = words[i], done_place[i].tolist()
-            out[i] = tuple(x for p, at in zip(out[i], where, strict=False) for x in ((p,) if p != self.unknown else (self.byte_ids[b] for b in word[at].encode("utf-8", "surrogatepass"))))
+            word, got = words[i], zip(done_ids[i, : done_size[i]].tolist(), done_place[i].tolist(), strict=False)
+            out[i] = _packed(x for p, at in got for x in ((p,) if p != self.unknown else (self.byte_ids[b] for b in word[at].encode("utf-8", "surrogatepass"))))
         return out
 
-    def _segment_long(self, word: str, key: int, bar: int) -> tuple[int, ...]:
+    def _segment_long(self, word: str, key: int, bar: int) -> bytes:
         """The same agenda as a heap, for one word of any length."""
         part: list[str] = list(word)
         n = len(part)
@@ -167,12 +170,12 @@ class PieceCodec:
                 left[right[b]] = a
             propose(left[a], a)
             propose(a, right[a])
-        return tuple(x for p in part if p for x in ((self.ids[p],) if p in self.ids else (self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass"))))
+        return _packed(x for p in part if p for x in ((self.ids[p],) if p in self.ids else (self.byte_ids[b] for b in p.encode("utf-8", "surrogatepass"))))
 
-    def segment_words(self, words: list[str], keys: np.ndarray, rate: float = 0.0) -> list[tuple[int, ...]]:
-        """The ids of each word under its key."""
+    def segment_words(self, words: list[str], keys: np.ndarray, rate: float = 0.0) -> list[bytes]:
+        """The ids of each word under its key, as little-endian 32-bit bytes."""
         bar = int(rate * (1 << 32))
-        out: list[tuple[int, ...]] = [()] * len(words)
+        out: list[bytes] = [b""] * len(words)
         size = np.array([len(w) for w in words])
         low = 0
         for width in CLASSES:
@@ -185,8 +188,8 @@ class PieceCodec:
             out[i] = self._segment_long(words[i], int(keys[i]), bar)
         return out
 
-    def encode_batch(self, texts: list[str], rate: float = 0.0, seed: int = SEED, documents: list[int] | None = None) -> list[list[int]]:
-        """The ids of texts. A space is put before each, as the format does; the mark's own character becomes bytes."""
+    def encode_batch(self, texts: list[str], rate: float = 0.0, seed: int = SEED, documents: list[int] | None = None) -> list[bytes]:
+        """The ids of texts, as little-endian 32-bit bytes. A space is put before each, as the format does; the mark's own character becomes bytes."""
         documents = documents if documents is not None else [0] * len(texts)
         draw = [variant(seed, d) if rate else 0 for d in documents]
         if self.kept_for != (rate, seed) or sum(map(len, self.known)) > CACHE_WORDS:
@@ -201,26 +204,22 @@ class PieceCodec:
             keys = mix64(np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) << 8 | v for v, w in todo], np.uint64) + np.uint64(seed * _SPREAD & 0xFFFFFFFFFFFFFFFF))
             for (v, w), ids in zip(todo, self.segment_words([w for _, w in todo], keys, rate), strict=True):
                 self.known[v][w] = ids
-        mark = [tuple(self.byte_ids[b] for b in MARK.encode())]
-        out = []
-        for parts, v in zip(split, draw, strict=True):
-            ids, known = [], self.known[v]
-            for k, words in enumerate(parts):
-                if k:
-                    ids.extend(mark[0])
-                ids.extend(chain.from_iterable([known[w] for w in words]))
-            out.append(ids)
-        return out
+        mark = _packed(self.byte_ids[b] for b in MARK.encode())
+        return [mark.join([b"".join(map(self.known[v].__getitem__, words)) for words in parts]) for parts, v in zip(split, draw, strict=True)]
 
     def encode(self, text: str, rate: float = 0.0, seed: int = SEED, document: int = 0) -> list[int]:
-        return self.encode_batch([text], rate, seed, [document])[0]
+        return np.frombuffer(self.encode_batch([text], rate, seed, [document])[0], "<u4").tolist()
 
     def decode(self, ids) -> str:
         """The text of ids: pieces and bytes in order, without the space that encoding put first."""
-        data = b"".join(self.piece.get(int(i), b"") for i in ids)
+        data = b"".join(map(self.pieces.__getitem__, np.asarray(ids, np.int64).tolist()))
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+def _packed(ids) -> bytes:
+    return np.fromiter(ids, "<u4").tobytes()
+
+
 def skipped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, bar: int) -> np.ndarray:
     """Whether a word's candidate for ``piece`` at ``place`` is skipped: a keyed hash below the bar."""
     x = key + place.astype(np.uint64) * np.uint64(0x9FB21C651E98DF25) + piece.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
@@ -255,7 +254,7 @@ def encode_documents(docs: DataFrame, model: str | None = None, rate: float = DR
         codec = PieceCodec(path)
         for batch in batches:
             for part in pieces_of(batch, SLICE_BYTES):
-                ids = codec.encode_batch(part.column("text").to_pylist(), rate, seed, part.column("key").to_pylist())
+                ids = [np.frombuffer(x, "<i4") for x in codec.encode_batch(part.column("text").to_pylist(), rate, seed, part.column("key").to_pylist())]
                 yield pa.RecordBatch.from_arrays([*(part.column(f) for f in flat), pa.array(ids, pa.list_(pa.int32()))], [*flat, "ids"])
 
     return _mapped(docs, text_of(quoted(text_col)), F.coalesce(F.col(quoted(id_col)).cast("long"), F.lit(0)), "ids", T.ArrayType(T.IntegerType()), work)
@@ -291,8 +290,8 @@ def round_trip(docs: DataFrame, model: str | None = None, rate: float = DROPOUT,
                 out = [[], [], [], []]
                 texts, docs_ = part.column("text").to_pylist(), [d or 0 for d in part.column("id").to_pylist()]
                 for text, ids in zip(texts, codec.encode_batch(texts, rate, seed, docs_), strict=True):
-                    back = codec.decode(ids)
-                    for column, x in zip(out, (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), hashlib.sha256(back.encode()).hexdigest(), back == text), strict=True):
+                    back = codec.decode(np.frombuffer(ids, "<u4"))
+                    for column, x in zip(out, (len(ids) // 4, zlib.crc32(ids), hashlib.sha256(back.encode()).hexdigest(), back == text), strict=True):
                         column.append(x)
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.string()), pa.array(out[3], pa.bool_())], ["doc_id", "n_ids", "ids_crc32", "decoded_sha256", "lossless"])
 
