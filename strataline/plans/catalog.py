@@ -12,6 +12,7 @@ from strataline.operators import warnings as W
 from strataline.operators.signals import adoption, breaking, churn, fix_chain, ownership, revert, stability
 from strataline.operators.signals import pipeline as S
 from strataline.sources import fixtures as X
+from strataline.sources.scratch import materialized
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -119,7 +120,8 @@ def stats_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
-    rows = X.history(spark, sf_dir)
+    """The history as a table, as the engine keeps it, and its newest instant as the clock."""
+    rows = materialized(X.history(spark, sf_dir), "history", ("chunk_type",))
     return rows, H.latest(rows.where("chunk_type = 'commit_summary'"))
 
 
@@ -283,7 +285,7 @@ def signal_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _signals(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, DataFrame, Column]:
     rows, as_of = _history(spark, sf_dir)
-    return S.detect(rows, as_of, names=names or None), rows, as_of
+    return materialized(S.detect(rows, as_of, names=names or None), "signals"), rows, as_of
 
 
 #: The detectors' tables without the class look-up that they share: fix chains, reverts, breaking changes, shifts.
@@ -333,7 +335,7 @@ profile AS (SELECT path, CASE WHEN pct >= 30 THEN author END AS owner, CASE WHEN
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, rows, _ = _signals(spark, sf_dir, "revert", "fix_chain")
-    return P.file_profiles(rows, found)
+    return materialized(P.file_profiles(rows, found), "profiles")
 
 
 def _flat_profiles(df: DataFrame) -> DataFrame:
@@ -377,4 +379,169 @@ UNION ALL SELECT severity, 'pattern', CASE severity WHEN 'warning' THEN 0 ELSE 1
 @query(with_base(PROFILE_SQL, WARNINGS_SQL))
 def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, rows, as_of = _signals(spark, sf_dir, "revert", "fix_chain")
-    return W.warnings(P.file_profiles(rows, found), found.where("type = 'fix_chain'"), as_of, "refactor").select("severity", "category", "rank", "message")
+    return W.warnings(materialized(P.file_profiles(rows, found), "profiles"), found.where("type = 'fix_chain'"), as_of, "refactor").select("severity", "category", "rank", "message")
+
+
+# --- assessment -----------------------------------------------------------------------------------
+
+ASKED = ("src/brand_2/economy/part_0.ts", "src/brand_7/small/part_9.ts")
+
+
+def _asked(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in ASKED], "path string")
+
+
+ASSESSED = " WHERE " + " OR ".join(f"starts_with(path, '{p.rpartition('/')[0]}/')" for p in ASKED)
+
+
+@query(with_base(PROFILE_SQL, PROFILE_ROWS + ASSESSED))
+def assess(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.plans.assess import assess as run
+
+    found, rows, as_of = _signals(spark, sf_dir, "revert", "fix_chain")
+    return _flat_profiles(run(materialized(P.file_profiles(rows, found), "profiles"), found, _asked(spark), as_of).file_profiles)
+
+
+@query(with_base(PROFILE_SQL, f"SELECT id FROM (SELECT id, directory_scope FROM rv UNION SELECT id, directory_scope FROM fx) WHERE directory_scope IN ({', '.join(repr(p.rpartition('/')[0]) for p in ASKED)}, '.')"))
+def assess_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.plans.assess import signals_for
+
+    return signals_for(_signals(spark, sf_dir, "revert", "fix_chain")[0], _asked(spark)).select("id")
+
+
+@query(with_base(PROFILE_SQL, "SELECT owner AS author, path, owner_percentage AS percentage FROM profile WHERE owner IS NOT NULL AND (" + ASSESSED.removeprefix(" WHERE ") + ")"))
+def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.plans.assess import owners_of, profiles_for
+
+    return owners_of(profiles_for(_profiles(spark, sf_dir), _asked(spark))).select("author", "path", F.col("percentage").cast("long"))
+
+
+# --- vectors --------------------------------------------------------------------------------------
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
+    rows = X.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("sha"), F.concat(F.lit("file_"), F.col("label").cast("string")).alias("file_path"), F.timestamp_seconds(F.col("vec_id")).alias("ts"), F.lit("file_diff").alias("chunk_type"), F.col("embedding").alias("vector"))
+    first = rows.where("id = 0").select("vector").first()
+    return rows, [float(x) for x in first[0]] if first else [1.0]
+
+
+COSINE_SQL = "WITH q AS (SELECT embedding::DOUBLE[] AS qv FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS id, label, list_cosine_similarity(embedding::DOUBLE[], qv) AS score FROM embeddings, q)"
+
+
+@query(f"{COSINE_SQL} SELECT id, round(score, 6) AS score FROM s ORDER BY s.score DESC, id LIMIT 10")
+def vector_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.operators import vector as V
+
+    return V.top_k(*_vectors(spark, sf_dir), 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"{COSINE_SQL} SELECT id, round(score, 6) AS score FROM s WHERE label = 3 ORDER BY s.score DESC, id LIMIT 5")
+def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.operators import vector as V
+
+    rows, q = _vectors(spark, sf_dir)
+    return V.search_history(rows, q, 5, V.history_filter(file="file_3")).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"{COSINE_SQL} SELECT id, round(score, 6) AS score FROM (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, id) = 1) t ORDER BY t.score DESC, id LIMIT 5")
+def vector_topk_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.operators import vector as V
+
+    rows, q = _vectors(spark, sf_dir)
+    return V.search_history(rows, q, 5, unique_commits=True).select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"{COSINE_SQL} SELECT id, row_number() OVER (ORDER BY id DESC) AS place FROM (SELECT * FROM s ORDER BY score DESC, id LIMIT 10)")
+def vector_topk_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    from strataline.operators import vector as V
+
+    rows, q = _vectors(spark, sf_dir)
+    hits = V.search_history(rows, q, 10, sort="date")  # ten rows, so the window is one small task
+    return hits.select("id", F.row_number().over(Window.orderBy(F.desc("ts"))).cast("long").alias("place"))
+
+
+@query(f"{COSINE_SQL}, hits AS (SELECT id AS hit_id, label FROM s ORDER BY score DESC, id LIMIT 5) SELECT hit_id, row_number() OVER (PARTITION BY hit_id ORDER BY score DESC, id) AS rank, id, round(score, 6) AS score FROM hits JOIN s USING (label) QUALIFY rank <= 3")
+def explain_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.plans.assess import explain
+
+    rows, q = _vectors(spark, sf_dir)
+    return explain(rows, rows, q, q)[1].select("hit_id", F.col("rank").cast("long"), "id", F.round("score", 6).alias("score"))
+
+
+# --- table mutation -------------------------------------------------------------------------------
+
+
+@query(with_base("", "SELECT file_path AS path, count(*) AS changes FROM diffs WHERE author = 'BUILDING' GROUP BY 1 UNION ALL SELECT file_path, -count(*) FROM diffs WHERE author <> 'BUILDING' AND file_path NOT IN (SELECT file_path FROM diffs WHERE author = 'BUILDING') GROUP BY 1"))
+def upsert_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.sources.store import upserted
+
+    rows = H.file_diffs(X.history(spark, sf_dir))
+    count = lambda df, sign: df.groupBy(F.col("file_path").alias("path")).agg((F.count("*") * sign).alias("changes"))
+    return upserted(count(rows.where("author <> 'BUILDING'"), -1), count(rows.where("author = 'BUILDING'"), 1), "path")
+
+
+@query(with_base("", "SELECT count(*) AS n, count(DISTINCT file_path) AS files FROM diffs WHERE file_path NOT IN (SELECT file_path FROM diffs WHERE commit_type = 'fix' AND seq < 1000)"))
+def delete_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.sources.store import without
+
+    rows = H.file_diffs(X.history(spark, sf_dir))
+    return without(rows, rows.where("commit_type = 'fix' AND seq < 1000").select("file_path"), "file_path").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("files"))
+
+
+@query(with_base("", "SELECT sha FROM summaries WHERE seq < 2000"))
+def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.sources.store import without
+
+    rows = H.summaries(X.history(spark, sf_dir)).select("sha", "seq")
+    old, new = rows.where("seq < 1000"), rows.where("seq >= 500 AND seq < 2000")
+    return old.unionByName(without(new, old, "sha")).select("sha")
+
+
+@query(with_base(ALL_SQL, "SELECT id, 'churn_hotspot' AS type FROM churn UNION ALL SELECT id, 'stability_shift' FROM st"))
+def signals_replace_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.sources.store import replaced_types
+
+    found, _, _ = _signals(spark, sf_dir, "churn", "stability")
+    old = found.withColumn("id", F.when(F.col("type") == "churn_hotspot", F.concat(F.lit("old"), F.col("id"))).otherwise(F.col("id")))
+    return replaced_types(old, found.where("type = 'churn_hotspot'"), ["churn_hotspot", "ownership"]).select("id", "type")
+
+
+# --- code -----------------------------------------------------------------------------------------
+
+FILES_SQL = "files AS (SELECT source || '/doc_' || doc_id || '.' || ['ts', 'py', 'rb', 'tsx'][doc_id % 4 + 1] AS path, coalesce(text, '') AS content, doc_id % 4 AS kind FROM documents)"
+
+
+def _code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.operators.chunkers.code import chunk_files
+
+    return chunk_files(X.code_files(spark, sf_dir))
+
+
+@query(f"WITH {FILES_SQL}, n AS (SELECT *, len(string_split(content, chr(10))) AS lines FROM files) SELECT left(sha256(path || ':1:' || lines), 16) AS id, path AS file_path, 'other' AS chunk_type, lines AS line_end, ['typescript', 'python', 'ruby', 'tsx'][kind + 1] AS language FROM n")
+def code_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _code(spark, sf_dir).select("id", "file_path", "chunk_type", F.col("line_end").cast("long"), "language")
+
+
+@query(f"WITH {FILES_SQL} SELECT count(*) AS total_chunks, count(DISTINCT path) AS files FROM files")
+def stats_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.sources.store import code_stats
+
+    return code_stats(_code(spark, sf_dir))
+
+
+@query(f"WITH {FILES_SQL} SELECT path, CASE string_split(path, '/')[1] WHEN 'src1' THEN 'one' WHEN 'src2' THEN 'unknown' ELSE 'root' END AS package_name FROM files")
+def package_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.sources.files import package_names as run
+
+    manifests = spark.createDataFrame([("src1/package.json", '{"name": "one"}'), ("src2/package.json", "not json")], "path string, content string")
+    return run(X.code_files(spark, sf_dir), manifests).select("path", "package_name")
+
+
+@query()
+def embed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.operators.embed import HashingEmbedder, with_vectors
+
+    rows = X.read(spark, sf_dir, "documents").select("doc_id", "text")
+    return with_vectors(rows, "text", HashingEmbedder(64)).select("doc_id", F.size("vector").alias("dimension"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
