@@ -64,7 +64,8 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     owner_end = np.cumsum(sizes + 1)  # joined[1 : owner_end[0]] is the first text
     c = np.where(c < len(letter), c, 0)
     is_letter = letter[c]
-    keep = is_letter | np.concatenate([[True], is_letter[:-1]])  # one space after each word
+    keep = is_letter | np.concatenate([[True], is_letter[:-1]])  # one space after each word, and one before each text
+    keep[owner_end] = True
     code = np.where(is_letter, lower[c], 0x20)[keep].astype(np.uint64)
     at = np.searchsorted(np.flatnonzero(keep), np.concatenate([[0], owner_end]))
     out, owner = [], []
@@ -79,7 +80,8 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         inner = np.ones(m, bool)
         for j in range(1, n - 1):
             inner &= word[j : j + m]  # a space only at either end
-        inner &= word[:m] | word[n - 1 : n - 1 + m]
+        if n == 2:
+            inner &= word[:m] | word[1 : 1 + m]
         found = np.flatnonzero(inner)
         out.append(mix64(value[found]))
         owner.append(np.searchsorted(at, found, "right") - 1)

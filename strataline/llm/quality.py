@@ -106,7 +106,7 @@ class ByteNetwork:
         return [g_conv, g_lift, g_top]
 
     def fit(self, body: np.ndarray, offsets: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> ByteNetwork:
-        """Adam on batches of about BATCH_BYTES bytes; both labels weigh alike if the sample has them alike."""
+        """Adam on batches of BATCH_BYTES bytes at most; both labels weigh alike if the sample has them alike."""
         if not len(y) or y.min() == y.max():
             self.lift[:], self.top[:] = 0, 0
             self.prior = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0
@@ -115,9 +115,10 @@ class ByteNetwork:
         one, two = ([np.zeros_like(p) for p in params] for _ in range(2))
         r, step = np.random.default_rng(seed), 0
         sizes = np.diff(offsets)
+        batch = int(np.clip(sizes.sum() // 24, 1, BATCH_BYTES))  # two dozen steps an epoch on small samples
         for epoch in range(epochs):
             order = r.permutation(len(y))
-            cuts = np.flatnonzero(np.diff(np.cumsum(sizes[order]) // BATCH_BYTES)) + 1
+            cuts = np.flatnonzero(np.diff(np.cumsum(sizes[order]) // batch)) + 1
             for rows in np.split(order, cuts):
                 if not len(rows):
                     continue

@@ -8,7 +8,7 @@ neighbours, plus transition and start weights; training maximises the likelihood
 Scoring is exact forward-backward over each whole document: a step of a two-state chain is a fractional
 linear map of the ratio of its two forward weights, so blocks of steps are composed as 2 x 2 matrices,
 chained over blocks, and then expanded again, all in vectors over blocks. A document's score is a
-logistic function of the expected number of toxic tokens and the largest marginal; runs of tokens with
+logistic function of the expected number of toxic tokens (of marginals that stand out) and the largest marginal; runs of tokens with
 marginals of one half or more are the offending spans.
 """
 
@@ -27,9 +27,11 @@ from strataline.llm.common import kept_columns, mix64, pieces_of, prepare, quote
 SAMPLE_PER_LABEL = 500
 WEIGHTS = 1 << 18
 #: A seed is in at least SEED_ROWS toxic documents and SEED_SHARE of them, and SEED_RATIO times as frequent there as in clean ones.
-SEED_ROWS, SEED_SHARE, SEED_RATIO = 4, 0.03, 8.0
+SEED_ROWS, SEED_SHARE, SEED_RATIO = 6, 0.03, 8.0
 WINDOW, STEPS, RATE, DECAY = 16, 80, 0.3, 1e-4
 BLOCK = 64
+#: Smaller marginals are background: they would add up to a toxic token in a long clean text.
+NOTICED = 0.2
 SLICE_BYTES = 2 << 20
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -137,7 +139,7 @@ class ToxicityModel:
 
 
 def _document_features(p: np.ndarray, owner: np.ndarray, documents: int) -> np.ndarray:
-    mass = np.bincount(owner, weights=p, minlength=documents)
+    mass = np.bincount(owner, weights=np.where(p >= NOTICED, p, 0.0), minlength=documents)
     top = np.zeros(documents)
     np.maximum.at(top, owner, p)
     return np.stack([np.ones(documents), np.log1p(mass), top], 1)
@@ -178,13 +180,24 @@ def fit_toxicity(body: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> To
     _maximise(model, features, y, valid)
     x = _document_features(model.marginals(tokens), tokens.owner, len(toxic))
     scale = np.array([-2.0, 1.0, 1.0])
-    for _ in range(200):  # logistic regression by damped Newton steps
+
+    def loss(w):
+        z = x @ w
+        return float(np.logaddexp(0, np.where(toxic, -z, z)).sum() + 0.025 * (w * w).sum())
+
+    for _ in range(200):  # logistic regression by Newton steps with backtracking; evidence never counts against
         p = 1 / (1 + np.exp(-np.clip(x @ scale, -30, 30)))
         hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
-        move = np.linalg.solve(hessian, x.T @ (toxic - p) - 0.05 * scale)
-        scale += np.clip(move, -1, 1)
-        if np.abs(move).max() < 1e-6:
+        move, step, new = np.linalg.solve(hessian, x.T @ (toxic - p) - 0.05 * scale), 1.0, scale
+        while step > 1e-6:
+            new = scale + step * move
+            new[1:] = np.maximum(new[1:], 0)
+            if loss(new) < loss(scale):
+                break
+            step /= 2
+        if step <= 1e-6 or np.abs(new - scale).max() < 1e-6:
             break
+        scale = new
     model.scale = scale
     return model
 
@@ -231,9 +244,13 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     """A model from about ``per_label`` labelled rows of each label; null labels and rows without a document are left out."""
     import pyarrow as pa
 
-    got, _ = labelled_sample(docs, labels, id_col, text_col, label_col, per_label)
+    got, counts = labelled_sample(docs, labels, id_col, text_col, label_col, per_label)
     body, offsets = text_buffers(pa.array(got["text"].tolist(), pa.string()))
-    return fit_toxicity(body, offsets, got["label"].to_numpy() == 1)
+    toxic = got["label"].to_numpy() == 1
+    model = fit_toxicity(body, offsets, toxic)
+    if toxic.any() and not toxic.all():  # the sample's label shares are corrected to those of all labelled rows
+        model.scale[0] += np.log(counts[1] / counts[0]) - np.log(toxic.sum() / (~toxic).sum())
+    return model
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int):
