@@ -19,9 +19,14 @@ def _listed(signals: DataFrame, kind: str, name: str) -> DataFrame:
     return signals.where(F.col("type") == kind).select(F.explode(F.array_distinct("affected_files")).alias("path")).groupBy("path").agg(F.count("*").alias(name))
 
 
-def _under(paths: DataFrame, scopes: DataFrame) -> DataFrame:
-    """paths joined with the scopes that are one of their ancestors: a prefix search as an equi-join."""
-    return paths.select("path", F.explode(C.ancestors("path")).alias("scope")).join(scopes, "scope")
+def _by_directory(dirs: DataFrame, signals: DataFrame) -> DataFrame:
+    """(dir, above, inherited): reverts scoped to a directory or one above it, and the sorted ids of all such signals.
+
+    Ids are gathered once per scope and then once per directory, so files do not multiply signals.
+    """
+    scopes = signals.groupBy(F.col("directory_scope").alias("scope")).agg(F.count_if(F.col("type") == "revert_pair").alias("n"), F.collect_set("id").alias("ids"))
+    up = dirs.select("dir", F.explode(C.ancestors(F.concat("dir", F.lit("/x")))).alias("scope")).where("dir <> '.'")
+    return up.join(scopes, "scope").groupBy("dir").agg(F.sum("n").alias("above"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("inherited"))
 
 
 def file_profiles(history: DataFrame, signals: DataFrame) -> DataFrame:
@@ -36,16 +41,16 @@ def file_profiles(history: DataFrame, signals: DataFrame) -> DataFrame:
     files = counts.groupBy(F.col("key").alias("path")).agg(F.sum("commits").alias("total_changes"), F.count("*").alias("contributor_count"), F.max_by(F.struct("author", "commits", "last_change"), rank).alias("top"))
     dates = diffs.groupBy(F.col("file_path").alias("path")).agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_modified"))
     files = files.where(F.col("total_changes") >= MIN_CHANGES).join(dates, "path")
-    paths = files.select("path")
-
-    scoped = signals.where("type = 'revert_pair'").groupBy(F.col("directory_scope").alias("scope")).agg(F.count("*").alias("n"))
-    above = _under(paths, scoped).groupBy("path").agg(F.sum("n").alias("above"))
-    by_file = signals.where("file IS NOT NULL").select(F.col("file").alias("path"), "id")
-    by_scope = _under(paths, signals.select(F.col("directory_scope").alias("scope"), "id").distinct()).select("path", "id")
-    active = by_file.unionByName(by_scope).groupBy("path").agg(F.sort_array(F.collect_set("id")).alias("active_signal_ids"))
+    files = files.withColumn("dir", C.dirname("path"))
+    above = _by_directory(files.select("dir").distinct(), signals)
+    # signals that name a file outside their scope; those that name one inside it are inherited already
+    named = signals.where("file IS NOT NULL").where(~F.col("file").startswith(F.concat("directory_scope", F.lit("/"))))
+    named = named.groupBy(F.col("file").alias("path")).agg(F.collect_set("id").alias("own_ids"))
 
-    zero = F.lit(0).cast("long")
-    df = files.join(_listed(signals, "revert_pair", "listed"), "path", "left").join(above, "path", "left").join(_listed(signals, "fix_chain", "fixes"), "path", "left").join(active, "path", "left")
+    zero, none = F.lit(0).cast("long"), F.array().cast("array<string>")
+    df = files.join(_listed(signals, "revert_pair", "listed"), "path", "left").join(above, "dir", "left").join(_listed(signals, "fix_chain", "fixes"), "path", "left").join(named, "path", "left")
+    inherited = F.coalesce("inherited", none)
+    df = df.withColumn("active_signal_ids", F.when(F.col("own_ids").isNull(), inherited).otherwise(F.sort_array(F.array_union(inherited, F.coalesce("own_ids", none)))))
     df = df.withColumn("reverts", F.coalesce("listed", zero) + F.coalesce("above", zero)).withColumn("fixes", F.coalesce("fixes", zero))
     span = F.greatest(F.lit(1.0), C.days_between(F.col("last_modified"), F.col("first_ts")))
     pct = C.percent(F.col("top.commits"), F.col("total_changes"))
@@ -54,6 +59,6 @@ def file_profiles(history: DataFrame, signals: DataFrame) -> DataFrame:
     out = df.select(
         "path", owner.alias("primary_owner"), "contributor_count", "stability_score", "total_changes", F.col("reverts").alias("revert_count"), F.col("fixes").alias("fix_after_feature_count"),
         C.change_frequency(F.col("per_day")).alias("change_frequency"), C.risk_score(F.col("stability_score"), F.col("contributor_count"), F.col("reverts"), F.col("fixes")).alias("risk_score"),
-        "last_modified", F.coalesce("active_signal_ids", F.array().cast("array<string>")).alias("active_signal_ids"),
+        "last_modified", "active_signal_ids",
     )
     return out.select(*[F.col(f.name).cast(f.dataType) for f in PROFILE])
