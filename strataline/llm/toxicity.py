@@ -14,7 +14,7 @@ marginals of one half or more are the offending spans.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -75,13 +75,25 @@ class Tokens:
 
     def features(self) -> np.ndarray:
         """Weight numbers of each token: word, first 4 and 6 bytes, last 4, the word before and the word after (0 at ends)."""
-        if not len(self.word):
-            return np.zeros((0, 6), np.int64)
+        out = np.empty((len(self.word), 6), np.int32)
         same = self.owner[1:] == self.owner[:-1]
         left, right = np.zeros_like(self.word), np.zeros_like(self.word)
         left[1:][same] = mix64(self.word[:-1][same] + np.uint64(4))
         right[:-1][same] = mix64(self.word[1:][same] + np.uint64(5))
-        return (np.stack([self.word, self.head, self.stem, self.tail, left, right], 1) % np.uint64(WEIGHTS)).astype(np.int64)
+        for k, column in enumerate((self.word, self.head, self.stem, self.tail, left, right)):
+            out[:, k] = column % np.uint64(WEIGHTS)
+        return out
+
+    @classmethod
+    def of_slices(cls, body: np.ndarray, offsets: np.ndarray, size: int = 256 << 10) -> Tokens:
+        """The same tokens, taken from about ``size`` bytes at a time: less memory beside the result."""
+        cuts = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(offsets // size)) + 1, [len(offsets) - 1]]))
+        parts = []
+        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+            part = cls.of(body[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            part.start, part.stop, part.owner = part.start + offsets[lo], part.stop + offsets[lo], part.owner + lo
+            parts.append(part)
+        return cls(*(np.concatenate([getattr(p, f.name) for p in parts]) if parts else np.zeros(0, np.int64) for f in fields(cls)))
 
 
 def _chain(step: tuple[np.ndarray, ...]) -> np.ndarray:
@@ -161,7 +173,7 @@ def _seeds(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
 
 def fit_toxicity(body: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> ToxicityModel:
     """A model from labelled texts. Without both labels it scores everything by the share of toxic rows."""
-    tokens = Tokens.of(body, offsets)
+    tokens = Tokens.of_slices(body, offsets)
     model = ToxicityModel(np.zeros(WEIGHTS), np.zeros((2, 2)), 0.0, np.zeros(3))
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
     if not toxic.any() or toxic.all() or not len(tokens.word):
@@ -170,7 +182,7 @@ def fit_toxicity(body: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> To
     label = _seeds(tokens, toxic) & toxic[tokens.owner]
     # windows of labelled tokens: around each toxic one, and every (count / documents)-th window elsewhere
     centre = np.flatnonzero(label)
-    step = max(1, len(label) // (4 * len(centre) + 2000))
+    step = max(1, len(label) // (len(centre) + 1000))
     centre = np.unique(np.concatenate([centre, np.arange(0, len(label), step)]))
     span = centre[:, None] + np.arange(-WINDOW, WINDOW + 1)
     valid = (span >= 0) & (span < len(label))
