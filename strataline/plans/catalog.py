@@ -335,7 +335,7 @@ profile AS (SELECT path, CASE WHEN pct >= 30 THEN author END AS owner, CASE WHEN
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, rows, _ = _signals(spark, sf_dir, "revert", "fix_chain")
-    return materialized(P.file_profiles(rows, found), "profiles")
+    return P.file_profiles(rows, found)
 
 
 def _flat_profiles(df: DataFrame) -> DataFrame:
@@ -379,7 +379,7 @@ UNION ALL SELECT severity, 'pattern', CASE severity WHEN 'warning' THEN 0 ELSE 1
 @query(with_base(PROFILE_SQL, WARNINGS_SQL))
 def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, rows, as_of = _signals(spark, sf_dir, "revert", "fix_chain")
-    return W.warnings(materialized(P.file_profiles(rows, found), "profiles"), found.where("type = 'fix_chain'"), as_of, "refactor").select("severity", "category", "rank", "message")
+    return W.warnings(P.file_profiles(rows, found), found.where("type = 'fix_chain'"), as_of, "refactor").select("severity", "category", "rank", "message")
 
 
 # --- assessment -----------------------------------------------------------------------------------
@@ -399,7 +399,7 @@ def assess(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataline.plans.assess import assess as run
 
     found, rows, as_of = _signals(spark, sf_dir, "revert", "fix_chain")
-    return _flat_profiles(run(materialized(P.file_profiles(rows, found), "profiles"), found, _asked(spark), as_of).file_profiles)
+    return _flat_profiles(run(P.file_profiles(rows, found), found, _asked(spark), as_of).file_profiles)
 
 
 @query(with_base(PROFILE_SQL, f"SELECT id FROM (SELECT id, directory_scope FROM rv UNION SELECT id, directory_scope FROM fx) WHERE directory_scope IN ({', '.join(repr(p.rpartition('/')[0]) for p in ASKED)}, '.')"))
