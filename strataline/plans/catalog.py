@@ -131,7 +131,7 @@ churn_stat AS (SELECT avg(n) AS mean, stddev_pop(n) AS sd FROM churn_files),
 churn_hot AS (SELECT *, (n - mean) / sd AS sigma, CASE WHEN p = 0 THEN CASE WHEN r > 0 THEN 'increasing' ELSE 'stable' END WHEN r / p > 1.5 THEN 'increasing' WHEN r / p < 0.5 THEN 'decreasing' ELSE 'stable' END AS trend
               FROM churn_files, churn_stat WHERE sd > 0 AND n > mean + 2 * sd),
 churn_dom AS (SELECT file_path, count(*) AS shas, {COUNTS} FROM (SELECT DISTINCT file_path, sha FROM diffs) JOIN classes USING (sha) GROUP BY file_path),
-churn AS (SELECT left(sha256('churn_hotspot' || file_path), 16) AS id, CASE WHEN sigma > 3 THEN 'warning' ELSE 'caution' END AS severity, round(least(0.95, 0.6 + sigma * 0.1), 4) AS confidence, regexp_replace(file_path, '/[^/]*$', '') AS directory_scope,
+churn AS (SELECT left(sha256('churn_hotspot' || file_path), 16) AS id, CASE WHEN sigma > 3 THEN 'warning' ELSE 'caution' END AS severity, round(least(0.95, 0.6 + sigma * 0.1), 4)::DOUBLE AS confidence, regexp_replace(file_path, '/[^/]*$', '') AS directory_scope,
           least(shas, 20) AS n_shas, s, e, {DOMINANT} AS dominant_decision_class, file_path AS file, n AS count, round(sigma, 2) AS sigma, round(mean, 1) AS mean, trend, r AS recent_30d, p AS previous_30d FROM churn_hot JOIN churn_dom USING (file_path))"""
 
 
@@ -152,7 +152,7 @@ own_ranked AS (SELECT *, sum(commits) OVER w AS total, count(*) OVER w AS contri
                last_value(last_change) OVER (PARTITION BY key ORDER BY commits DESC, first_seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS s FROM own_counts WINDOW w AS (PARTITION BY key)),
 own AS (SELECT *, floor(commits * 100.0::DOUBLE / total + 0.5)::INT AS percentage FROM own_ranked WHERE rn = 1 AND total >= {least}),
 own_dom AS (SELECT key, count(*) AS shas, {COUNTS} FROM (SELECT DISTINCT {key} AS key, sha FROM diffs JOIN own ON own.key = {key} AND own.author = diffs.author) JOIN classes USING (sha) GROUP BY key),
-owned AS (SELECT left(sha256('ownership' || {ident} || ':' || author), 16) AS id, 'info' AS severity, round(least(0.95, 0.5 + percentage / 200), 4) AS confidence, {scope} AS directory_scope, least(shas, 10) AS n_shas, s, last_change AS e,
+owned AS (SELECT left(sha256('ownership' || {ident} || ':' || author), 16) AS id, 'info' AS severity, round(least(0.95, 0.5 + percentage / 200), 4)::DOUBLE AS confidence, {scope} AS directory_scope, least(shas, 10) AS n_shas, s, last_change AS e,
           {DOMINANT} AS dominant_decision_class, author AS primary_author, percentage::BIGINT AS percentage, total::BIGINT AS total_commits, contributor_count FROM own JOIN own_dom USING (key) WHERE percentage >= 30)"""
 
 
@@ -183,7 +183,7 @@ st_dirs AS (SELECT d, count(*) AS n, count(*) FILTER (ts >= as_of - INTERVAL 30
             count(*) FILTER (ts >= as_of - INTERVAL 90 DAY AND ts < as_of - INTERVAL 60 DAY) AS o FROM st_rows, clock GROUP BY d),
 st_hit AS (SELECT *, r / p AS ratio, CASE WHEN r / p < 0.5 AND p >= 3 THEN 'stabilized' WHEN r / p > 2 AND r >= 3 THEN 'destabilized' END AS shift FROM st_dirs WHERE n >= 10 AND p > 0),
 st_dom AS (SELECT d, count(DISTINCT sha) AS shas, {COUNTS} FROM st_rows JOIN classes USING (sha), clock WHERE ts >= as_of - INTERVAL 30 DAY GROUP BY d),
-st AS (SELECT left(sha256('stability_shift' || d), 16) AS id, CASE shift WHEN 'destabilized' THEN 'caution' ELSE 'info' END AS severity, round(least(0.85, 0.5 + abs(ratio - 1) * 0.2), 4) AS confidence, d AS directory_scope, least(10, coalesce(shas, 0)) AS n_shas,
+st AS (SELECT left(sha256('stability_shift' || d), 16) AS id, CASE shift WHEN 'destabilized' THEN 'caution' ELSE 'info' END AS severity, round(least(0.85, 0.5 + abs(ratio - 1) * 0.2), 4)::DOUBLE AS confidence, d AS directory_scope, least(10, coalesce(shas, 0)) AS n_shas,
        as_of - INTERVAL 60 DAY AS s, as_of AS e, CASE WHEN shas IS NULL THEN 'decision' ELSE {DOMINANT} END AS dominant_decision_class, shift, r AS recent_30d, p AS previous_30d, o AS older_30d, round(ratio, 2) AS ratio
        FROM st_hit LEFT JOIN st_dom USING (d), clock WHERE shift IS NOT NULL)"""
 
@@ -198,7 +198,7 @@ fx_pairs AS (SELECT DISTINCT a.sha AS lead, a.ts AS lts, b.sha AS follow, b.ts A
 fx_members AS (SELECT lead, lead AS sha FROM fx_pairs UNION SELECT lead, follow FROM fx_pairs),
 fx_files AS (SELECT lead, count(DISTINCT file_path) AS files, min_by(dir, pos) FILTER (d.sha = lead) AS dir FROM fx_members m JOIN diffs d USING (sha) GROUP BY lead),
 fx_dom AS (SELECT lead, {COUNTS} FROM fx_members JOIN classes USING (sha) GROUP BY lead),
-fx AS (SELECT left(sha256('fix_chain' || lead), 16) AS id, CASE WHEN n >= 3 THEN 'warning' ELSE 'caution' END AS severity, round(least(0.9, 0.5 + n * 0.15), 4) AS confidence, dir AS directory_scope, n + 1 AS n_shas, s, e, {DOMINANT} AS dominant_decision_class,
+fx AS (SELECT left(sha256('fix_chain' || lead), 16) AS id, CASE WHEN n >= 3 THEN 'warning' ELSE 'caution' END AS severity, round(least(0.9, 0.5 + n * 0.15), 4)::DOUBLE AS confidence, dir AS directory_scope, n + 1 AS n_shas, s, e, {DOMINANT} AS dominant_decision_class,
        lead AS feature_sha, n AS fix_count, floor(date_diff('second', s, e) / 86400.0::DOUBLE + 0.5)::BIGINT AS day_span, files
        FROM (SELECT lead, count(*) AS n, min(lts) AS s, max(fts) AS e FROM fx_pairs GROUP BY lead) JOIN fx_files USING (lead) JOIN fx_dom USING (lead))"""
 
@@ -218,7 +218,7 @@ bk_files AS (SELECT lead, count(DISTINCT file_path) AS files, min_by(dir, pos) F
 bk_dom AS (SELECT lead, {COUNTS} FROM bk_members JOIN classes USING (sha) GROUP BY lead)"""
 
 
-@query(with_base(BREAKING_SQL, f"""SELECT left(sha256('breaking_change' || lead), 16) AS id, 'warning' AS severity, round(least(0.95, 0.6 + authors * 0.1), 4) AS confidence, dir AS directory_scope, n + 1 AS n_shas, {DOMINANT} AS dominant_decision_class,
+@query(with_base(BREAKING_SQL, f"""SELECT left(sha256('breaking_change' || lead), 16) AS id, 'warning' AS severity, round(least(0.95, 0.6 + authors * 0.1), 4)::DOUBLE AS confidence, dir AS directory_scope, n + 1 AS n_shas, {DOMINANT} AS dominant_decision_class,
        lead AS trigger_sha, authors AS author_count, n AS fix_count, files AS affected_files, {ISO.format('s')} AS start_at, {ISO.format('e')} AS end_at FROM bk_hit JOIN bk_files USING (lead) JOIN bk_dom USING (lead)"""))
 def signal_breaking(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(breaking.detect(*_history(spark, sf_dir)), trigger_sha="string", author_count="long", fix_count="long", affected_files="long")
@@ -276,7 +276,7 @@ ADOPTION_SQL = f"""{DEPS_SQL}, ad_steps AS (SELECT *, event <> lag(event) OVER (
 ad AS (SELECT dep, count(*) AS n, count(*) FILTER (changed) AS t, min(ts) AS s, max(ts) AS e, arg_max(event, (ts, seq, event, sha)) AS last FROM ad_steps GROUP BY dep)"""
 
 
-@query(with_base(ADOPTION_SQL, f"""SELECT left(sha256('adoption_cycle' || dep), 16) AS id, CASE WHEN ceil(t / 2) >= 3 THEN 'warning' ELSE 'caution' END AS severity, round(least(0.85, 0.5 + t * 0.1), 4) AS confidence, '.' AS directory_scope, n AS n_shas,
+@query(with_base(ADOPTION_SQL, f"""SELECT left(sha256('adoption_cycle' || dep), 16) AS id, CASE WHEN ceil(t / 2) >= 3 THEN 'warning' ELSE 'caution' END AS severity, round(least(0.85, 0.5 + t * 0.1), 4)::DOUBLE AS confidence, '.' AS directory_scope, n AS n_shas,
        {ISO.format('s')} AS start_at, {ISO.format('e')} AS end_at, 'unknown' AS dominant_decision_class, dep AS subject, ceil(t / 2)::BIGINT AS cycle_count, t AS transitions, CASE last WHEN 'add' THEN 'active' ELSE 'removed' END AS current_status FROM ad WHERE n >= 2 AND t >= 2"""))
 def signal_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = X.dependency_history(spark, sf_dir)
@@ -293,7 +293,7 @@ BARE = [x.removeprefix(CLASSES_SQL + ",") for x in (FIX_SQL, REVERT_SQL, BREAKIN
 ALL_SQL = ",".join([CHURN_SQL, *BARE])
 
 
-@query(with_base(ALL_SQL, "SELECT 'churn_hotspot' AS type, count(*) AS n FROM churn UNION ALL SELECT 'fix_chain', count(*) FROM fx UNION ALL SELECT 'revert_pair', count(*) FROM rv UNION ALL SELECT 'breaking_change', count(*) FROM bk_hit UNION ALL SELECT 'stability_shift', count(*) FROM st"))
+@query(with_base(ALL_SQL, "SELECT type, count(*) AS n FROM (SELECT 'churn_hotspot' AS type FROM churn UNION ALL SELECT 'fix_chain' FROM fx UNION ALL SELECT 'revert_pair' FROM rv UNION ALL SELECT 'breaking_change' FROM bk_hit UNION ALL SELECT 'stability_shift' FROM st) GROUP BY type"))
 def stats_signal_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataline.sources.store import signal_type_counts
 
