@@ -42,7 +42,7 @@ BLOCK_SETS = 192
 HOT_BUCKET = 100_000
 #: Slots of the count-min sketch that orders segments; its size does not depend on the data.
 HEAT_SLOTS = 1 << 20
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 #: Bits of the dense parity sketch that rejects pairs before sets are intersected.
 DENSE_BITS = 512
 #: Columns of one n-gram incidence product.

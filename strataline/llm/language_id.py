@@ -30,7 +30,7 @@ MOST_LANGUAGES = 64
 TYPICAL = 0.02
 #: Characters whose n-grams the learner holds at once.
 LEARN_CHARS = 200_000
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 256 << 10
 UNDETERMINED = "und"
 
 

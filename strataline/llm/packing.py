@@ -24,7 +24,7 @@ CAPACITY = 1024
 END_OF_TEXT = 2
 GROUP_PIECES = 40_000
 #: Text bytes that are tokenized at once.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 #: The pre-tokenizer's pattern of byte-level BPE: a fixed value.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
