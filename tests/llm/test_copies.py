@@ -174,3 +174,16 @@ def test_fingerprints_of_awkward_rows(awkward, nothing):
     assert P.edited_fingerprints(awkward).count() == awkward.count() and P.edited_fingerprints(nothing).count() == 0
     plan = P.edited_fingerprints(awkward)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_results_do_not_depend_on_broadcasts(spark, copies, monkeypatch):
+    from strataline.llm import common
+
+    want_near, want_exact = near(copies), sorted(tuple(r) for r in X.exact_dedup(copies, carry=False).collect())
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert near(copies) == want_near
+        assert sorted(tuple(r) for r in X.exact_dedup(copies, carry=False).collect()) == want_exact
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
