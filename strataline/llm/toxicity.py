@@ -1,8 +1,8 @@
 """Toxic spans by a linear-chain conditional random field.
 
 Tokens have two states, clean and toxic. Token labels for training come from document labels: words
-(or first bytes of words) whose rate in toxic documents is far above that in clean ones are the seeds, and
-a seed in a toxic document is a toxic token. The field has hashed features of the word, its first and last bytes, and of both
+(or first bytes of words) that are in more toxic documents than chance allows, by a test of the counts within
+each language and over all of them, are the seeds, and a seed in a toxic document is a toxic token. The field has hashed features of the word, its first and last bytes, and of both
 neighbours, plus transition and start weights; training maximises the likelihood of labelled windows.
 
 Scoring is exact forward-backward over each whole document: a step of a two-state chain is a fractional
@@ -26,8 +26,8 @@ from strataline.llm.common import kept_columns, mix64, pieces_of, prepare, quote
 #: Labelled rows that a model is fitted on, for each label: the only bound; texts are taken whole.
 SAMPLE_PER_LABEL = 500
 WEIGHTS = 1 << 18
-#: A seed is in at least SEED_ROWS toxic documents and SEED_SHARE of them, and SEED_RATIO times as frequent there as in clean ones.
-SEED_ROWS, SEED_SHARE, SEED_RATIO = 6, 0.03, 8.0
+#: A seed is in at least SEED_ROWS toxic documents; of all words that are, FALSE_SEEDS at most are expected to pass by chance.
+SEED_ROWS, FALSE_SEEDS = 6, 0.01
 WINDOW, STEPS, RATE, DECAY = 16, 80, 0.3, 1e-4
 BLOCK = 64
 #: Smaller marginals are background: they would add up to a toxic token in a long clean text.
@@ -157,29 +157,60 @@ def _document_features(p: np.ndarray, owner: np.ndarray, documents: int) -> np.n
     return np.stack([np.ones(documents), np.log1p(mass), top], 1)
 
 
-def _seeds(tokens: Tokens, toxic: np.ndarray) -> np.ndarray:
-    """Whether each token has a word, or first four or six bytes, that mark toxic documents."""
+def _exponent(trials: np.ndarray, bad: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """-log of Hoeffding's bound on the chance of ``bad`` or more among ``trials`` draws of which ``expected`` are due."""
+    p, q = np.minimum(bad / trials, 1), np.clip(expected / trials, 1e-12, 1 - 1e-12)
+    apart = p * np.log(np.maximum(p, 1e-12) / q) + (1 - p) * np.log(np.maximum(1 - p, 1e-12) / (1 - q))
+    return np.where(p > q, trials * apart, 0.0)
+
+
+def _seeds(tokens: Tokens, toxic: np.ndarray, languages: list[str] | None = None) -> np.ndarray:
+    """Whether each token has a word, or first four or six bytes, that mark toxic documents.
+
+    Given how many documents of a language hold a word, the labels' chance decides how many of them are
+    toxic. The bound on that chance is taken in each language, so that one with few toxic rows is measured
+    against its own clean rows, and over all languages with the counts due in each. Equal texts count once.
+    """
     marked = np.zeros(len(tokens.word), bool)
+    groups, group = np.unique(np.array(languages if languages is not None else [""] * len(toxic), object).astype(str), return_inverse=True)
+    content = np.zeros(len(toxic), np.uint64)
+    np.add.at(content, tokens.owner, mix64(tokens.word))
+    first = np.zeros(len(toxic), bool)
+    first[np.unique(np.stack([content, toxic.astype(np.uint64)]), axis=1, return_index=True)[1]] = True
     for kind in (tokens.word, tokens.stem, tokens.head):
         values, code = np.unique(kind, return_inverse=True)
-        pairs = np.unique(code.astype(np.int64) * len(toxic) + tokens.owner)
+        rest = ~marked  # a shorter form is judged by the words that no longer form explains
+        pairs = np.unique(code[rest].astype(np.int64) * len(toxic) + tokens.owner[rest])
         word, doc = pairs // len(toxic), pairs % len(toxic)
-        bad = np.bincount(word[toxic[doc]], minlength=len(values))
-        good = np.bincount(word[~toxic[doc]], minlength=len(values))
-        rate = (bad + 0.5) / (toxic.sum() + 1)
-        marked |= ((bad >= max(SEED_ROWS, SEED_SHARE * toxic.sum())) & (rate >= SEED_RATIO * (good + 0.5) / ((~toxic).sum() + 1)))[code]
+        word, doc = word[first[doc]], doc[first[doc]]
+        bad_all, due_all, found = np.zeros(len(values)), np.zeros(len(values)), np.zeros(len(values), bool)
+        for g in range(len(groups)):
+            inside = first & (group == g)
+            rows, trials = inside.sum(), (inside & toxic).sum()
+            bad = np.bincount(word[(inside & toxic)[doc]], minlength=len(values))
+            due = np.bincount(word[inside[doc]], minlength=len(values)) * (trials / max(1, rows))
+            bad_all, due_all = bad_all + bad, due_all + due
+            if trials:
+                found |= _unlikely(trials, bad, due, 3 * (len(groups) + 1))
+        marked |= (found | _unlikely((first & toxic).sum(), bad_all, due_all, 3 * (len(groups) + 1)))[code]
     return marked
 
 
-def fit_toxicity(body: np.ndarray, offsets: np.ndarray, toxic: np.ndarray) -> ToxicityModel:
-    """A model from labelled texts. Without both labels it scores everything by the share of toxic rows."""
+def _unlikely(trials: int, bad: np.ndarray, due: np.ndarray, families: int) -> np.ndarray:
+    """Words in SEED_ROWS toxic documents or more whose count is above chance, whatever the number of words tried."""
+    tried = bad >= SEED_ROWS
+    return tried & (_exponent(trials, bad, due) >= np.log(max(1, tried.sum()) * families / FALSE_SEEDS))
+
+
+def fit_toxicity(body: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, languages: list[str] | None = None) -> ToxicityModel:
+    """A model from labelled texts, of one language if none are named. Without both labels it scores everything by the share of toxic rows."""
     tokens = Tokens.of_slices(body, offsets)
     model = ToxicityModel(np.zeros(WEIGHTS), np.zeros((2, 2)), 0.0, np.zeros(3))
     share = (toxic.sum() + 0.5) / (len(toxic) + 1)
     if not toxic.any() or toxic.all() or not len(tokens.word):
         model.begin, model.scale = -8.0, np.array([np.log(share / (1 - share)), 0.0, 0.0])
         return model
-    label = _seeds(tokens, toxic) & toxic[tokens.owner]
+    label = _seeds(tokens, toxic, languages) & toxic[tokens.owner]
     # windows of labelled tokens: around each toxic one, and every (count / documents)-th window elsewhere
     centre = np.flatnonzero(label)
     step = max(1, len(label) // (len(centre) + 1000))
@@ -252,21 +283,37 @@ def _maximise(model: ToxicityModel, features: np.ndarray, y: np.ndarray, valid:
     model.transition, model.begin = params[1], float(params[2][0])
 
 
-def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE_PER_LABEL) -> ToxicityModel:
-    """A model from about ``per_label`` labelled rows of each label; null labels and rows without a document are left out."""
+def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE_PER_LABEL, lang_col: str = "lang") -> ToxicityModel:
+    """A model from about ``per_label`` labelled rows of each label; null labels and rows without a document are left out.
+
+    Languages are those of ``lang_col`` if ``docs`` has it; where it is null they are predicted from the sample's other rows.
+    """
     import pyarrow as pa
 
-    got, counts = labelled_sample(docs, labels, id_col, text_col, label_col, per_label)
+    got, counts = labelled_sample(docs, labels, id_col, text_col, label_col, per_label, lang_col if lang_col in docs.columns else None)
     body, offsets = text_buffers(pa.array(got["text"].tolist(), pa.string()))
     toxic = got["label"].to_numpy() == 1
-    model = fit_toxicity(body, offsets, toxic)
+    model = fit_toxicity(body, offsets, toxic, _languages(got) if "lang" in got else None)
     if toxic.any() and not toxic.all():  # the sample's label shares are corrected to those of all labelled rows
         model.scale[0] += np.log(counts[1] / counts[0]) - np.log(toxic.sum() / (~toxic).sum())
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int):
-    """(text, label) of a bounded sample as pandas, and the numbers of all rows by label.
+def _languages(sample) -> list[str]:
+    """The sample's languages; missing ones by a model of the others."""
+    from strataline.llm.language_id import LanguageModel
+
+    names = sample["lang"].tolist()
+    missing = sample["lang"].isna().to_numpy()
+    if missing.any():
+        known = sample[~missing]
+        predicted = iter(LanguageModel.learn(known["text"].tolist(), known["lang"].tolist()).predict(sample["text"][missing].tolist())[0])
+        names = [next(predicted) if gone else name for name, gone in zip(names, missing, strict=True)]
+    return names
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, lang_col: str | None = None):
+    """(text, label), with lang if a column is named for it, of a bounded sample as pandas, and the numbers of all rows by label.
 
     For each of the labels 0 and 1 about ``per_label`` rows of ``labels`` are drawn by a hash of their id;
     only those ids are broadcast to the documents, so no text is shuffled.
@@ -277,8 +324,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     wanted = F.lit(False)
     for label, count in counts.items():
         wanted |= (F.col("label") == label) & (F.col("draw") < int(min(1.0, per_label / count) * (1 << 30)))
-    texts = docs.select(F.col(quoted(id_col)).alias("id"), text_of(quoted(text_col)).alias("text"))
-    got = texts.join(F.broadcast(rows.where(wanted)), "id").select("text", "label", "draw").toPandas()
+    lang = [] if lang_col is None else [F.col(quoted(lang_col)).cast("string").alias("lang")]
+    texts = docs.select(F.col(quoted(id_col)).alias("id"), text_of(quoted(text_col)).alias("text"), *lang)
+    got = texts.join(F.broadcast(rows.where(wanted)), "id").drop("id").toPandas()
     return got.sort_values(["draw", "label", "text"]).reset_index(drop=True), counts
 
 

@@ -198,6 +198,26 @@ def test_toxicity_field(spark, awkward, nothing):
     assert X.tag_toxicity(awkward, X.learn_toxicity(docs.limit(0), labels.limit(0))).count() == awkward.count()
 
 
+def test_toxicity_of_a_language_with_few_toxic_rows():
+    """Its only marker is also an ordinary word of its clean rows, and in few of all toxic rows."""
+    r, texts, toxic, languages = np.random.default_rng(8), [], [], []
+    for lang, alphabet, bad, good, marker, elsewhere in (("aa", None, 400, 400, "zorg", 0.0), ("bb", ["ka", "ko", "ki", "tak"], 30, 60, "boment", 0.1)):
+        for i in range(bad + good):
+            words = prose(f"{lang}{i}", 40, *([alphabet] if alphabet else [])).split()
+            if i < bad or r.random() < elsewhere:
+                words[20] = marker
+            texts.append(" ".join(words))
+            toxic.append(i < bad)
+            languages.append(lang)
+    tokens = X.Tokens.of(*text_buffers(pa.array(texts)))
+    toxic = np.array(toxic)
+    seeds = X._seeds(tokens, toxic, languages)
+    explained = np.zeros(len(texts), bool)
+    explained[tokens.owner[seeds]] = True
+    assert explained[toxic].all() and not explained[~toxic & (np.array(languages) == "aa")].any()
+    assert len(set(tokens.word[seeds].tolist())) == 2
+
+
 def test_marginals_are_exact():
     """Forward-backward by composed blocks against the sum over all paths' scores, chain by chain."""
     r = np.random.default_rng(5)
