@@ -2,7 +2,7 @@
 
 Segments are compared with licence templates: every line that holds an anchor term (a header), and the
 whole text of a licence file (by its name). Term weights are (1 + ln tf) * idf, with idf from the document
-counts over the whole corpus; terms outside the templates count in a segment's norm with the largest idf.
+counts over the whole texts of the corpus, for the templates' terms and for all others in segments.
 A file's own licence is the best template at or above THRESHOLD. Files without one inherit from the
 licence files of the nearest ancestor directory: every directory is joined with each of its ancestors, so
 the prefix search is an equi-join.
@@ -51,33 +51,30 @@ def directory_of(path: Column) -> Column:
     return F.when(F.instr(path, "/") == 0, F.lit(".")).otherwise(F.regexp_replace(path, "/[^/]*$", ""))
 
 
-def _weights(spark, docs: DataFrame, templates) -> tuple[DataFrame, float]:
-    """(template, license, term, weight) with unit norms, and the idf of terms outside the templates.
+def _document_counts(docs: DataFrame, segments: DataFrame, templates) -> DataFrame:
+    """(term, df) over the whole texts of all documents, for every term of a template or a segment.
 
-    Document counts are taken over all documents for the templates' terms only, so the counts that are
-    shuffled and sent to the driver are as many as those terms.
+    Only those terms are counted, so the shuffled counts are as many as they are in each task.
     """
+    rows = docs.sparkSession.createDataFrame([(text,) for _, text in templates], "text string")
+    wanted = rows.select(F.explode(_terms(F.col("text"))).alias("term")).unionByName(segments.select(F.explode("words").alias("term"))).distinct()
+    wanted = written(wanted, "license-terms")
+    words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
+    seen = words.join(maybe_broadcast(wanted, wanted.count(), 64), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    return written(wanted.join(seen, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df")), "license-counts")
+
+
+def _weights(spark, idf: DataFrame, templates) -> DataFrame:
+    """(template, license, term, weight) with unit norms."""
     rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, text string")
     rows = rows.select("template", "license", F.explode(_terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").count()
-    terms = [r["term"] for r in rows.select("term").distinct().collect()]
-    total = docs.count()
-    # only lines with an anchor can score, so a term's documents are those with such a line; this needs no pass over all words
-    counts = docs.select(F.explode(F.array_intersect(F.array_distinct(_terms(F.concat_ws("\n", _headers(F.col("text"))))), F.lit(terms))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    counts = {r["term"]: r["df"] for r in counts.collect()}
-    idf = [(t, float(_idf(total, counts.get(t, 0)))) for t in terms]
-    weighted = rows.join(F.broadcast(spark.createDataFrame(idf, "term string, idf double")), "term").withColumn("w", (1 + F.log("count")) * F.col("idf"))
+    weighted = idf.join(F.broadcast(rows), "term").withColumn("w", (1 + F.log("count")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))
-    return weighted.select("template", "license", "term", "idf", (F.col("w") / norm).alias("weight")), float(_idf(total, 0))
-
+    return weighted.select("template", "license", "term", (F.col("w") / norm).alias("weight"))
 
-def _idf(total: int, df: int) -> float:
-    import math
 
-    return math.log((1 + total) / (1 + df)) + 1
-
-
-def _headers(text: Column) -> Column:
-    return F.filter(F.split(text, "\n"), lambda line: line.rlike(ANCHORS))
+def _idf(total: int, df: Column) -> Column:
+    return F.log(F.lit(1.0 + total) / (1 + df)) + 1
 
 
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -94,20 +91,20 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     names = kept_columns(files, results)
     path = F.coalesce(F.col(quoted(path_col)).cast("string"), F.lit(""))
     base = files.select(F.struct(*[F.col(quoted(c)).alias(c) for c in names]).alias("__ls_row"), path.alias("path"), text_of(quoted(text_col)).alias("text"))
-    weights, unknown = _weights(spark, base, templates)
-    weights = F.broadcast(written(weights, "license-templates"))  # as many rows as the templates have terms
-
     is_file = F.substring_index(F.col("path"), "/", -1).rlike(LICENCE_FILE)
     lines = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct((i + 1).alias("line"), line.alias("body"))), lambda x: x["body"].rlike(ANCHORS))
     whole = F.when(is_file, F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("body")))).otherwise(F.array().cast("array<struct<line:int,body:string>>"))
     # a segment is named by its words: equal ones are compared with the templates once
     segment = base.where(F.col("text").rlike(ANCHORS) | is_file).select("path", "__ls_row", F.explode(F.concat(whole, lines)).alias("s")).select("path", "s.line", _terms(F.col("s.body")).alias("words"), "s.body")
     distinct = segment.select(F.xxhash64("words").alias("sid"), "words").groupBy("sid").agg(F.first("words").alias("words"))
+    distinct = written(distinct, "license-texts")
+    counts = _document_counts(base, distinct, templates)
+    idf = counts.select("term", _idf(base.count(), F.col("df")).alias("idf"))
+    weights = F.broadcast(written(_weights(spark, idf, templates), "license-templates"))  # as many rows as the templates have terms
     terms = distinct.select("sid", F.explode("words").alias("term")).groupBy("sid", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
-    known = weights.select("term", "idf").distinct()
-    terms = terms.join(F.broadcast(known), "term", "left").select("sid", "term", (F.col("tf") * F.coalesce("idf", F.lit(unknown))).alias("w"))
+    terms = terms.join(maybe_broadcast(idf, counts.count(), 64), "term").select("sid", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = terms.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(weights.drop("idf"), "term").groupBy("sid", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    dots = terms.join(weights, "term").groupBy("sid", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, "sid").withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= threshold)
     best = scored.groupBy("sid").agg(F.min(F.struct(-F.col("score"), "license")).alias("b")).select("sid", (-F.col("b.col1")).alias("score"), F.col("b.license").alias("license"))
     best = written(best, "license-segments")

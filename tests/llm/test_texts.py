@@ -299,3 +299,12 @@ def test_license_scan_is_native_and_takes_awkward_rows(spark, awkward, nothing):
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert S.scan_licenses(nothing.withColumnRenamed("source", "path")).count() == 0
+
+
+def test_license_terms_are_counted_over_whole_texts(spark):
+    """Against a plain count; 'the' is common in lines without an anchor, 'poem' is outside the templates."""
+    texts = ["the poem\nthe end"] * 6 + ["x\nthe licence of a poem", None, "MIT License", ""]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").selectExpr("coalesce(text, '') AS text")
+    segments = spark.createDataFrame([(["the", "licence", "of", "a", "poem"],)], "words array<string>")
+    got = {r["term"]: r["df"] for r in S._document_counts(docs, segments, S.TEMPLATES).collect()}
+    assert {t: got[t] for t in ("the", "poem", "licence", "license", "mit", "and")} == {"the": 7, "poem": 7, "licence": 1, "license": 1, "mit": 1, "and": 0} and "end" not in got
