@@ -1,7 +1,9 @@
 """Licence scans with built-in functions: sparse TF-IDF cosine to templates, and inheritance along paths.
 
-Segments are compared with licence templates: every line that holds an anchor term (a header), and the
-whole text of a licence file (by its name). Term weights are (1 + ln tf) * idf, with idf from the document
+Segments are compared with licence templates: every line that holds an anchor term (a header), the
+whole text of a licence file (by its name), and windows: for each anchor word of a text and each place of
+an equal anchor in a template, as many words around it as the template has, across line ends, compared
+with that template. So neither words beside a header nor line ends within it dilute its score. Term weights are (1 + ln tf) * idf, with idf from the document
 counts over the whole texts of the corpus, for the templates' terms and for all others in segments.
 A file's own licence is the best template at or above THRESHOLD. Files without one inherit from the
 licence files of the nearest ancestor directory: every directory is joined with each of its ancestors, so
@@ -10,6 +12,8 @@ the prefix search is an equi-join.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +44,10 @@ TEMPLATES = (
 ANCHORS = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|all rights reserved"
 LICENCE_FILE = r"(?i)^(un)?licen[cs]e|^copying|^copyright|^notice"
 _WORDS = r"[^a-z0-9]+"
+#: The same anchors in words: the last ones span several.
+_ANCHOR_WORDS = ("licen[cs]", "copyright", "permission", "redistribut")
+_ANCHOR_RUNS = (("public", "domain"), ("all", "rights", "reserved"))
+_WINDOWED = r"(?i)licen[cs]|copyright|permission|redistribut|public[^a-z0-9]+domain|all[^a-z0-9]+rights[^a-z0-9]+reserved"
 
 
 def _terms(text: Column) -> Column:
@@ -77,6 +85,52 @@ def _idf(total: int, df: Column) -> Column:
     return F.log(F.lit(1.0 + total) / (1 + df)) + 1
 
 
+def _places(templates) -> list[tuple[int, int, int, int]]:
+    """(kind of anchor, template, words before the anchor, words of the template) of every anchor in the templates."""
+    out = []
+    for t, (_, text) in enumerate(templates):
+        words = [w for w in re.split(_WORDS, text.lower()) if w]
+        for i, w in enumerate(words):
+            kinds = [k for k, stem in enumerate(_ANCHOR_WORDS) if re.search(stem, w)]
+            kinds += [len(_ANCHOR_WORDS) + k for k, run in enumerate(_ANCHOR_RUNS) if tuple(words[i : i + len(run)]) == run]
+            out.extend((k, t, i, len(words)) for k in kinds)
+    return sorted(set(out))
+
+
+def _windows(base: DataFrame, templates) -> DataFrame:
+    """(fid, line, template, words) of every window; line is that of its first word."""
+    places = _places(templates)
+    if not places:
+        return base.limit(0).select("fid", F.lit(0).alias("line"), F.lit(0).alias("template"), _terms(F.col("text")).alias("words"))
+    reach = max(n for *_, n in places)
+    token = F.flatten(F.transform(F.split("text", "\n"), lambda line, i: F.transform(_terms(line), lambda w: F.struct((i + 1).alias("line"), w.alias("w")))))
+
+    def kind(t, w, i):
+        is_run = [F.lit(True) for _ in _ANCHOR_RUNS]
+        for k, run in enumerate(_ANCHOR_RUNS):
+            for j, part in enumerate(run):
+                is_run[k] &= F.coalesce(F.get(t, i + j)["w"] == part, F.lit(False))
+        found = F.when(w.rlike(_ANCHOR_WORDS[0]), 0)
+        for k, stem in enumerate(_ANCHOR_WORDS[1:], 1):
+            found = found.when(w.rlike(stem), k)
+        for k, hit in enumerate(is_run, len(_ANCHOR_WORDS)):
+            found = found.when(hit, k)
+        return found
+
+    # the words near an anchor are cut out before rows are made, so a long text is not repeated for each
+    def around(t):
+        anchors = F.filter(F.transform(t, lambda x, i: F.struct(kind(t, x["w"], i).alias("kind"), i.alias("at"))), lambda x: x["kind"].isNotNull())
+        first = lambda x: F.greatest(F.lit(0), x["at"] - reach)
+        return F.transform(anchors, lambda x: F.struct(x["kind"].alias("kind"), (x["at"] - first(x)).alias("at"), F.slice(t, first(x) + 1, F.lit(2 * reach)).alias("t")))
+
+    # an array of one, so that the words are a bound variable: a column would be split again for every word
+    near = base.where(F.col("text").rlike(_WINDOWED)).select("fid", F.explode(F.flatten(F.transform(F.array(token), around))).alias("x")).select("fid", "x.*")
+    table = F.broadcast(base.sparkSession.createDataFrame(places, "kind int, template int, before int, n int"))
+    low, high = F.greatest(F.lit(0), F.col("at") - F.col("before")), F.least(F.size("t"), F.col("at") - F.col("before") + F.col("n"))
+    cut = near.join(table, "kind").select("fid", "template", F.slice("t", low + 1, high - low).alias("t"))
+    return cut.select("fid", F.col("t")[0]["line"].alias("line"), "template", F.col("t.w").alias("words"))
+
+
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """``files`` with license, license_score, license_line (of a header; 0 for a whole licence file) and license_from.
 
@@ -94,28 +148,33 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     is_file = F.substring_index(F.col("path"), "/", -1).rlike(LICENCE_FILE)
     lines = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct((i + 1).alias("line"), line.alias("body"))), lambda x: x["body"].rlike(ANCHORS))
     whole = F.when(is_file, F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("body")))).otherwise(F.array().cast("array<struct<line:int,body:string>>"))
-    # a segment is named by its words: equal ones are compared with the templates once
-    segment = base.where(F.col("text").rlike(ANCHORS) | is_file).select("path", "__ls_row", F.explode(F.concat(whole, lines)).alias("s")).select("path", "s.line", _terms(F.col("s.body")).alias("words"), "s.body")
-    distinct = segment.select(F.xxhash64("words").alias("sid"), "words").groupBy("sid").agg(F.first("words").alias("words"))
+    # a segment is named by its words, and a window also by its template: equal ones are compared once
+    base = base.withColumn("fid", F.xxhash64("path", "text"))
+    texts = base.select("fid", "path", "text", is_file.alias("is_file")).where(F.col("text").rlike(_WINDOWED) | F.col("is_file"))
+    segment = texts.where(F.col("text").rlike(ANCHORS) | F.col("is_file")).select("fid", F.explode(F.concat(whole, lines)).alias("s")).select("fid", "s.line", F.lit(None).cast("int").alias("template"), _terms(F.col("s.body")).alias("words"))
+    segment = written(segment.unionByName(_windows(texts, templates)).withColumn("sid", F.xxhash64("template", "words")), "license-occurrences")
+    distinct = segment.select("sid", "template", "words").groupBy("sid").agg(F.first("template").alias("template"), F.first("words").alias("words"))
     distinct = written(distinct, "license-texts")
     counts = _document_counts(base, distinct, templates)
     idf = counts.select("term", _idf(base.count(), F.col("df")).alias("idf"))
     weights = F.broadcast(written(_weights(spark, idf, templates), "license-templates"))  # as many rows as the templates have terms
-    terms = distinct.select("sid", F.explode("words").alias("term")).groupBy("sid", "term").agg((1 + F.log(F.count("*"))).alias("tf"))
-    terms = terms.join(maybe_broadcast(idf, counts.count(), 64), "term").select("sid", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    of_lines = distinct.where("template IS NULL").select("sid", F.explode("words").alias("term")).groupBy("sid", "term").agg(F.count("*").alias("n")).select("sid", F.lit(None).cast("int").alias("only"), "term", "n")
+    counted = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.size(F.filter("words", lambda v: v == w)).cast("long").alias("n")))
+    of_windows = distinct.where("template IS NOT NULL").select("sid", F.col("template").alias("only"), F.inline(counted))
+    terms = of_lines.unionByName(of_windows).withColumn("tf", 1 + F.log("n"))
+    terms = terms.join(maybe_broadcast(idf, counts.count(), 64), "term").select("sid", "only", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = terms.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(weights, "term").groupBy("sid", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    dots = terms.join(weights, "term").where("only IS NULL OR only = template").groupBy("sid", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, "sid").withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= threshold)
     best = scored.groupBy("sid").agg(F.min(F.struct(-F.col("score"), "license")).alias("b")).select("sid", (-F.col("b.col1")).alias("score"), F.col("b.license").alias("license"))
     best = written(best, "license-segments")
 
-    # each file's best segment, decided within its row
+    # each file's best segment
     table = maybe_broadcast(best, best.count(), 64)
-    placed = base.select("__ls_row", "path", F.xxhash64("path", "text").alias("fid"), F.when(F.col("text").rlike(ANCHORS) | is_file, F.transform(F.concat(whole, lines), lambda x: F.struct(x["line"].alias("line"), F.xxhash64(_terms(x["body"])).alias("sid")))).alias("segments"))
-    found = placed.where("segments IS NOT NULL").select("fid", F.explode("segments").alias("s")).select("fid", "s.line", "s.sid").join(table, "sid")
+    found = segment.select("fid", "line", "sid").join(table, "sid")
     own = found.groupBy("fid").agg(F.min(F.struct(-F.col("score"), "license", "line")).alias("b")).select("fid", (-F.col("b.col1")).alias("own_score"), F.col("b.license").alias("own"), F.col("b.line").alias("own_line"))
     own = written(own, "license-own")
-    judged = placed.drop("segments").join(maybe_broadcast(own, own.count(), 64), "fid", "left").withColumn("dir", directory_of(F.col("path")))
+    judged = base.select("__ls_row", "path", "fid").join(maybe_broadcast(own, own.count(), 64), "fid", "left").withColumn("dir", directory_of(F.col("path")))
 
     sources = judged.where(F.col("own").isNotNull() & F.substring_index(F.col("path"), "/", -1).rlike(LICENCE_FILE)).groupBy("dir").agg(F.min(F.struct(-F.col("own_score"), "own")).alias("b"))
     sources = sources.select(F.col("dir").alias("ancestor"), (-F.col("b.col1")).alias("dir_score"), F.col("b.own").alias("dir_license"))

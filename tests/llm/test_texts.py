@@ -308,3 +308,13 @@ def test_license_terms_are_counted_over_whole_texts(spark):
     segments = spark.createDataFrame([(["the", "licence", "of", "a", "poem"],)], "words array<string>")
     got = {r["term"]: r["df"] for r in S._document_counts(docs, segments, S.TEMPLATES).collect()}
     assert {t: got[t] for t in ("the", "poem", "licence", "license", "mit", "and")} == {"the": 7, "poem": 7, "licence": 1, "license": 1, "mit": 1, "and": 0} and "end" not in got
+
+
+def test_license_headers_in_running_text_and_over_line_ends(spark):
+    header = "This work is licensed under the MIT License."
+    wrapped = "Redistribution and use in source and binary\n# forms, with or without modification,\n# are permitted provided that the following conditions are met"
+    rows = [("a/p.txt", f"{prose(1, 30)} {header} {prose(2, 30)}"), ("b/w.py", f"{prose(3, 9)}\n# {wrapped}\n{prose(4, 9)}"), ("c/d.txt", f"{prose(5, 20)}\nto the public\ndomain {prose(6, 20)}"), ("d/x.txt", prose(7, 40)), ("e/y.txt", None)]
+    got = {r["path"]: r for r in S.scan_licenses(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert (got["a/p.txt"]["license"], got["a/p.txt"]["license_score"]) == ("MIT", 1.0)
+    assert (got["b/w.py"]["license"], got["b/w.py"]["license_score"], got["b/w.py"]["license_line"]) == ("BSD-3-Clause", 1.0, 2)
+    assert got["c/d.txt"]["license"] is None and got["d/x.txt"]["license"] is None and got["e/y.txt"]["license"] is None
