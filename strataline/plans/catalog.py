@@ -499,6 +499,26 @@ def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.unionByName(without(new, old, "sha")).select("sha")
 
 
+@query(with_base("", "SELECT count(*) AS n, count(DISTINCT file_path) AS files FROM diffs WHERE file_path NOT IN (SELECT file_path FROM diffs WHERE commit_type = 'fix' AND file_path IS NOT NULL)"))
+def delete_by_path_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As delete_by_path, with the paths of all fix commits."""
+    from strataline.sources.store import without
+
+    rows = H.file_diffs(X.history(spark, sf_dir))
+    return without(rows, rows.where("commit_type = 'fix'").select("file_path"), "file_path").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("files"))
+
+
+@query(with_base("", "SELECT sha FROM summaries"))
+def incremental_append_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As incremental_append, over the whole history: its later three quarters are appended to its first half."""
+    from strataline.sources.store import without
+
+    rows = H.summaries(X.history(spark, sf_dir)).select("sha", "seq")
+    half = (rows.agg(F.max("seq")).first()[0] or 0) // 2
+    old, new = rows.where(F.col("seq") <= half), rows.where(F.col("seq") > half // 2)
+    return old.unionByName(without(new, old, "sha")).select("sha")
+
+
 @query(with_base(ALL_SQL, "SELECT id, 'churn_hotspot' AS type FROM churn UNION ALL SELECT id, 'stability_shift' FROM st"))
 def signals_replace_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataline.sources.store import replaced_types
