@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Side tables up to this many bytes are broadcast after their size was measured; larger ones are shuffled.
 BROADCAST_BYTES = 32 << 20
+#: The most keys of a table that count as hot: those with this share of its rows.
+HOT_KEYS = 1000
 #: Rows in one Arrow batch handed to Python; bounds a worker's memory when texts are long.
 BATCH_ROWS = 512
 
@@ -27,13 +29,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def prepare(spark: SparkSession) -> SparkSession:
     """Settings that the operators rely on: bounded Arrow batches and a checkpoint folder.
 
-    The checkpoint folder is the one in spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a temporary folder is taken.
+    The checkpoint folder is the one in spark.checkpoint.dir; only where that is unset and everything runs in
+    one process (tests) a temporary folder is taken. The batch size holds for the session from then on, as
+    results are computed later.
     """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="strataline-checkpoint-"))
     return spark
 
@@ -74,6 +79,27 @@ def maybe_broadcast(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
     return F.broadcast(df) if small_enough(rows, row_bytes) else df
 
 
+def hot_share(rows: int) -> int:
+    """A key is hot from so many of ``rows`` rows on: at most HOT_KEYS keys are, whatever the data."""
+    return max(1, -(-rows // HOT_KEYS))
+
+
+def looked_up(rows: DataFrame, known: DataFrame, key: str, row_bytes: int) -> DataFrame:
+    """``rows`` left-joined with ``known``, which has one row a key.
+
+    A known table of a measured small size is broadcast. Beyond it both sides are shuffled, but for the
+    rows of hot keys, whose at most HOT_KEYS known rows are broadcast, and those without a key.
+    """
+    if small_enough(known.count(), row_bytes):
+        return rows.join(F.broadcast(known), key, "left")
+    hot = rows.where(F.col(key).isNotNull()).groupBy(key).count().where(F.col("count") >= hot_share(rows.count())).select(key)
+    hot = written(hot.withColumn("__hot", F.lit(True)), "hot-keys")
+    marked = rows.join(F.broadcast(hot), key, "left")
+    parts = (marked.where("__hot"), F.broadcast(known.join(F.broadcast(hot.select(key)), key, "left_semi"))), (marked.where(F.col("__hot").isNull() & F.col(key).isNotNull()), known), (marked.where(F.col(key).isNull()), F.broadcast(known.limit(0)))
+    out = [part.join(table, key, "left").drop("__hot") for part, table in parts]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of unsigned 64-bit numbers (multiply and xor-shift rounds)."""
     x = x.astype(np.uint64, copy=True)
@@ -113,12 +139,28 @@ def pieces_of(batch, size: int):
     yield batch.slice(start)
 
 
+def _with_value(rows: DataFrame, values: DataFrame, total: int) -> DataFrame:
+    """``rows`` (a, b) joined with ``values`` (a, m, n), where n is the number of rows of a.
+
+    A key with a large share of the rows is never gathered in one task: the values of the hot ones, at
+    most 2 * HOT_KEYS by their counts, are broadcast.
+    """
+    bar = hot_share(total)
+    hot, cold = values.where(F.col("n") >= bar).select("a", "m"), values.where(F.col("n") < bar).select("a", "m")
+    # rows of hot keys leave before the shuffle; the others meet their values there
+    near = rows.join(F.broadcast(hot.withColumnRenamed("m", "hot_m")), "a", "left")
+    done = near.where("hot_m IS NOT NULL").select("a", "b", F.col("hot_m").alias("m"))
+    return done.unionByName(near.where("hot_m IS NULL").select("a", "b").join(cold, "a"))
+
+
 def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b: long); label is the smallest node reachable.
 
     Alternates large-star and small-star contraction: each round is two aggregations and two equi-joins,
-    nothing but two numbers reaches the driver, and each round's edges are checkpointed to the shared
-    folder. Null ends and self-loops are ignored; repeated edges count once; no edges give no rows.
+    nothing but three numbers reaches the driver, and each round's edges are checkpointed to the shared
+    folder. The hub of a star, as all members of a component end up in one, is summed before it is shuffled
+    and joined by broadcast. Null ends and self-loops are ignored; repeated edges count once; no edges give
+    no rows.
     """
     prepare(edges.sparkSession)
     e = (
@@ -127,24 +169,24 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         .distinct()
         .checkpoint()
     )
-    seen = None
+    seen, total = None, e.count()
     for _ in range(rounds):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count("*").alias("n"))
+        large = _with_value(both, least, total).where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct().checkpoint()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         e = (
-            large.join(low, "a")
+            _with_value(large, low, total)
             .where("b <> m")
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(low.select("a", F.col("m").alias("b")))
             .distinct()
             .checkpoint()
         )
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if tuple(now) == seen:
+        total, *now = e.agg(F.count("*"), F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == seen:
             break
-        seen = tuple(now)
+        seen = now
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select(F.col("b").alias("node")).distinct().select("node", F.col("node").alias("label"))

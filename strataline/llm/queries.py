@@ -76,7 +76,35 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_document_fingerprints, op2_language_id, op3_sentencepiece, op4_quality_classifier, op5_url_filter, op6_toxicity, op7_ngram_jaccard_join, op8_license_scan, op9_exact_dedup, op10_best_fit_packing)}
 
+_HOST = "translate(regexp_extract({rest}, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_REST = "CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END"
+#: The four rules, longest first.
+_FIT = "CASE WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/de/') THEN {0} WHEN (host = 'example.net' OR ends_with(host, '.example.net')) AND starts_with(path, '/en/') THEN {1} WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/fr/') THEN {2} WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/') THEN {3} END"
+
 ORACLES = {
+    "op5_url_filter": rf"""
+        WITH RECURSIVE tags AS (SELECT url, unnest(regexp_extract_all(html, '(?is)<(?:link|meta)\b[^>]*')) AS tag FROM pages),
+        hrefs AS (
+            SELECT url, CASE WHEN regexp_matches(tag, '(?is)^<link\b[^>]*\brel\s*=\s*["'']?canonical\b') THEN regexp_extract(tag, '(?is)\bhref\s*=\s*["'']?([^"''\s>]+)', 1)
+                   WHEN regexp_matches(tag, '(?is)^<meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b') THEN regexp_extract(tag, '(?is)\burl\s*=\s*["'']?([^"''\s>]+)', 1)
+                   WHEN regexp_matches(tag, '(?is)^<meta\b[^>]*\bproperty\s*=\s*["'']?og:url\b') THEN regexp_extract(tag, '(?is)\bcontent\s*=\s*["'']?([^"''\s>]+)', 1) END AS href FROM tags),
+        bases AS (SELECT url, href, regexp_extract(url, '^([A-Za-z][A-Za-z0-9+.-]*):', 1) AS scheme, {_REST.format(url="url")} AS rest FROM hrefs WHERE href <> ''),
+        links AS (
+            SELECT url AS source, CASE WHEN regexp_matches(href, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN href WHEN starts_with(href, '//') THEN scheme || ':' || href
+                   WHEN starts_with(href, '/') THEN scheme || '://' || {_HOST.format(rest="rest")} || href
+                   ELSE scheme || '://' || {_HOST.format(rest="rest")} || coalesce(nullif(regexp_replace(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '[^/]*$', ''), ''), '/') || href END AS target FROM bases),
+        urls AS (SELECT url FROM pages UNION SELECT source FROM links UNION SELECT target FROM links),
+        split AS (SELECT url, {_HOST.format(rest=_REST.format(url="url"))} AS host, regexp_extract({_REST.format(url="url")}, '^[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '^[^?#]*(\?[^#]*)?', 1) AS q FROM urls WHERE url IS NOT NULL),
+        judged AS (SELECT *, CASE WHEN instr(url, '://') > 0 THEN host || coalesce(nullif(path, ''), '/') || q END AS node, {_FIT.format("'example.com/de/'", "'example.net/en/'", "'org/fr/'", "'net/'")} AS rule, {_FIT.format("'block'", "'allow'", "'allow'", "'block'")} AS own FROM split),
+        edges AS (SELECT DISTINCT a.node AS x, b.node AS y FROM links JOIN judged a ON a.url = source JOIN judged b ON b.url = target WHERE a.node <> b.node),
+        ways AS (SELECT x, y FROM edges UNION SELECT y, x FROM edges),
+        reach(x, y) AS (SELECT x, y FROM ways UNION SELECT r.x, w.y FROM reach r JOIN ways w ON w.x = r.y),
+        verdicts AS (SELECT n.node, bool_or(m.own = 'block') AND NOT coalesce(bool_or(m.own = 'allow'), false) AS blocked
+                     FROM (SELECT DISTINCT node FROM judged WHERE node IN (SELECT source_node FROM (SELECT a.node AS source_node FROM links JOIN judged a ON a.url = source UNION SELECT b.node FROM links JOIN judged b ON b.url = target))) n
+                     JOIN (SELECT x, y FROM reach UNION SELECT node, node FROM judged WHERE node IS NOT NULL) r ON r.x = n.node JOIN judged m ON m.node = r.y GROUP BY n.node)
+        SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule, coalesce(own, CASE WHEN blocked THEN 'block' END, 'allow') AS verdict
+        FROM pages LEFT JOIN judged USING (url) LEFT JOIN verdicts USING (node)
+    """,
     "op7_ngram_jaccard_join": r"""
         WITH RECURSIVE words AS MATERIALIZED (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w

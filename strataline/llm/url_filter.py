@@ -3,9 +3,9 @@
 Rules are (host, path prefix, verdict); a rule fits its host and all subdomains where the URL's path
 starts with the rule's, and the longest rule wins. A URL's own rule always decides. URLs without a rule
 are judged by their aliases: pages that redirect to each other, or name each other as canonical, form
-connected components, found by distributed contraction. A component with a blocked member is blocked,
-unless a rule explicitly allows one of its members: explicit allow takes precedence. Everything else is
-allowed.
+connected components, found by distributed contraction. Every member, page or link end, is judged by the
+host and path of its own address as written; a component with a blocked member is blocked, unless a rule
+explicitly allows one of its members: explicit allow takes precedence. Everything else is allowed.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strataline.llm.common import connected_components, kept_columns, prepare, quoted, written
+from strataline.llm.common import connected_components, kept_columns, looked_up, prepare, quoted, written
 
 #: (host, path, verdict), the rules that queries use.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
@@ -37,9 +37,9 @@ def path_of(url: Column) -> Column:
 
 
 def normal_url(url: Column) -> Column:
-    """host + path of an absolute URL without a trailing slash or fragment, with its query; null for others."""
+    """The name under which addresses are one: host, path (an empty one is /) and query, without scheme and fragment; null without ://."""
     query = F.regexp_extract(url, r"(?s)^[^?#]*(\?[^#]*)?", 1)
-    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), F.regexp_replace(path_of(url), "/+$", ""), query))
+    return F.when(F.instr(url, "://") > 0, F.concat(host_of(url), F.when(path_of(url) == "", "/").otherwise(path_of(url)), query))
 
 
 def rule_columns(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
@@ -69,7 +69,7 @@ def absolute(target: Column, base: Column) -> Column:
     root = F.concat(scheme, F.lit("://"), host_of(base))
     folder = F.regexp_replace(path_of(base), r"[^/]*$", "")
     return (
-        F.when(F.instr(target, "://") > 0, target)
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
         .when(target.startswith("/"), F.concat(root, target))
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), target))
@@ -77,41 +77,50 @@ def absolute(target: Column, base: Column) -> Column:
 
 
 def alias_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(source, target): redirect and canonical links of pages, as normalised URLs. Whole documents are read."""
+    """(source, target): redirect and canonical links of pages, as absolute addresses. Whole documents are read."""
     url = F.col(quoted(url_col))
     found = reduce(F.concat, [F.coalesce(F.regexp_extract_all(F.col(quoted(html_col)), F.lit(p), 1), F.array()) for p in LINK_PATTERNS])
-    links = pages.select(url.alias("__uf_url"), F.explode(found).alias("__uf_to"))
-    return links.select(normal_url(F.col("__uf_url")).alias("source"), normal_url(absolute(F.col("__uf_to"), F.col("__uf_url"))).alias("target")).where("source IS NOT NULL AND target IS NOT NULL AND source <> target")
+    links = pages.select(url.alias("source"), F.explode(found).alias("__uf_to"))
+    return links.select("source", absolute(F.col("__uf_to"), F.col("source")).alias("target"))
 
 
 def filter_urls(pages: DataFrame, rules=RULES, links: DataFrame | None = None, url_col: str = "url", html_col: str | None = "html") -> DataFrame:
     """``pages`` with host, path, rule and verdict.
 
     ``links`` (source, target) adds redirects known from elsewhere, as from a crawl log. URLs that appear
-    only as a link's end take part: their own rules count for the component. A null URL or one without
-    :// has an empty host and path, no rule and no alias, and is allowed. Repeated rows are judged alike;
-    input columns named like the results are replaced. An empty table gives no rows.
+    only as a link's end take part: their own rules count for the component, as do those of all pages
+    in it. A null URL or one without :// has an empty host and path, no rule and no alias, and is
+    allowed. Of rules of equal length the longer host, then the alphabetically first wins. Repeated rows
+    are judged alike; input columns named like the results are replaced. An empty table gives no rows.
     """
     spark = prepare(pages.sparkSession)
     url = F.col(quoted(url_col))
-    edges = links.select(normal_url(F.col("source")).alias("source"), normal_url(F.col("target")).alias("target")).where("source IS NOT NULL AND target IS NOT NULL") if links is not None else None
+    edges = links.select("source", "target") if links is not None else None
     if html_col is not None:
         own = alias_links(pages, url_col, html_col)
         edges = own if edges is None else edges.unionByName(own)
+    if edges is None:
+        edges = spark.createDataFrame([], "source string, target string")
+    edges = edges.select("source", "target", normal_url(F.col("source")).alias("a"), normal_url(F.col("target")).alias("b"))
+    edges = written(edges.where("a IS NOT NULL AND b IS NOT NULL").distinct(), "url-links")
     names = kept_columns(pages, {"host", "path", "rule", "verdict"})
     row = F.struct(*[F.col(quoted(c)).alias(c) for c in names]).alias("__uf_row") if names else F.struct(F.lit(1).alias("__uf_none")).alias("__uf_row")
-    base = pages.select(row, url.alias("__uf_url"), host_of(url).alias("host"), path_of(url).alias("path"))
     rule, verdict = rule_columns(F.col("host"), F.col("path"), rules)
-    base = base.select("__uf_row", "host", "path", rule.alias("rule"), verdict.alias("__uf_own"), F.xxhash64(normal_url(F.col("__uf_url"))).alias("__uf_node"), normal_url(F.col("__uf_url")).isNotNull().alias("__uf_named"))
-    # URLs are nodes by a 64-bit hash
-    edges = written(edges.distinct() if edges is not None else spark.createDataFrame([], "source string, target string"), "url-links")
-    labels = connected_components(edges.select(F.xxhash64("source").alias("a"), F.xxhash64("target").alias("b")))
-    ends = edges.select(F.col("source").alias("u")).unionByName(edges.select(F.col("target").alias("u"))).distinct()
-    address = F.concat(F.lit("x://"), F.col("u"))
-    _, verdict = rule_columns(host_of(address), F.concat(path_of(address), F.when(path_of(address) == "", "/").otherwise("")), rules)
-    judged = ends.select(F.xxhash64("u").alias("node"), verdict.alias("v")).join(labels, "node")
-    # all that a component needs is two flags, so a hot component is summed before it is shuffled
-    component = judged.groupBy("label").agg(F.max(F.col("v") == "block").alias("blocked"), F.max(F.col("v") == "allow").alias("allowed"))
-    blocked = labels.join(component.where("blocked AND NOT coalesce(allowed, false)").select("label"), "label").select(F.col("node").alias("__uf_node"), F.lit(True).alias("__uf_blocked"))
-    judged = base.join(blocked, (F.col("__uf_named")) & (base["__uf_node"] == blocked["__uf_node"]), "left")
-    return judged.select("__uf_row.*" if names else F.lit(None).alias("__uf_none"), "host", "path", "rule", F.coalesce("__uf_own", F.when(F.col("__uf_blocked"), "block"), F.lit("allow")).alias("verdict")).drop("__uf_none")
+    judged = lambda df: df.withColumn("host", host_of(F.col("__uf_url"))).withColumn("path", path_of(F.col("__uf_url"))).withColumns({"rule": rule, "own": verdict})
+    base = judged(pages.select(row, url.alias("__uf_url"))).withColumn("node", normal_url(F.col("__uf_url")))
+
+    # addresses are numbered, so that no two share a node
+    ends = edges.select(F.col("a").alias("node")).unionByName(edges.select(F.col("b").alias("node"))).distinct()
+    ends = written(ends.withColumn("number", F.monotonically_increasing_id()), "url-nodes")
+    numbered = edges.select("a", "b").distinct().join(ends.select(F.col("node").alias("a"), F.col("number").alias("x")), "a").join(ends.select(F.col("node").alias("b"), F.col("number").alias("y")), "b")
+    labels = connected_components(numbered.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("node").alias("number"), "label")
+    # all that a component needs is two flags, so a hot address or component is summed before it is shuffled
+    flags = [F.max(F.col("own") == "block").alias("blocked"), F.max(F.col("own") == "allow").alias("allowed")]
+    said = judged(edges.select(F.col("source").alias("__uf_url"), F.col("a").alias("node")).union(edges.select("target", "b")))
+    said = said.select("node", "own").unionByName(base.select("node", "own")).where("own IS NOT NULL").groupBy("node").agg(*flags)
+    member = ends.join(labels, "number").join(said, "node", "left").select("node", "label", *[F.coalesce(c, F.lit(False)).alias(c) for c in ("blocked", "allowed")])
+    member = written(member, "url-members")
+    component = member.groupBy("label").agg(F.max("blocked").alias("blocked"), F.max("allowed").alias("allowed")).where("blocked AND NOT allowed").select("label")
+    blocked = written(member.join(component, "label", "left_semi").select("node", F.lit(True).alias("__uf_blocked")), "url-blocked")
+    out = looked_up(base, blocked, "node", 300)
+    return out.select("__uf_row.*" if names else F.lit(None).alias("__uf_none"), "host", "path", "rule", F.coalesce("own", F.when(F.col("__uf_blocked"), "block"), F.lit("allow")).alias("verdict")).drop("__uf_none")

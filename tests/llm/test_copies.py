@@ -21,6 +21,36 @@ def test_components_follow_long_chains(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars_and_random_graphs(spark):
+    """Hubs of either end, and a random graph against union-find."""
+    r = np.random.default_rng(4)
+    edges = [(0, i) for i in range(1, 400)] + [(9000, 5000 + i) for i in range(400)] + [tuple(int(x) for x in r.integers(10_000, 10_400, 2)) for _ in range(260)]
+    root = {x: x for e in edges for x in e}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    got = {r["node"]: r["label"] for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    loops = {a for a, b in edges if a == b and all(a not in e for e in edges if e != (a, b))}
+    assert got == {x: find(x) for x in root if x not in loops}
+
+
+def test_look_ups_beyond_broadcasts(spark, monkeypatch):
+    from strataline.llm import common
+
+    rows = spark.createDataFrame([(i, None if i % 10 == 0 else "hot" if i % 3 else f"k{i}") for i in range(300)], "i long, k string")
+    known = spark.createDataFrame([("hot", 1), ("k3", 2), ("k9", 3), ("other", 4)], "k string, v int")
+    want = sorted(map(tuple, common.looked_up(rows, known, "k", 10).collect()), key=str)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(common, "HOT_KEYS", 3)
+    assert sorted(map(tuple, common.looked_up(rows, known, "k", 10).collect()), key=str) == want and len(want) == 300
+
+
 def test_quotient_filter_merges_without_loss():
     r = np.random.default_rng(0)
     a, b = r.integers(0, 1 << 63, 4000).astype(np.uint64), r.integers(0, 1 << 63, 300).astype(np.uint64)

@@ -1,5 +1,6 @@
 """Packing, SentencePiece, language, quality, toxicity, URLs, licences and the pipeline."""
 
+import re
 import zlib
 
 import numpy as np
@@ -271,6 +272,90 @@ def test_blocks_spread_over_redirect_chains(spark):
     assert got[5] == got[6] == "block" and all(got[100 + i] == "block" for i in range(10)) and got[10] == "allow"
 
 
+def test_members_are_judged_by_their_own_address(spark):
+    """An allow or block at a directory's root counts for the component, and an empty path gets no slash."""
+    link = '<link rel="canonical" href="{}">'.format
+    rows = [
+        (1, "http://one.test/", link("http://example.net/en/")), (2, "http://one.test/b", link("http://bad.net/x")), (3, "http://example.net/en/", link("http://bad.net/x")), (4, "http://two.test/", link("http://example.com/de/")),
+        (5, "http://three.test/", link("http://q.net")), (6, "http://q.net", None), (7, "http://w.test/", link("//bad.net/y?u=http://z")), (8, "http://w.test/c/d", link("../c")), (9, "http://w.test/c/e", link("/go?u=http://bad.net/")),
+    ]
+    got = {r["page_id"]: r["verdict"] for r in U.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    # 1 names an allowed address, which itself leads to a blocked one: the allow decides for the component
+    assert got == {1: "allow", 2: "allow", 3: "allow", 4: "block", 5: "allow", 6: "allow", 7: "block", 8: "allow", 9: "allow"}
+
+
+def random_pages(seed, n=120):
+    r, rows = np.random.default_rng(seed), []
+    hosts, paths = ["a.test", "b.test", "example.net", "x.example.net", "example.com", "w.org", "BAD.net", "c.test:80"], ["", "/", "/en/", "/de/1", "/fr/", "/en", "/p?x=1", "/p#f", "/q"]
+    address = lambda: f"http{'s' * int(r.integers(2))}://{hosts[r.integers(len(hosts))]}{paths[r.integers(len(paths))]}"
+    for i in range(n):
+        url = None if i % 37 == 0 else "no address" if i % 41 == 0 else address()
+        target = address() if r.random() < 0.8 else ["/q", "sub/x", "//b.test/z", "q?u=http://bad.net/"][r.integers(4)]
+        html = [None, f"<link rel='canonical' href='{target}'>", f"<META http-equiv=refresh content='0; URL={target}'>", f'<meta content="{target}" property="og:url">', "<p>no link</p>"][r.integers(5)] if r.random() < 0.35 else "<a href='http://bad.net/'>"
+        rows.append((i, url, html))
+    return rows
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_url_filter_against_sql_on_random_links(spark, seed, monkeypatch):
+    duckdb = pytest.importorskip("duckdb")
+    from strataline.llm import common
+    from strataline.llm.queries import ORACLES
+
+    rows = random_pages(seed)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id BIGINT, url VARCHAR, html VARCHAR)")
+    con.executemany("INSERT INTO pages VALUES (?, ?, ?)", rows)
+    want = sorted(con.execute(f"SELECT page_id, host, path, rule, verdict FROM ({ORACLES['op5_url_filter']})").fetchall())
+    if seed:  # also beyond the broadcasts
+        monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = sorted((r["page_id"], r["host"], r["path"], r["rule"], r["verdict"]) for r in U.filter_urls(df).collect())
+    assert got == want and len({r[4] for r in got}) == 2
+
+
+def brute_urls(pages, links):
+    """Components by repeated passes over the links, members judged by their own addresses."""
+
+    def parts(u):
+        rest = u.split("://", 1)[1] if u and "://" in u else ""
+        host = re.match(r"[^/?#]*", rest)[0]
+        return host.lower(), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+    def node(u):
+        host, path = parts(u)
+        return host + (path or "/") + (re.match(r"[^?#]*(\?[^#]*)?", u)[1] or "") if u and "://" in u else None
+
+    def own(u):
+        host, path = parts(u)
+        fits = [(len(h + p), v) for h, p, v in U.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1] if fits else None
+
+    label = {node(u): node(u) for pair in links for u in pair}
+    for _ in label:
+        for a, b in links:
+            low = min(label[node(a)], label[node(b)])
+            label[node(a)] = label[node(b)] = low
+    found = {}
+    for u in [u for pair in links for u in pair] + [u for u in pages if node(u) in label]:
+        found.setdefault(label[node(u)], set()).add(own(u))
+    return [own(u) or ("block" if node(u) in label and "block" in found[label[node(u)]] and "allow" not in found[label[node(u)]] else "allow") for u in pages]
+
+
+def test_url_filter_against_brute_force(spark):
+    pages = [u for _, u, _ in random_pages(7, 200)]
+    links = [(a, b) for (_, a, _), (_, b, _) in zip(random_pages(8, 60), random_pages(9, 60), strict=True) if a and b and "://" in a and "://" in b]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id long, url string")
+    got = {r["page_id"]: r["verdict"] for r in U.filter_urls(df, links=spark.createDataFrame(links, "source string, target string"), html_col=None).collect()}
+    assert [got[i] for i in range(len(pages))] == brute_urls(pages, links)
+
+
+def test_very_long_pages(spark):
+    rows = [(1, "http://a.test/" + "x" * 50_000, "<p>" + "y" * 300_000 + '<link rel="canonical" href="http://bad.net/' + "z" * 20_000 + '">'), (2, "http://b.test", "<" * 5000 + "<link " * 2000)]
+    got = {r["page_id"]: r["verdict"] for r in U.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "block", 2: "allow"}
+
+
 def test_url_filter_of_awkward_columns(spark):
     df = spark.createDataFrame([("x", "http://q.net/a", "h", "r", 1)], "verdict string, url string, host string, rule string, page_id long")
     assert U.filter_urls(df, html_col=None).first()["rule"] == "net/" and U.filter_urls(df.limit(0), html_col=None).count() == 0
