@@ -1,7 +1,7 @@
 """Language identification by language-bitmask n-gram filters.
 
-The model is a bit-sliced Bloom filter: a table of SLOTS language masks (bit l of a mask belongs to
-language l). An n-gram is added for a language by setting the language's bit in the masks of its HASHES
+The model is a bit-sliced Bloom filter: a table of SLOTS language masks, each of as many 64-bit words as
+the languages need (bit l mod 64 of word l div 64 belongs to language l). An n-gram is added for a language by setting the language's bit in the masks of its HASHES
 slots; a look-up ANDs those masks and returns every language that holds the n-gram at once. A text's
 popcount for a language is the number of its n-grams whose mask has the language's bit. Each language's
 false-positive rate is known from its share of set bits, f = fill ** HASHES, and corrects the popcount c of
@@ -13,20 +13,20 @@ texts and make up a larger share of its n-grams than of all languages' together.
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from strataline.llm.common import mix64, pieces_of, prepare, quoted, text_of
+from strataline.llm.common import kept_columns, mix64, pieces_of, prepare, quoted, text_of
 
 NGRAMS = (2, 3, 4)
 SLOTS, HASHES = 1 << 18, 3
 #: Texts that the model is learned from, per language: the only bound; a text is taken whole.
 SAMPLE_PER_LANGUAGE = 400
-#: Languages that a model can tell apart (the width of a mask).
-MOST_LANGUAGES = 64
 TYPICAL = 0.02
 #: Characters whose n-grams the learner holds at once.
 LEARN_CHARS = 200_000
@@ -36,10 +36,10 @@ UNDETERMINED = "und"
 
 def _letters() -> tuple[np.ndarray, np.ndarray]:
     """For each code point: whether it is a letter, and its lower-case form (where that is one code point)."""
-    points = 0x30000
+    points = 0x110000
     letter = np.fromiter((chr(i).isalpha() for i in range(points)), bool, points)
     lower = np.arange(points, dtype=np.uint32)
-    for i in np.flatnonzero(letter[:0x2000]):
+    for i in np.flatnonzero(letter):
         small = chr(i).lower()
         if len(small) == 1:
             lower[i] = ord(small)
@@ -93,7 +93,7 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class LanguageModel:
     languages: list[str]
-    masks: np.ndarray  # uint64 per slot
+    masks: np.ndarray  # uint64 [mask word, slot]
     false_positive: np.ndarray  # per language
 
     @staticmethod
@@ -103,31 +103,25 @@ class LanguageModel:
 
     @classmethod
     def learn(cls, texts: list[str], languages: list[str]) -> LanguageModel:
-        names = sorted(set(languages))[:MOST_LANGUAGES]
+        names = sorted(set(languages))
+        masks = np.zeros((-(-len(names) // 64), SLOTS), np.uint64)
         if not names:
-            return cls([], np.zeros(SLOTS, np.uint64), np.zeros(0))
-        lang = np.array([names.index(x) if x in names else -1 for x in languages])
-        found, number, rows = [], [], []
-        sizes = np.cumsum([len(t) for t in texts]) // LEARN_CHARS if texts else np.zeros(0, int)
-        for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):  # slices bound the memory
-            grams, owner = ngrams([texts[i] for i in part])
-            values, code = np.unique(grams, return_inverse=True)
-            pairs = np.unique(code.astype(np.int64) * max(1, len(part)) + owner)
-            pair_code, pair_owner = pairs // max(1, len(part)), pairs % max(1, len(part))
-            found.append(values)
-            number.append(np.stack([np.bincount(code[lang[part][owner] == k], minlength=len(values)) for k in range(len(names))]) if len(part) else np.zeros((len(names), 0)))
-            rows.append(np.stack([np.bincount(pair_code[lang[part][pair_owner] == k], minlength=len(values)) for k in range(len(names))]) if len(part) else np.zeros((len(names), 0)))
-        values, code = np.unique(np.concatenate(found), return_inverse=True)
-        number, rows = np.concatenate(number, 1), np.concatenate(rows, 1)
-        count = np.stack([np.bincount(code, weights=number[k], minlength=len(values)) for k in range(len(names))])
-        docs = np.stack([np.bincount(code, weights=rows[k], minlength=len(values)) / max(1, (lang == k).sum()) for k in range(len(names))])
-        share = count / np.maximum(count.sum(1, keepdims=True), 1)
-        typical = (docs >= TYPICAL) & (share > share.mean(0)) if len(names) > 1 else docs > 0
-        masks = np.zeros(SLOTS, np.uint64)
-        for k in range(len(names)):
-            for slot in cls.slots(values[typical[k]]):
-                masks[slot] |= np.uint64(1 << k)
-        fill = np.array([((masks >> np.uint64(k)) & np.uint64(1)).mean() for k in range(len(names))])
+            return cls([], masks, np.zeros(0))
+        by = [[t for t, x in zip(texts, languages, strict=True) if x == name] for name in names]
+        kept, shares = [], []  # of each language: its n-grams, what share of its n-grams each is, and of its texts
+        for mine in by:
+            values, count, rows = _counted(mine)
+            kept.append((values, count / max(1, count.sum()), rows / len(mine)))
+            shares.append(values)
+        values, code = np.unique(np.concatenate(shares), return_inverse=True)
+        mean = np.bincount(code, weights=np.concatenate([share for _, share, _ in kept]), minlength=len(values)) / len(names)
+        fill = np.zeros(len(names))
+        for k, (grams, share, rows) in enumerate(kept):
+            typical = grams[(rows >= TYPICAL) & (share > mean[np.searchsorted(values, grams)])] if len(names) > 1 else grams
+            bit = np.uint64(1 << (k % 64))
+            for slot in cls.slots(typical):
+                masks[k // 64, slot] |= bit
+            fill[k] = (masks[k // 64] & bit != 0).mean()
         return cls(names, masks, fill**HASHES)
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -136,10 +130,11 @@ class LanguageModel:
             return [UNDETERMINED] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
         grams, owner = ngrams(texts)
         n = np.bincount(owner, minlength=len(texts)).astype(float)
-        held = None
-        for slot in self.slots(grams):
-            held = self.masks[slot] if held is None else held & self.masks[slot]
-        hits = np.stack([np.bincount(owner, weights=((held >> np.uint64(k)) & np.uint64(1)).astype(float), minlength=len(texts)) for k in range(len(self.languages))])
+        slots, hits = self.slots(grams), np.zeros((len(self.languages), len(texts)))
+        for word, masks in enumerate(self.masks):
+            held = functools.reduce(np.bitwise_and, [masks[slot] for slot in slots])
+            for k in range(64 * word, min(len(self.languages), 64 * word + 64)):
+                hits[k] = np.bincount(owner, weights=((held >> np.uint64(k % 64)) & np.uint64(1)).astype(float), minlength=len(texts))
         right = np.maximum(0.0, (hits - self.false_positive[:, None] * n) / (1 - self.false_positive[:, None]))
         best = right.argmax(0)
         top, total = right[best, np.arange(len(texts))], right.sum(0)
@@ -147,30 +142,47 @@ class LanguageModel:
         return [self.languages[b] if k else UNDETERMINED for b, k in zip(best, n > 0, strict=True)], np.where(n > 0, score, 0.0), np.where(n > 0, np.minimum(1.0, top / np.maximum(n, 1)), 0.0)
 
 
+def _counted(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of texts, how often each occurs and in how many texts; slices bound the memory."""
+    found = []
+    sizes = np.cumsum([len(t) for t in texts]) // LEARN_CHARS
+    for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(sizes)) + 1):
+        grams, owner = ngrams([texts[i] for i in part])
+        values, code = np.unique(grams, return_inverse=True)
+        pairs = np.unique(code.astype(np.int64) * len(part) + owner)
+        found.append((values, np.bincount(code, minlength=len(values)), np.bincount(pairs // len(part), minlength=len(values))))
+    values, code = np.unique(np.concatenate([v for v, _, _ in found]), return_inverse=True)
+    return values, *(np.bincount(code, weights=np.concatenate([f[j] for f in found]), minlength=len(values)) for j in (1, 2))
+
+
 def learn_language_model(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> LanguageModel:
-    """A model from about ``per_language`` rows of each language, chosen by a hash of their text; rows without text or language are left out."""
+    """A model of every language in ``lang_col`` from at most ``per_language`` distinct texts of each.
+
+    The texts are those with the smallest hashes of their content, so repeated rows and ties change nothing;
+    rows without text or language are left out. An empty table gives a model without languages, by which
+    everything is undetermined.
+    """
     rows = labelled.select(F.col(quoted(text_col)).cast("string").alias("text"), F.col(quoted(lang_col)).cast("string").alias("lang")).where("text IS NOT NULL AND lang IS NOT NULL")
     rows = rows.withColumn("draw", F.pmod(F.xxhash64("text"), F.lit(1 << 30)))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    # one row a language: about how many different texts it has
+    counts = {r["lang"]: max(1, r["n"]) for r in rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")).collect()}
     if not counts:
-        return LanguageModel([], np.zeros(SLOTS, np.uint64), np.zeros(0))
-    wanted = F.lit(False)
-    for r in counts:
-        wanted |= (F.col("lang") == r["lang"]) & (F.col("draw") < int(min(1.0, per_language / r["count"]) * (1 << 30)))
-    got = rows.where(wanted).select("text", "lang", "draw").toPandas().sort_values(["lang", "draw", "text"])
+        return LanguageModel.learn([], [])
+    bars = labelled.sparkSession.createDataFrame([(x, int(min(1.0, 2 * per_language / n) * (1 << 30))) for x, n in counts.items()], "lang string, bar long")
+    # about twice as many texts as needed pass the bar; copies are dropped where they lie
+    drawn = rows.join(F.broadcast(bars), "lang").where("draw < bar").groupBy("lang", "draw", "text").count()
+    first = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "text"))
+    got = drawn.withColumn("at", first).where(F.col("at") <= per_language).select("text", "lang", "draw").toPandas().sort_values(["lang", "draw", "text"])
     return LanguageModel.learn(got["text"].tolist(), got["lang"].tolist())
 
 
 def identify_languages(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
     """``docs`` with lang_pred, score and coverage (double); input columns of these names are replaced.
 
-    Texts that are null or hold no letter are ``und`` with score 0. Whole texts are read. No shuffle; the
-    broadcast model has a fixed size (SLOTS masks).
+    Texts that are null, empty or hold no letter are ``und`` with score 0. Of equal counts the alphabetically
+    first language wins. Repeated rows are judged alike; an empty table gives no rows. Whole texts are read.
+    No shuffle; the size of the broadcast model is SLOTS masks, whatever the corpus.
     """
-    from pyspark.sql import types as T
-
-    from strataline.llm.common import kept_columns
-
     spark = prepare(docs.sparkSession)
     names = kept_columns(docs, {"lang_pred", "score", "coverage"})
     shared = spark.sparkContext.broadcast(model)

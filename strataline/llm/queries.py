@@ -23,14 +23,19 @@ def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _held_out(id_col: str = "doc_id") -> Column:
-    """True for the fifth of the documents that models never learn from."""
+    """True for the fifth of the documents that models never learn from; null for those without an id, which they don't learn from either."""
     return F.crc32(F.col(id_col).cast("string")) % 5 == 0
 
 
+def _said(id_col: str = "doc_id") -> Column:
+    """held_out as a result: a row without an id has no remainder, so it isn't held out."""
+    return F.coalesce(_held_out(id_col), F.lit(False)).alias("held_out")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn_language_model(docs.where(~_held_out()))
-    return identify_languages(docs.select("doc_id", _held_out().alias("held_out"), "text"), model).drop("text", "coverage")
+    return identify_languages(docs.select("doc_id", _said(), "text"), model).drop("text", "coverage")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,7 +46,7 @@ def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     network = learn_quality(docs, table(spark, sf_dir, "labels").where(~_held_out()))
-    return score_quality(docs.select("doc_id", _held_out().alias("held_out"), "text"), network).drop("text")
+    return score_quality(docs.select("doc_id", _said(), "text"), network).drop("text")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn_toxicity(docs, table(spark, sf_dir, "labels").where(~_held_out()))
-    return tag_toxicity(docs.select("doc_id", _held_out().alias("held_out"), "text"), model).drop("text", "spans")
+    return tag_toxicity(docs.select("doc_id", _said(), "text"), model).drop("text", "spans")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
