@@ -152,8 +152,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
 def score_quality(docs: DataFrame, network: ByteNetwork, text_col: str = "text") -> DataFrame:
     """``docs`` with score (double, the probability of label 1) and predicted (1 if score >= THRESHOLD).
 
-    Null texts count as empty, which are scored as a chunk of zeros. Input columns named like the results
-    are replaced. Whole texts are read. No shuffle; the broadcast network has a fixed size.
+    Null texts count as empty, which are scored as a chunk of zeros. A score of THRESHOLD itself is predicted 1.
+    Repeated rows are scored alike; an empty table gives no rows. Input columns named like the results are replaced. Whole texts are read. No shuffle; the broadcast network has a fixed size.
     """
     spark = prepare(docs.sparkSession)
     names = kept_columns(docs, {"score", "predicted"})

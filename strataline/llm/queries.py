@@ -56,7 +56,7 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = learn_toxicity(docs, table(spark, sf_dir, "labels").where(~_held_out()))
-    return tag_toxicity(docs.select("doc_id", _said(), "text"), model).drop("text", "spans")
+    return tag_toxicity(docs.select("doc_id", _said(), "text"), model).drop("text")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,22 +2,25 @@
 
 Tokens have two states, clean and toxic. Token labels for training come from document labels: words
 (or first bytes of words) that are in more toxic documents than chance allows, by a test of the counts within
-each language and over all of them, are the seeds, and a seed in a toxic document is a toxic token. The field has hashed features of the word, its first and last bytes, and of both
-neighbours, plus transition and start weights; training maximises the likelihood of labelled windows.
+each language and over all of them, are the seeds, and a seed in a toxic document is a toxic token. The field
+has hashed features of the word, its first and last bytes, and of both neighbours, plus transition and start
+weights; training maximises the likelihood of the labels of whole documents, every token of which counts.
 
 Scoring is exact forward-backward over each whole document: a step of a two-state chain is a fractional
 linear map of the ratio of its two forward weights, so blocks of steps are composed as 2 x 2 matrices,
 chained over blocks, and then expanded again, all in vectors over blocks. A document's score is a
-logistic function of the expected number of toxic tokens (of marginals that stand out) and the largest marginal; runs of tokens with
-marginals of one half or more are the offending spans.
+logistic function of the sum of its tokens' squared marginals (the expected number of toxic tokens, each
+weighed by its own probability) and the largest marginal; runs of tokens with marginals of one half or more are
+the offending spans.
 """
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, fields
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,10 +31,8 @@ SAMPLE_PER_LABEL = 500
 WEIGHTS = 1 << 18
 #: A seed is in at least SEED_ROWS toxic documents; of all words that are, FALSE_SEEDS at most are expected to pass by chance.
 SEED_ROWS, FALSE_SEEDS = 6, 0.01
-WINDOW, STEPS, RATE, DECAY = 16, 80, 0.3, 1e-4
+STEPS, RATE, DECAY = 80, 0.3, 1e-4
 BLOCK = 64
-#: Smaller marginals are background: they would add up to a toxic token in a long clean text.
-NOTICED = 0.2
 SLICE_BYTES = 512 << 10
 _WORD = np.zeros(256, bool)
 _WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -130,19 +131,23 @@ class ToxicityModel:
 
     def marginals(self, tokens: Tokens) -> np.ndarray:
         """The probability of the toxic state for every token, over whole documents."""
-        n = len(tokens.word)
-        if not n:
+        if not len(tokens.word):
             return np.zeros(0)
-        e = np.exp(np.clip(self.weights[tokens.features()].sum(1), -30, 30))
-        m = np.exp(self.transition)
         first = np.concatenate([[True], tokens.owner[1:] != tokens.owner[:-1]])
+        ahead, back, _ = self.forward_backward(_summed(self.weights, tokens.features()), first)
+        odds = ahead * back
+        return odds / (1 + odds)
+
+    def forward_backward(self, energy: np.ndarray, first: np.ndarray):
+        """Ratios of the toxic to the clean weight of each token, from the left with it and from the right without it, and its own."""
+        e = np.exp(np.clip(energy, -30, 30))
+        m = np.exp(self.transition)
         last = np.concatenate([first[1:], [True]])
         ahead = _chain((np.where(first, e * np.exp(self.begin), e * m[0, 1]), np.where(first, 0.0, e * m[1, 1]), np.where(first, 1.0, m[0, 0]), np.where(first, 0.0, m[1, 0])))
         # backward ratio at t from that at t + 1, read from the end: x -> (m10 + m11 e x) / (m00 + m01 e x)
         later = np.concatenate([e[1:], [1.0]])
         back = _chain(tuple(v[::-1] for v in (np.where(last, 1.0, m[1, 0]), np.where(last, 0.0, m[1, 1] * later), np.where(last, 1.0, m[0, 0]), np.where(last, 0.0, m[0, 1] * later))))[::-1]
-        odds = ahead * back
-        return odds / (1 + odds)
+        return ahead, back, e
 
     def scores(self, tokens: Tokens, documents: int, p: np.ndarray | None = None) -> np.ndarray:
         p = self.marginals(tokens) if p is None else p
@@ -150,8 +155,13 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(x @ self.scale, -30, 30)))
 
 
+def _summed(weights: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """The sum of each token's weights, without a table of all of them."""
+    return functools.reduce(np.add, [weights[column] for column in features.T])
+
+
 def _document_features(p: np.ndarray, owner: np.ndarray, documents: int) -> np.ndarray:
-    mass = np.bincount(owner, weights=np.where(p >= NOTICED, p, 0.0), minlength=documents)
+    mass = np.bincount(owner, weights=p * p, minlength=documents)
     top = np.zeros(documents)
     np.maximum.at(top, owner, p)
     return np.stack([np.ones(documents), np.log1p(mass), top], 1)
@@ -211,17 +221,18 @@ def fit_toxicity(body: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, langu
         model.begin, model.scale = -8.0, np.array([np.log(share / (1 - share)), 0.0, 0.0])
         return model
     label = _seeds(tokens, toxic, languages) & toxic[tokens.owner]
-    # windows of labelled tokens: around each toxic one, and every (count / documents)-th window elsewhere
-    centre = np.flatnonzero(label)
-    step = max(1, len(label) // (len(centre) + 1000))
-    centre = np.unique(np.concatenate([centre, np.arange(0, len(label), step)]))
-    span = centre[:, None] + np.arange(-WINDOW, WINDOW + 1)
-    valid = (span >= 0) & (span < len(label))
-    span = np.clip(span, 0, len(label) - 1)
-    valid &= tokens.owner[span] == tokens.owner[centre][:, None]
-    features, y = tokens.features()[span], label[span] & valid
-    _maximise(model, features, y, valid)
-    x = _document_features(model.marginals(tokens), tokens.owner, len(toxic))
+    features, first = tokens.features(), np.concatenate([[True], tokens.owner[1:] != tokens.owner[:-1]])
+    # the score is fitted on marginals of documents that their field has not seen
+    p, fold = np.zeros(len(label)), np.arange(len(toxic)) % 2
+    for k in (0, 1):
+        half, other = fold[tokens.owner] != k, fold[tokens.owner] == k
+        part = ToxicityModel(np.zeros(WEIGHTS), np.zeros((2, 2)), 0.0, np.zeros(3))
+        if half.any() and other.any():
+            _maximise(part, features[half], label[half], first[half])
+            ahead, back, _ = part.forward_backward(_summed(part.weights, features[other]), first[other])
+            p[other] = ahead * back / (1 + ahead * back)
+    _maximise(model, features, label, first)
+    x = _document_features(p, tokens.owner, len(toxic))
     scale = np.array([-2.0, 1.0, 1.0])
 
     def loss(w):
@@ -245,42 +256,36 @@ def fit_toxicity(body: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, langu
     return model
 
 
-def _maximise(model: ToxicityModel, features: np.ndarray, y: np.ndarray, valid: np.ndarray) -> None:
-    """Adaptive-step gradient ascent of the conditional likelihood of the windows' labels."""
-    n, length = y.shape
-    first = valid & ~np.concatenate([np.zeros((n, 1), bool), valid[:, :-1]], 1)
-    inner = valid[:, 1:] & valid[:, :-1]
-    flat, kept = features.reshape(-1, features.shape[2]), valid.ravel()
+def _maximise(model: ToxicityModel, features: np.ndarray, y: np.ndarray, first: np.ndarray) -> None:
+    """Adaptive-step gradient ascent of the conditional likelihood of whole documents' labels; ``first`` begins documents."""
+    documents = first.sum()
     params = [model.weights, model.transition, np.array([model.begin])]
     moment = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
+    inner = ~first[1:]
+    y0, y1 = y[:-1][inner], y[1:][inner]
+    seen = np.array([[(~y0 & ~y1).sum(), (~y0 & y1).sum()], [(y0 & ~y1).sum(), (y0 & y1).sum()]], float)
     for k in range(1, STEPS + 1):
-        e = np.exp(np.clip(model.weights[features].sum(2), -30, 30))
-        m, pi = np.exp(params[1]), np.exp(params[2][0])
-        r, q = np.ones((n, length)), np.ones((n, length))
-        x = np.ones(n)
-        for t in range(length):
-            x = np.where(first[:, t], e[:, t] * pi, e[:, t] * (m[0, 1] + m[1, 1] * x) / (m[0, 0] + m[1, 0] * x))
-            r[:, t] = x
-        for t in range(length - 2, -1, -1):
-            z = e[:, t + 1] * q[:, t + 1]
-            q[:, t] = np.where(inner[:, t], (m[1, 0] + m[1, 1] * z) / (m[0, 0] + m[0, 1] * z), 1.0)
-        p = r * q / (1 + r * q)
-        # pair marginals between neighbours
-        z = e[:, 1:] * q[:, 1:]
-        pair = np.stack([np.full_like(z, m[0, 0]), m[0, 1] * z, r[:, :-1] * m[1, 0], r[:, :-1] * m[1, 1] * z])
-        pair /= pair.sum(0)
-        seen = np.stack([~y[:, :-1] & ~y[:, 1:], ~y[:, :-1] & y[:, 1:], y[:, :-1] & ~y[:, 1:], y[:, :-1] & y[:, 1:]])
-        error = np.where(valid, y - p, 0.0).ravel()[kept]
-        grads = [
-            np.bincount(flat[kept].ravel(), weights=np.repeat(error, flat.shape[1]), minlength=WEIGHTS) / n - DECAY * model.weights,
-            ((seen - pair) * inner).sum((1, 2)).reshape(2, 2) / n - DECAY * params[1],
-            np.array([((y - p) * first).sum() / n - DECAY * params[2][0]]),
-        ]
+        grads = [g / documents for g in _gradients(model, features, y, first, inner, seen)]
         for param, grad, (one, two) in zip(params, grads, moment, strict=True):
+            grad = grad - DECAY * param
             one += 0.1 * (grad - one)
             two += 0.01 * (grad * grad - two)
             param += RATE * (one / (1 - 0.9**k)) / (np.sqrt(two / (1 - 0.99**k)) + 1e-4)
-    model.transition, model.begin = params[1], float(params[2][0])
+        model.begin = float(params[2][0])
+
+
+def _gradients(model: ToxicityModel, features: np.ndarray, y: np.ndarray, first: np.ndarray, inner: np.ndarray, seen: np.ndarray):
+    """The log likelihood's gradients by weights, transitions and the start: seen less expected counts."""
+    ahead, back, e = model.forward_backward(_summed(model.weights, features), first)
+    odds = ahead * back
+    error = y - odds / (1 + odds)
+    # pair marginals between neighbours
+    m = np.exp(model.transition)
+    z, r = (e[1:] * back[1:])[inner], ahead[:-1][inner]
+    pair = np.stack([np.full_like(z, m[0, 0]), m[0, 1] * z, r * m[1, 0], r * m[1, 1] * z])
+    pair /= pair.sum(0)
+    by_weight = functools.reduce(np.add, [np.bincount(column, weights=error, minlength=WEIGHTS) for column in features.T])
+    return by_weight, seen - pair.sum(1).reshape(2, 2), np.array([error[first].sum()])
 
 
 def learn_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_label: int = SAMPLE_PER_LABEL, lang_col: str = "lang") -> ToxicityModel:
@@ -315,18 +320,21 @@ def _languages(sample) -> list[str]:
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, per_label: int, lang_col: str | None = None):
     """(text, label), with lang if a column is named for it, of a bounded sample as pandas, and the numbers of all rows by label.
 
-    For each of the labels 0 and 1 about ``per_label`` rows of ``labels`` are drawn by a hash of their id;
-    only those ids are broadcast to the documents, so no text is shuffled.
+    For each of the labels 0 and 1 about ``per_label`` ids of ``labels`` are drawn by a hash of their id, and
+    of these ``per_label`` at most with their texts; only drawn ids are broadcast to the documents. Rows
+    repeated with one id and label count once, as do repeated texts of one id.
     """
-    rows = labels.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)")
+    rows = labels.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).cast("int").alias("label")).where("id IS NOT NULL AND label IN (0, 1)").distinct()
     rows = rows.withColumn("draw", F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1 << 30)))
     counts = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     wanted = F.lit(False)
     for label, count in counts.items():
-        wanted |= (F.col("label") == label) & (F.col("draw") < int(min(1.0, per_label / count) * (1 << 30)))
+        wanted |= (F.col("label") == label) & (F.col("draw") < int(min(1.0, 1.2 * per_label / count) * (1 << 30)))
     lang = [] if lang_col is None else [F.col(quoted(lang_col)).cast("string").alias("lang")]
     texts = docs.select(F.col(quoted(id_col)).alias("id"), text_of(quoted(text_col)).alias("text"), *lang)
-    got = texts.join(F.broadcast(rows.where(wanted)), "id").drop("id").toPandas()
+    drawn = texts.join(F.broadcast(rows.where(wanted)), "id").dropDuplicates(["id", "label", "text"])
+    at = F.row_number().over(Window.partitionBy("label").orderBy("draw", "id", "text"))
+    got = drawn.withColumn("at", at).where(F.col("at") <= per_label).drop("id", "at").toPandas()
     return got.sort_values(["draw", "label", "text"]).reset_index(drop=True), counts
 
 
@@ -336,9 +344,9 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.Str
 def tag_toxicity(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
     """``docs`` with score (double), predicted (1 if score >= 0.5) and spans (code-point ranges and their largest marginal).
 
-    A null, empty or wordless text has no spans and the score of a document without toxic tokens. Input
-    columns named like the three results are replaced. Whole texts are read. No shuffle; the broadcast
-    model has a fixed size.
+    A null, empty or wordless text has no spans and the score of a document without toxic tokens. Neighbouring
+    toxic tokens are one span. Repeated rows are scored alike; an empty table gives no rows. Input columns named
+    like the three results are replaced. Whole texts are read. No shuffle; the broadcast model has a fixed size.
     """
     spark = prepare(docs.sparkSession)
     results = ("score", "predicted", "spans")

@@ -221,7 +221,7 @@ def test_quality_gradient_is_that_of_the_loss():
         p[...] = p.astype(np.float32)
     loss = lambda: float(np.mean([np.log1p(np.exp(-z if t else z)) for z, t in zip(n.forward(body, offsets).astype(float), y, strict=True)]))
     g = n.gradients(body, offsets, y)
-    for p, d in zip((n.lift, n.top), g[1:], strict=True):
+    for p, d in zip((n.conv, n.lift, n.top), g, strict=True):
         k = np.unravel_index(np.abs(d).argmax(), d.shape)
         old = p[k]
         p[k] = old + 0.01
@@ -276,6 +276,71 @@ def test_toxicity_of_a_language_with_few_toxic_rows():
     assert len(set(tokens.word[seeds].tolist())) == 2
 
 
+def brute_field(model, tokens, y):
+    """Each document's log likelihood of its labels, by the forward recursion token by token, and its marginals by summing all paths."""
+    e, total, m = model.weights[tokens.features()].sum(1), 0.0, model.transition
+    for doc in sorted(set(tokens.owner.tolist())):
+        at = np.flatnonzero(tokens.owner == doc)
+        energy = np.stack([np.zeros(len(at)), e[at]], 1)
+        path = y[at].astype(int)
+        total += energy[np.arange(len(at)), path].sum() + model.begin * path[0] + sum(m[a, b] for a, b in zip(path, path[1:], strict=False))
+        a = energy[0] + [0, model.begin]
+        for t in range(1, len(at)):
+            a = np.logaddexp(a[0] + m[0], a[1] + m[1]) + energy[t]
+        total -= np.logaddexp(*a)
+    return total
+
+
+def test_toxicity_gradients_are_those_of_the_likelihood():
+    r = np.random.default_rng(6)
+    model = X.ToxicityModel(r.normal(0, 0.3, X.WEIGHTS), r.normal(0, 0.5, (2, 2)), -0.4, np.zeros(3))
+    tokens = X.Tokens.of(*text_buffers(pa.array([prose(1, 90), "one", prose(2, 7), ""])))
+    y = r.random(len(tokens.word)) < 0.3
+    features, first = tokens.features(), np.concatenate([[True], tokens.owner[1:] != tokens.owner[:-1]])
+    inner = ~first[1:]
+    y0, y1 = y[:-1][inner], y[1:][inner]
+    seen = np.array([[(~y0 & ~y1).sum(), (~y0 & y1).sum()], [(y0 & ~y1).sum(), (y0 & y1).sum()]], float)
+    by_weight, by_step, by_start = X._gradients(model, features, y, first, inner, seen)
+    for param, grad, places in ((model.weights, by_weight, [(int(features[3, 0]),), (int(features[9, 4]),), (int(features[0, 1]),)]), (model.transition, by_step, [(0, 0), (0, 1), (1, 0), (1, 1)])):
+        for at in places:
+            old, ends = param[at], []
+            for step in (1e-5, -1e-5):
+                param[at] = old + step
+                ends.append(brute_field(model, tokens, y))
+            param[at] = old
+            assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(grad[at], rel=1e-4, abs=1e-6)
+    old, ends = model.begin, []
+    for step in (1e-5, -1e-5):
+        model.begin = old + step
+        ends.append(brute_field(model, tokens, y))
+    assert (ends[0] - ends[1]) / 2e-5 == pytest.approx(by_start[0], rel=1e-4)
+
+
+def test_toxicity_scores_and_spans_against_a_plain_computation(spark):
+    docs, labels = labelled(spark, "toxic")
+    model = X.learn_toxicity(docs, labels)
+    texts = [prose(5, 4000), "zorg vile blarg", "ok zorg, vile. then ok", "é😀 vile blarg", ""]
+    body, offsets = text_buffers(pa.array(texts))
+    tokens = X.Tokens.of(body, offsets)
+    p, got = model.marginals(tokens), model.scores(tokens, len(texts))
+    for k, text in enumerate(texts):
+        mine = p[tokens.owner == k]
+        z = model.scale @ [1, np.log1p(sum(x * x for x in mine)), max(mine, default=0.0)]
+        assert got[k] == pytest.approx(1 / (1 + np.exp(-z)))
+        words = [m.span() for m in re.finditer(r"[0-9A-Za-z\u0080-\U0010ffff]+", text)]
+        runs, open_ = [], None
+        for (a, b), x in zip(words, mine, strict=True):
+            if x >= 0.5 and open_:
+                open_[1] = b
+            elif x >= 0.5:
+                open_ = [a, b]
+                runs.append(open_)
+            else:
+                open_ = None
+        assert [[a, b] for a, b, _ in X.spans_of(tokens, p, body, offsets)[k]] == runs
+    assert got[0] < 0.5 and got[1] > 0.5  # a long clean text gathers no toxicity
+
+
 def test_marginals_are_exact():
     """Forward-backward by composed blocks against the sum over all paths' scores, chain by chain."""
     r = np.random.default_rng(5)
