@@ -1,10 +1,11 @@
 """Best-fit packing of documents into fixed-length token sequences, with a swap-based local search.
 
 Tokenizing happens where the text is; only (doc_id, piece, start, length, crc) rows move. Pieces are
-dealt by a hash into groups of a bounded number of pieces, and each group is packed on its own: best fit
-decreasing first, then exchanges between underfull bins (move one item, swap one for one, two for one)
-that raise the sum of squared fills, until bins empty. A group leaves at most a few bins underfull, so
-the loss against packing everything at once is a few sequences per GROUP_PIECES pieces.
+dealt by a hash into groups of a bounded number of pieces, and each group is packed on its own: a coarse best-fit
+start, then exchanges between underfull bins (move one item, swap one for one, two for one, one for two) that
+raise the sum of squared fills, until bins empty. The search ends at the lower bound or when no bin has anything
+to give; no try, pair or partner is left out. A group leaves at most a few bins underfull, so the loss against
+packing everything at once is a few sequences per GROUP_PIECES pieces.
 """
 
 from __future__ import annotations
@@ -100,135 +101,294 @@ def tokenized_pieces(docs: DataFrame, id_col: str, text_col: str, tokenizer: str
     return docs.select(F.col(quoted(id_col)).cast("long").alias("id"), text_of(quoted(text_col)).alias("text")).mapInArrow(run, schema)
 
 
+class _Side:
+    """What listed bins could take for one kind of return: for each gap, the sizes that a bin of that gap can give back.
+
+    A bin of gap g takes t tokens for y given back if y < t <= y + g. The bits t that any listed bin of gap g
+    takes stand at the leaves of a binary tree over gaps, so that all partners of a donor are asked at once.
+    """
+
+    def __init__(self, capacity: int):
+        self.holders: dict[tuple[int, int], set[int]] = defaultdict(set)  # listed bins by (gap, size given back)
+        self.sizes: dict[int, int] = defaultdict(int)  # by gap: bit y is set when holders has (gap, y)
+        self.exact: dict[int, set[int]] = defaultdict(set)  # by y + g: the gaps g with (g, y)
+        self.exacts = 0
+        self.leaves = 1 << capacity.bit_length()
+        self.tree = [0] * (2 * self.leaves)
+        self.stale: set[int] = set()
+
+    def add(self, b: int, g: int, sizes: int) -> None:
+        for y in _bits(sizes):
+            held = self.holders[g, y]
+            if not held:
+                self.sizes[g] |= 1 << y
+                self.exact[y + g].add(g)
+                self.exacts |= 1 << (y + g)
+                self.stale.add(g)
+            held.add(b)
+
+    def drop(self, b: int, g: int, sizes: int) -> None:
+        for y in _bits(sizes):
+            held = self.holders[g, y]
+            held.discard(b)
+            if not held:
+                del self.holders[g, y]
+                self.sizes[g] &= ~(1 << y)
+                self.stale.add(g)
+                there = self.exact[y + g]
+                there.discard(g)
+                if not there:
+                    self.exacts &= ~(1 << (y + g))
+
+    def filled(self, gives: int) -> tuple[int, int, int] | None:
+        """(t, g, y) of an exchange of one of ``gives`` that fills a bin."""
+        if not (found := gives & self.exacts):
+            return None
+        t = found.bit_length() - 1
+        g = max(self.exact[t])
+        return t, g, t - g
+
+    def taken(self, gives: int, most: int) -> tuple[int, int, int] | None:
+        """(t, g, y) of an exchange of one of ``gives`` with a bin of the smallest gap that can take any, up to ``most``."""
+        for g in self.stale:
+            at = g + self.leaves
+            self.tree[at] = _smeared(self.sizes[g], g)
+            while at > 1:
+                at >>= 1
+                self.tree[at] = self.tree[2 * at] | self.tree[2 * at + 1]
+        self.stale.clear()
+        if not self.tree[1] & gives:
+            return None
+        at = 1
+        while at < self.leaves:  # the leftmost leaf with a common bit
+            at = 2 * at if self.tree[2 * at] & gives else 2 * at + 1
+        g = at - self.leaves
+        if g > most:
+            return None
+        t = (self.tree[at] & gives).bit_length() - 1
+        low = max(0, t - g)
+        able = (self.sizes[g] & ((1 << t) - 1)) >> low
+        return t, g, low + (able & -able).bit_length() - 1
+
+
 class _Bins:
-    """Bins of one capacity, with the underfull ones listed by gap and their items by size."""
+    """Bins of one capacity; the underfull ones are listed by gap and by what they could take."""
 
     def __init__(self, capacity: int):
         self.capacity = capacity
-        self.items: list[list[int]] = []  # item numbers by bin
+        self.items: list[dict[int, list[int]]] = []  # by bin: item numbers by size
         self.gap: list[int] = []
         self.by_gap: dict[int, set[int]] = defaultdict(set)
         self.gaps = 0  # bit g is set when a bin with gap g is listed
+        self.single, self.pair = _Side(capacity), _Side(capacity)  # for nothing or one item given back, and for two
 
-    def list_bin(self, b: int) -> None:
+    def new(self) -> int:
+        self.items.append({})
+        self.gap.append(self.capacity)
+        return len(self.items) - 1
+
+    def place(self, b: int) -> None:
         if g := self.gap[b]:
             self.by_gap[g].add(b)
             self.gaps |= 1 << g
 
-    def unlist(self, b: int) -> None:
-        g = self.gap[b]
-        if g and b in self.by_gap[g]:
+    def lift(self, b: int) -> None:
+        if g := self.gap[b]:
             self.by_gap[g].discard(b)
             if not self.by_gap[g]:
                 self.gaps &= ~(1 << g)
 
-    def best(self, size: int) -> int:
-        """The listed bin with the smallest gap of at least ``size``, or -1."""
-        up = self.gaps >> size
-        if not up:
-            return -1
-        g = size + (up & -up).bit_length() - 1
-        return next(iter(self.by_gap[g]))
-
-    def put(self, b: int, item: int, size: int) -> None:
-        self.unlist(b)
-        self.items[b].append(item)
+    def list_bin(self, b: int) -> None:
+        if self.gap[b]:
+            self.place(b)
+            ones, twos = self.gives(b)
+            self.single.add(b, self.gap[b], ones | 1)
+            self.pair.add(b, self.gap[b], twos)
+
+    def unlist(self, b: int) -> None:
+        if self.gap[b]:
+            self.lift(b)
+            ones, twos = self.gives(b)
+            self.single.drop(b, self.gap[b], ones | 1)
+            self.pair.drop(b, self.gap[b], twos)
+
+    def put(self, b: int, size: int, item: int) -> None:
+        self.items[b].setdefault(size, []).append(item)
         self.gap[b] -= size
-        self.list_bin(b)
 
-    def take(self, b: int, item: int, size: int) -> None:
-        self.unlist(b)
-        self.items[b].remove(item)
-        self.gap[b] += size
-        if self.items[b]:
-            self.list_bin(b)
+    def take(self, b: int, total: int, pair: bool) -> list[tuple[int, int]]:
+        """Takes one item of ``total`` tokens out, or two that add up to it: (size, item) of each."""
+        mine = self.items[b]
+        sizes = () if not total else (total,) if not pair else next((s, total - s) for s in mine if total - s in mine and (total != 2 * s or len(mine[s]) > 1))
+        out = []
+        for s in sizes:
+            out.append((s, mine[s].pop()))
+            if not mine[s]:
+                del mine[s]
+        self.gap[b] += total
+        return out
+
+    def gives(self, b: int) -> tuple[int, int]:
+        """Bit t is set when the bin can give t tokens in one item, and in two."""
+        mine = self.items[b]
+        ones, twos = sum(1 << s for s in mine), 0
+        for s, items in mine.items():
+            twos |= (ones if len(items) > 1 else ones & ~(1 << s)) << s
+        return ones, twos
+
+
+def _bits(mask: int):
+    while mask:
+        low = mask & -mask
+        yield low.bit_length() - 1
+        mask ^= low
+
+
+def _smeared(mask: int, most: int) -> int:
+    """The union of ``mask`` shifted up by 1 to ``most``."""
+    out, reach = mask << 1, 1
+    while reach < most:
+        step = min(reach, most - reach)
+        out |= out << step
+        reach += step
+    return out
 
 
-def pack(sizes: np.ndarray, capacity: int = CAPACITY, tries: int = 20) -> np.ndarray:
+def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
     """A bin number for each item of 1..capacity, in as few bins as found.
 
-    Best fit decreasing, then local search: the emptiest underfull bins give items to fuller ones, by a
-    move, a one-for-one or a two-for-one exchange. Every step raises the sum of squared fills, so the
-    search ends; it also ends when the bins reach the lower bound ceil(total / capacity) when no
-    bin can give anything, or after ``tries`` exchanges for each bin that best fit left underfull.
+    The start is best fit, larger powers of two first and otherwise in the given order. Then local search packs: the emptiest underfull bin
+    gives items to fuller ones by a move or an exchange of one for one, two for one or one for two, each of
+    which raises the sum of squared fills, until it is empty or has nothing to give. A bin that was tried in vain
+    is tried again as soon as another has changed so that it could take something of it. When no bin has anything
+    to give, small items that are shut up in full bins are moved out where that empties their bin, and the search
+    goes on. It ends when the bins reach the lower bound ceil(total / capacity), or when no bin can be emptied
+    so either. Equal input gives equal output; ties between bins of equal gaps and sizes go to any one of them.
     """
-    bins, size = _Bins(capacity), sizes.tolist()
-    for item in np.argsort(-sizes, kind="stable").tolist():
+    bins = _Bins(capacity)
+    size = sizes.tolist()
+    for item in np.argsort(-np.ceil(np.log2(np.maximum(sizes, 1))), kind="stable").tolist():
         s = size[item]
-        b = bins.best(s) if s < capacity else -1
-        if b < 0:
-            b = len(bins.items)
-            bins.items.append([])
-            bins.gap.append(capacity)
-        bins.put(b, item, s)
-    bound, used = -(-int(sizes.sum()) // capacity), len(bins.items)
-    skipped: set[int] = set()  # bins that could give nothing since they last changed
-    for _ in range(tries * sum(map(len, bins.by_gap.values()))):
-        donor = _emptiest(bins, skipped) if used > bound else -1
-        if donor < 0:
-            break
-        partner = _improve(bins, donor, size)
-        if partner < 0:
-            skipped.add(donor)
-        else:
-            skipped.discard(partner)
-            used -= not bins.items[donor]
-    out = np.zeros(len(size), np.int64)
+        up = bins.gaps >> s if s < capacity else 0
+        b = next(iter(bins.by_gap[s + (up & -up).bit_length() - 1])) if up else bins.new()
+        bins.lift(b)
+        bins.put(b, s, item)
+        bins.place(b)
+    bound = -(-int(sizes.sum()) // capacity)
+    while _search(bins, bound) > bound and _scattered(bins, bound):
+        pass
+    out = np.zeros(len(sizes), np.int64)
     for k, b in enumerate(x for x in bins.items if x):
-        out[b] = k
+        for held in b.values():
+            out[held] = k
     return out
 
 
-def _emptiest(bins: _Bins, skipped: set[int]) -> int:
+def _scattered(bins: _Bins, bound: int) -> int:
+    """Empties bins, those of the smallest items first, by moves of all their items into gaps of others; how many."""
+    used, before = sum(map(bool, bins.items)), 0
+    order = sorted((max(x), b) for b, x in enumerate(bins.items) if x)
+    for top, b in order:
+        if used - before <= bound or top >= bins.gaps.bit_length():
+            break
+        bins.lift(b)
+        moved: list[tuple[int, int, int]] = []
+        for s, item in sorted(((s, item) for s, held in bins.items[b].items() for item in held), reverse=True):
+            if not (up := bins.gaps >> s):
+                break
+            partner = next(iter(bins.by_gap[s + (up & -up).bit_length() - 1]))
+            moved.append((partner, s, item))
+            _shift(bins, partner, s, item)
+        else:
+            bins.items[b], bins.gap[b] = {}, bins.capacity
+            before += 1
+            continue
+        for partner, s, item in reversed(moved):  # one doesn't fit: all go back
+            _shift(bins, partner, -s, item)
+        bins.place(b)
+    return before
+
+
+def _shift(bins: _Bins, b: int, size: int, item: int) -> None:
+    bins.lift(b)
+    if size > 0:
+        bins.put(b, size, item)
+    else:
+        bins.items[b][-size].remove(item)
+        if not bins.items[b][-size]:
+            del bins.items[b][-size]
+        bins.gap[b] -= size
+    bins.place(b)
+
+
+def _search(bins: _Bins, bound: int) -> int:
+    """Exchanges until none is left or the bins are as few as ``bound``; their number."""
+    bins.single, bins.pair = _Side(bins.capacity), _Side(bins.capacity)
+    for b, items in enumerate(bins.items):
+        if items:
+            bins.list_bin(b)
+    used = sum(map(bool, bins.items))
+    tried: dict[int, tuple[int, int]] = {}  # what bins that were tried in vain could give
+    while used > bound:
+        donor = _emptiest(bins, tried)
+        if donor < 0:
+            break
+        bins.unlist(donor)
+        changed = set()
+        while bins.items[donor] and (partner := _exchange(bins, donor)) >= 0:
+            changed.add(partner)
+        used -= not bins.items[donor]
+        for b in changed:
+            tried.pop(b, None)
+        for b in changed | {donor} if changed else ():
+            if bins.items[b] and (g := bins.gap[b]):
+                ones, twos = bins.gives(b)
+                single, pair = _smeared(ones | 1, g), _smeared(twos, g)
+                for d in [d for d, (one, two) in tried.items() if (one | two) & single or one & pair]:
+                    del tried[d]
+        if bins.items[donor]:
+            bins.list_bin(donor)
+            tried[donor] = bins.gives(donor)
+    return used
+
+
+def _emptiest(bins: _Bins, tried) -> int:
     left = bins.gaps
     while left:
         g = left.bit_length() - 1
         for b in bins.by_gap[g]:
-            if b not in skipped:
+            if b not in tried:
                 return b
         left &= ~(1 << g)
     return -1
 
 
-def _improve(bins: _Bins, donor: int, size: list[int]) -> int:
-    """One exchange after which the donor is emptier and the partner fuller: the partner, or -1."""
-    mine = sorted(bins.items[donor], key=size.__getitem__, reverse=True)
-    fill = bins.capacity - bins.gap[donor]
-    bins.unlist(donor)
-    try:
-        for item in mine:  # move
-            if (b := bins.best(size[item])) >= 0:
-                bins.put(b, item, size[item])
-                bins.items[donor].remove(item)
-                bins.gap[donor] += size[item]
-                return b
-        give = {size[x] + size[y]: (x, y) for i, x in enumerate(mine) for y in mine[i + 1 : i + 33]} | {size[x]: (x,) for x in mine}
-        totals = sum(1 << t for t in give)  # bit t is set when the donor can give t tokens in one or two items
-        left = bins.gaps
-        while left:  # partners from the fullest on: squared fill rises only if the partner is the fuller one
-            g = (left & -left).bit_length() - 1
-            left &= left - 1
-            if bins.capacity - g < fill:
-                break
-            for b in bins.by_gap[g]:
-                for back in bins.items[b]:
-                    if fits := totals >> (size[back] + 1) & ((1 << g) - 1):
-                        gain = fits.bit_length()
-                        moved = give[size[back] + gain]
-                        bins.unlist(b)
-                        bins.items[b].remove(back)
-                        bins.items[b].extend(moved)
-                        bins.gap[b] -= gain
-                        bins.list_bin(b)
-                        for x in moved:
-                            bins.items[donor].remove(x)
-                        bins.items[donor].append(back)
-                        bins.gap[donor] += gain
-                        return b
+def _exchange(bins: _Bins, donor: int) -> int:
+    """One step that raises the sum of squared fills: the partner, or -1.
+
+    A partner that is filled may be any; others are no emptier than the donor, so that they end up fuller.
+    """
+    most = bins.gap[donor]
+    ones, twos = bins.gives(donor)
+    found, side = bins.single.filled(ones | twos), bins.single
+    if not found:
+        found, side = bins.pair.filled(ones), bins.pair
+    if not found:
+        found, side = bins.single.taken(ones | twos, most), bins.single
+    if not found:
+        found, side = bins.pair.taken(ones, most), bins.pair
+    if not found:
         return -1
-    finally:
-        if bins.items[donor]:
-            bins.list_bin(donor)
+    total, g, back = found
+    partner = next(iter(side.holders[g, back]))
+    bins.unlist(partner)
+    returned = bins.take(partner, back, side is bins.pair)
+    for s, item in bins.take(donor, total, not ones >> total & 1):
+        bins.put(partner, s, item)
+    for s, item in returned:
+        bins.put(donor, s, item)
+    bins.list_bin(partner)
+    return partner
 
 
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, capacity: int = CAPACITY, end_id: int = END_OF_TEXT) -> DataFrame:
@@ -236,7 +396,8 @@ def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     A document is its tokens and ``end_id``, so a null or empty text is one token. Longer documents are
     cut from the end into pieces of ``capacity``; the first piece may be shorter. Rows repeated with one
-    id are packed as often as they occur; a null id stays null. An empty table gives no rows. Sequence
+    id are packed as often as they occur; a null id stays null. Only the two named columns are read.
+    Which of several pieces of one length lies in a sequence doesn't matter, and is left open. An empty table gives no rows. Sequence
     numbers are the group's number times 2**32 plus the bin's, so they never clash.
     """
     prepare(docs.sparkSession)

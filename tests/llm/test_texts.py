@@ -35,6 +35,73 @@ def test_exchanges_empty_bins_that_best_fit_leaves():
     assert len(np.unique(B.pack(sizes, 10))) == 30
 
 
+def fewest(sizes, capacity):
+    """The least number of bins, by trying every bin for every item."""
+    best = len(sizes)
+
+    def place(k, fills):
+        nonlocal best
+        if len(fills) >= best:
+            return
+        if k == len(sizes):
+            best = len(fills)
+            return
+        for i in range(len(fills)):
+            if fills[i] + sizes[k] <= capacity and fills[i] not in fills[:i]:
+                place(k + 1, [*fills[:i], fills[i] + sizes[k], *fills[i + 1 :]])
+        place(k + 1, [*fills, sizes[k]])
+
+    place(0, [])
+    return best
+
+
+def best_fit_decreasing(sizes, capacity):
+    gaps = []
+    for s in sorted(sizes, reverse=True):
+        fits = [i for i, g in enumerate(gaps) if g >= s]
+        if fits:
+            gaps[min(fits, key=gaps.__getitem__)] -= s
+        else:
+            gaps.append(capacity - s)
+    return len(gaps)
+
+
+def test_packing_against_other_packers():
+    r, over, more = np.random.default_rng(3), 0, 0
+    for n in [*range(1, 11)] * 12:
+        sizes = r.integers(1, 21, n)
+        bins = B.pack(sizes, 20)
+        assert np.bincount(bins, weights=sizes).max() <= 20 and len(bins) == n
+        over += len(np.unique(bins)) - fewest(sizes.tolist(), 20)
+        more += len(np.unique(bins)) - best_fit_decreasing(sizes.tolist(), 20)
+    assert over <= 4 and more <= 2
+    for seed, (mean, spread) in enumerate([(5.8, 0.8), (6, 0.5), (3, 1.5)]):
+        sizes = np.minimum(1024, np.maximum(1, np.random.default_rng(seed).lognormal(mean, spread, 1500).astype(int)))
+        assert len(np.unique(B.pack(sizes))) <= best_fit_decreasing(sizes.tolist(), 1024) * 1.002 + 1
+
+
+def test_the_search_packs_better_than_its_start(monkeypatch):
+    sizes = np.minimum(1024, np.maximum(1, np.random.default_rng(4).lognormal(6, 0.5, 3000).astype(int)))
+    searched = len(np.unique(B.pack(sizes)))
+    monkeypatch.setattr(B, "_search", lambda bins, bound: 0)
+    assert searched < 0.99 * len(np.unique(B.pack(sizes)))
+
+
+def test_every_exchange_raises_squared_fills(monkeypatch):
+    sizes = np.random.default_rng(5).integers(1, 600, 400)
+    step, sums = B._exchange, []
+
+    def watched(bins, donor):
+        fills = lambda: sum((bins.capacity - g) ** 2 for g in bins.gap)
+        before, partner = fills(), step(bins, donor)
+        sums.append((before, fills(), partner))
+        return partner
+
+    monkeypatch.setattr(B, "_exchange", watched)
+    B.pack(sizes)
+    assert len(sums) > 20 and all(b > a for a, b, partner in sums if partner >= 0)
+
+
 def test_packed_documents_are_whole(awkward, nothing):
     rows = B.pack_documents(awkward).collect()
     ids = B.ByteLevelTokenizer(B.tokenizer_path())
