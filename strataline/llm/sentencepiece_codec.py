@@ -2,12 +2,14 @@
 
 Encoding follows the agenda algorithm: all adjacent pairs that form a piece are kept in a heap by score
 and place, the best is merged, and the pairs that the merge creates join the agenda. With dropout each
-candidate taken from the agenda is skipped when a keyed hash of (seed, variant, word, place, piece) falls
-below the rate. A skip holds until a merge at its side makes a new candidate. Short words are processed many at a time, one merge of each per round. Every segmentation is built
-from the text's own characters, so decoding is lossless whatever was skipped.
-
-Each document draws one of VARIANTS keyed variants by (seed, document). So one word has varied
-segmentations within a corpus, and yet (variant, word) repeats often enough to be tabled.
+candidate taken from the agenda is skipped when a keyed hash of (seed, document, the word's place in the
+document, place in the word, piece) falls below the rate. A skip holds until a merge at its side makes a
+new candidate. So every occurrence of a word is drawn anew, and yet equal (seed, document, text) give equal
+ids. Short words are processed many at a time, one merge of each per round. Every segmentation is built from
+the text's own characters, so decoding is lossless whatever was skipped.
+
+What is tabled for a word is its agenda without skips: the merges in order and the ids. An occurrence none of
+whose merges is skipped has those ids; all others go through the agenda under their own key.
 """
 
 from __future__ import annotations
@@ -25,13 +27,14 @@ from pyspark.sql import types as T
 from strataline.llm.common import kept_columns, mix64, pieces_of, prepare, quoted, text_of
 
 MARK = "▁"  # stands for a space in pieces: a fixed value of the format
-DROPOUT, SEED, VARIANTS = 0.1, 20_240, 4
+DROPOUT, SEED = 0.1, 20_240
 #: Words of up to so many characters are segmented together, by class; longer ones alone.
 CLASSES = (3, 6, 9, 12, 16, 24)
 TABLE, PROBES = 1 << 20, 6
 _SPREAD = 0x9E3779B97F4A7C15
 _NONE = np.int16((1 << 15) - 1)
-CACHE_WORDS = 300_000
+#: Words whose agendas a worker holds; beyond that its table starts anew.
+CACHE_WORDS = 400_000
 SLICE_BYTES = 2 << 20
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
@@ -62,8 +65,7 @@ class PieceCodec:
         self.pieces = [self.piece.get(i, b"") for i in range(n)]
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces reach over words: words cannot be encoded one by one")
-        self.known: list[dict[str, bytes]] = []  # by variant
-        self.kept_for: tuple = ()
+        self._forget()
 
         # every pair of pieces that forms a piece: open addressing over 30-bit keys, at most PROBES places away
         pairs = {(self.ids[p[:k]] << 15 | self.ids[p[k:]]): i for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids}
@@ -84,6 +86,13 @@ class PieceCodec:
                 raise ValueError("the table of merges is too full")
             self.table_key[at], self.table_id[at] = key, i
 
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}  # words in the table
+        self.clean: list[bytes] = []  # each one's ids without skips
+        self.begins = np.zeros(1, np.int64)  # and its merges: places and pieces from begins[i] to begins[i + 1]
+        self.merge_place, self.merge_piece = np.zeros(0, np.int8), np.zeros(0, np.int16)
+        self.long: set[int] = set()  # words that are segmented alone
+
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that two pieces form, or the unknown id."""
         key = (a.astype(np.int64) << 15) | b
@@ -95,8 +104,11 @@ class PieceCodec:
         out[(a >= self.unknown) | (b >= self.unknown)] = self.unknown
         return out
 
-    def _segment_class(self, words: list[str], keys: np.ndarray, width: int, bar: int) -> list[bytes]:
-        """Agendas of many words at once: in each round every word merges its best candidate that is not skipped."""
+    def _segment_class(self, words: list[str], keys: np.ndarray, width: int, bar: int, trace: list | None = None) -> list[bytes]:
+        """Agendas of many words at once: in each round every word merges its best candidate that is not skipped.
+
+        ``trace`` gets (words, places, pieces) of each round's merges.
+        """
         n = len(words)
         points = np.zeros((n, width), np.uint32)
         size = np.array([len(w) for w in words])
@@ -127,6 +139,8 @@ class PieceCodec:
                     break
             line = np.arange(len(rows))
             ids[line, best] = self.merged(ids[line, best], ids[line, best + 1])
+            if trace is not None:
+                trace.append((rows, place[line, best], ids[line, best]))
             take = np.minimum(columns + (columns > best[:, None]), width - 1)
             ids, place = np.take_along_axis(ids, take, 1), np.take_along_axis(place, take, 1)
             size = size - 1
@@ -188,24 +202,82 @@ class PieceCodec:
             out[i] = self._segment_long(words[i], int(keys[i]), bar)
         return out
 
+    def _learn(self, words: list[str]) -> None:
+        """Puts words, none of which is there yet, in the table."""
+        ids: list[bytes] = [b""] * len(words)
+        owners, places, pieces = [], [], []
+        size = np.array([len(w) for w in words])
+        low = 0
+        for width in CLASSES:
+            rows, trace = np.flatnonzero((size > low) & (size <= width)), []
+            low = width
+            if len(rows):
+                for i, found in zip(rows.tolist(), self._segment_class([words[i] for i in rows], np.zeros(len(rows), np.uint64), width, 0, trace), strict=True):
+                    ids[i] = found
+                for column, part in zip((owners, places, pieces), zip(*((rows[r], at, piece) for r, at, piece in trace), strict=True) if trace else ((), (), ()), strict=True):
+                    column.extend(part)
+        owner = np.concatenate(owners) if owners else np.zeros(0, np.int64)
+        order = np.argsort(owner, kind="stable")
+        first = len(self.clean)
+        self.long.update(first + i for i in np.flatnonzero(size > low).tolist())
+        self.number.update(zip(words, range(first, first + len(words)), strict=True))
+        self.clean += ids
+        self.begins = np.concatenate([self.begins, self.begins[-1] + np.cumsum(np.bincount(owner, minlength=len(words)))])
+        if owners:
+            self.merge_place = np.concatenate([self.merge_place, np.concatenate(places)[order]])
+            self.merge_piece = np.concatenate([self.merge_piece, np.concatenate(pieces)[order]])
+
+    def _with_skips(self, words: np.ndarray, keys: np.ndarray, bar: int) -> np.ndarray:
+        """Which occurrences (numbers of words and their keys) skip a merge of the agenda without skips."""
+        merges = self.begins[words + 1] - self.begins[words]
+        ends = np.cumsum(merges)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.begins[words] - ends + merges, merges)
+        hit = skipped(np.repeat(keys, merges), self.merge_place[at], self.merge_piece[at], bar)
+        count = np.concatenate([[0], np.cumsum(hit)])
+        return count[ends] > count[ends - merges]
+
     def encode_batch(self, texts: list[str], rate: float = 0.0, seed: int = SEED, documents: list[int] | None = None) -> list[bytes]:
         """The ids of texts, as little-endian 32-bit bytes. A space is put before each, as the format does; the mark's own character becomes bytes."""
         documents = documents if documents is not None else [0] * len(texts)
-        draw = [variant(seed, d) if rate else 0 for d in documents]
-        if self.kept_for != (rate, seed) or sum(map(len, self.known)) > CACHE_WORDS:
-            self.known, self.kept_for = [{} for _ in range(VARIANTS)], (rate, seed)
-        split = [[_WORD.findall((MARK if k == 0 else "") + chunk.replace(" ", MARK)) for k, chunk in enumerate(t.split(MARK))] if t else [] for t in texts]
-        new: list[set[str]] = [set() for _ in range(VARIANTS)]
-        for parts, v in zip(split, draw, strict=True):
-            for words in parts:
-                new[v].update(words)
-        todo = [(v, w) for v in range(VARIANTS) for w in new[v] - self.known[v].keys()]
-        if todo:
-            keys = mix64(np.array([zlib.crc32(w.encode("utf-8", "surrogatepass")) << 8 | v for v, w in todo], np.uint64) + np.uint64(seed * _SPREAD & 0xFFFFFFFFFFFFFFFF))
-            for (v, w), ids in zip(todo, self.segment_words([w for _, w in todo], keys, rate), strict=True):
-                self.known[v][w] = ids
         mark = _packed(self.byte_ids[b] for b in MARK.encode())
-        return [mark.join([b"".join(map(self.known[v].__getitem__, words)) for words in parts]) for parts, v in zip(split, draw, strict=True)]
+        words: list[str] = []
+        plan = []  # per text: the numbers of words in each of its parts between marks
+        for t in texts:
+            plan.append([])
+            for k, chunk in enumerate(t.split(MARK) if t else ()):
+                found = _WORD.findall((MARK if k == 0 else "") + chunk.replace(" ", MARK))
+                words += found
+                plan[-1].append(len(found))
+        new = dict.fromkeys(w for w in words if w not in self.number)
+        if len(self.clean) + len(new) > CACHE_WORDS:
+            self._forget()
+            new = dict.fromkeys(words)
+        if new:
+            self._learn(list(new))
+        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        out = list(map(self.clean.__getitem__, number.tolist()))
+        bar = int(rate * (1 << 32))
+        sizes = np.array([sum(p) for p in plan], np.int64)
+        if bar:
+            of_text = np.repeat(np.array([document_key(seed, d) for d in documents], np.uint64), sizes)
+            place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keys = mix64(of_text + place.astype(np.uint64) * np.uint64(_SPREAD))
+            again = self._with_skips(number, keys, bar)
+        else:
+            keys, again = np.zeros(len(words), np.uint64), np.zeros(len(words), bool)
+        if self.long:
+            again |= np.isin(number, np.fromiter(self.long, np.int64))
+        rows = np.flatnonzero(again)
+        for i, ids in zip(rows.tolist(), self.segment_words([words[i] for i in rows.tolist()], keys[rows], rate), strict=True):
+            out[i] = ids
+        result, at = [], 0
+        for parts in plan:
+            joined = []
+            for n in parts:
+                joined.append(b"".join(out[at : at + n]))
+                at += n
+            result.append(mark.join(joined))
+        return result
 
     def encode(self, text: str, rate: float = 0.0, seed: int = SEED, document: int = 0) -> list[int]:
         return np.frombuffer(self.encode_batch([text], rate, seed, [document])[0], "<u4").tolist()
@@ -226,9 +298,8 @@ def skipped(key: np.ndarray, place: np.ndarray, piece: np.ndarray, bar: int) ->
     return (mix64(x) >> np.uint64(32)) < np.uint64(bar)
 
 
-def variant(seed: int, document: int) -> int:
-    x = np.array([(seed * 0x9E3779B97F4A7C15 + document * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1)], np.uint64)
-    return int(mix64(x)[0] % np.uint64(VARIANTS))
+def document_key(seed: int, document: int) -> int:
+    return int(mix64(np.array([(seed * _SPREAD + document * 0xBF58476D1CE4E5B9) & ((1 << 64) - 1)], np.uint64))[0])
 
 
 def _mapped(docs: DataFrame, text: Column, key: Column, name: str, kind: T.DataType, work) -> DataFrame:
@@ -242,8 +313,9 @@ def _mapped(docs: DataFrame, text: Column, key: Column, name: str, kind: T.DataT
 def encode_documents(docs: DataFrame, model: str | None = None, rate: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with ids (array<int>). A null or empty text has no ids; a null id counts as 0.
 
-    With rate=0 the ids are those of the reference encoder. Equal (seed, id, text) give equal ids on any
-    cluster. An input column ``ids`` is replaced. Whole texts are encoded. No shuffle.
+    With rate=0 the ids are those of the format's own encoder. Equal (seed, id, text) give equal ids on any
+    cluster, so repeated rows have equal ids; of candidates with equal scores the leftmost is taken first. An
+    empty table gives no rows. An input column ``ids`` is replaced. Whole texts are encoded. No shuffle.
     """
     prepare(docs.sparkSession)
     path = model or model_path()
@@ -277,7 +349,10 @@ def decode_documents(rows: DataFrame, model: str | None = None, ids_col: str = "
 
 
 def round_trip(docs: DataFrame, model: str | None = None, rate: float = DROPOUT, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_ids, ids_crc32, decoded_sha256 and lossless of each document, encoded and decoded in one pass."""
+    """doc_id, n_ids, ids_crc32, decoded_sha256 and lossless of each document, encoded and decoded in one pass.
+
+    Nulls, empty texts, ties, repeated rows and empty tables are as in encode_documents; other columns are not read.
+    """
     prepare(docs.sparkSession)
     path = model or model_path()
 

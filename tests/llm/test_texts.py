@@ -145,10 +145,49 @@ def test_dropout_is_lossless_keyed_and_varied(codec):
     a = [codec.encode(text, 0.2, seed) for seed in range(4)]
     assert len({tuple(x) for x in a}) == 4 and all(codec.decode(x) == text for x in a)
     assert codec.encode(text, 0.2, 3) == a[3] and codec.decode(codec.encode(text)) == text
-    assert len({tuple(codec.encode(text, 0.2, 1, d)) for d in range(30)}) == C.VARIANTS
+    assert len({tuple(codec.encode(text, 0.2, 1, d)) for d in range(30)}) == 30
+    # every occurrence of a word is drawn anew, within a document too
+    same = codec.encode_batch(["internationalization " * 300], 0.2, 1)[0]
+    assert len(set(codec.decode(np.frombuffer(same, "<u4")).split())) == 1
+    pieces = "|".join("".join(codec.model.id_to_piece(i) for i in [x]) for x in np.frombuffer(same, "<u4").tolist()).replace("|▁", " ").split()
+    assert len(set(pieces)) > 20
     assert len(codec.encode(text, 1.0)) > len(codec.encode(text, 0.2)) > len(codec.encode(text))
 
 
+def plain_agenda(codec, word, key, bar):
+    """One word by a plain list of pieces: in each step the best adjacent pair that isn't skipped is merged."""
+    parts = [(i, c) for i, c in enumerate(word)]
+    while True:
+        open_ = []
+        for k in range(len(parts) - 1):
+            piece = codec.ids.get(parts[k][1] + parts[k + 1][1])
+            if piece is not None and not (bar and C.skipped(np.array([key], np.uint64), np.array([parts[k][0]]), np.array([piece]), bar)[0]):
+                open_.append((-codec.model.get_score(piece), parts[k][0], k))
+        if not open_:
+            return [x for _, p in parts for x in ([codec.ids[p]] if p in codec.ids else [codec.byte_ids[b] for b in p.encode()])]
+        k = min(open_)[2]
+        parts[k : k + 2] = [(parts[k][0], parts[k][1] + parts[k + 1][1])]
+
+
+def test_dropout_against_a_plain_agenda(codec):
+    text = " ".join([*prose(5, 60).split(), "the", "international", "über", "naïve😀x", "", "aaaaaaaaaaaaaaaaaaaaaaaaaaaaaaa", "The", "the", "the"])
+    for rate in (0.0, 0.1, 0.5, 1.0):
+        for document in (0, 7):
+            got = codec.encode(text, rate, 3, document)
+            words = C._WORD.findall(C.MARK + text.replace(" ", C.MARK))
+            keys = C.mix64(np.uint64(C.document_key(3, document)) + np.arange(len(words), dtype=np.uint64) * np.uint64(C._SPREAD))
+            assert got == [x for w, k in zip(words, keys, strict=True) for x in plain_agenda(codec, w, int(k), int(rate * (1 << 32)))]
+
+
+def test_the_table_of_words_changes_nothing(codec, monkeypatch):
+    texts = [prose(i, 40) + " x" * (i % 3) for i in range(12)]
+    want = [codec.encode(t, 0.3, 5, i) for i, t in enumerate(texts)]
+    monkeypatch.setattr(C, "CACHE_WORDS", 9)
+    codec._forget()
+    assert [codec.encode(t, 0.3, 5, i) for i, t in enumerate(texts)] == want
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode_batch(texts, 0.3, 5, list(range(12)))] == want
+
+
 def test_words_segment_alike_alone_and_together(codec):
     words = ["▁" + w for w in WORDS] + ["▁internationalization", "▁ab" * 1]
     keys = np.arange(len(words), dtype=np.uint64) * np.uint64(977)
