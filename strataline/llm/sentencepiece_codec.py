@@ -65,6 +65,8 @@ class PieceCodec:
         self.pieces = [self.piece.get(i, b"") for i in range(n)]
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("pieces reach over words: words cannot be encoded one by one")
+        self.packed = [_packed([i]) for i in range(n)]
+        self.characters: dict[str, bytes] = {}
         self._forget()
 
         # every pair of pieces that forms a piece: open addressing over 30-bit keys, at most PROBES places away
@@ -93,6 +95,12 @@ class PieceCodec:
         self.merge_place, self.merge_piece = np.zeros(0, np.int8), np.zeros(0, np.int16)
         self.long: set[int] = set()  # words that are segmented alone
 
+    def _character(self, c: str) -> bytes:
+        """The byte pieces of a character outside the vocabulary."""
+        if (found := self.characters.get(c)) is None:
+            found = self.characters[c] = _packed(self.byte_ids[b] for b in c.encode("utf-8", "surrogatepass"))
+        return found
+
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that two pieces form, or the unknown id."""
         key = (a.astype(np.int64) << 15) | b
@@ -156,7 +164,7 @@ class PieceCodec:
         out = [raw[i * step : i * step + 4 * k] for i, k in enumerate(done_size.tolist())]
         for i in np.flatnonzero(odd).tolist():  # characters outside the vocabulary become their bytes
             word, got = words[i], zip(done_ids[i, : done_size[i]].tolist(), done_place[i].tolist(), strict=False)
-            out[i] = _packed(x for p, at in got for x in ((p,) if p != self.unknown else (self.byte_ids[b] for b in word[at].encode("utf-8", "surrogatepass"))))
+            out[i] = b"".join([self.packed[p] if p != self.unknown else self._character(word[at]) for p, at in got])
         return out
 
     def _segment_long(self, word: str, key: int, bar: int) -> bytes:
