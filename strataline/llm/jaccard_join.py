@@ -32,14 +32,16 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.common import connected_components, maybe_broadcast, mix64, pieces_of, prepare, quoted, text_buffers, text_of, written
+from strataline.llm.common import connected_components, looked_up, maybe_broadcast, mix64, pieces_of, prepare, quoted, text_buffers, text_of, written
 
 NGRAM = 5
 #: Similarity in hundredths, compared in whole numbers: 100 * intersection >= SIMILAR * union.
 SIMILAR = 80
 BLOCK_SETS = 192
-#: Segments that at least so many documents may hold are grouped in two steps, with partial aggregation.
-HOT_BUCKET = 100_000
+#: Segments that at least so many documents may hold are grouped in two steps, by parts.
+HOT_BUCKET, PARTS = 100_000, 64
+#: Names of sets that are tried until no two sets share one.
+SALTS = 8
 #: Slots of the count-min sketch that orders segments; its size does not depend on the data.
 HEAT_SLOTS = 1 << 20
 SLICE_BYTES = 1 << 20
@@ -110,9 +112,9 @@ def ngram_sets(body: np.ndarray, offsets: np.ndarray, n: int = NGRAM):
     return out
 
 
-def set_id(s: np.ndarray) -> int:
-    """A 64-bit name of a set: equal sets, and with overwhelming odds only those, have equal names."""
-    return int(np.bitwise_xor.reduce(mix64(s + np.uint64(0x51ED270B))).view(np.int64)) if len(s) else 0
+def set_id(s: np.ndarray, salt: int = 0) -> int:
+    """A 64-bit name of a set. Equal sets have equal names; whether different ones do is found out by a second name."""
+    return int(np.bitwise_xor.reduce(mix64(s + np.uint64(0x51ED270B + (salt << 32)))).view(np.int64)) if len(s) else 0
 
 
 def most_different(size: int, other: int, similar: int = SIMILAR) -> int:
@@ -219,8 +221,8 @@ def _heat(docs: DataFrame, n: int) -> np.ndarray:
     return np.minimum(heat, (1 << 31) - 1).astype(np.int32)
 
 
-def _sets_table(docs: DataFrame, n: int) -> DataFrame:
-    """(doc, sid, size) of every document."""
+def _sets_table(docs: DataFrame, n: int, salt: int) -> DataFrame:
+    """(doc, sid, again, size) of every document; again is a second name of its set."""
 
     def run(batches):
         import pyarrow as pa
@@ -228,12 +230,24 @@ def _sets_table(docs: DataFrame, n: int) -> DataFrame:
         for batch in batches:
             for part in pieces_of(batch, SLICE_BYTES):
                 sets = ngram_sets(*text_buffers(part.column("text")), n)
-                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc", "sid", "size"])
+                ids, again = ([set_id(s, k) for s in sets] for k in (salt, salt + SALTS))
+                yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(ids, pa.int64()), pa.array(again, pa.int64()), pa.array([len(s) for s in sets], pa.int64())], ["doc", "sid", "again", "size"])
 
-    return docs.mapInArrow(run, "doc long, sid long, size long")
+    return docs.mapInArrow(run, "doc long, sid long, again long, size long")
 
 
-def _keys(docs: DataFrame, n: int, heat, similar: int) -> DataFrame:
+def _named_sets(docs: DataFrame, n: int) -> tuple[DataFrame, DataFrame, int]:
+    """The sets of all documents, one row a set with its smallest document, and the salt under which no two sets share a name."""
+    for salt in range(SALTS):
+        sets = written(_sets_table(docs, n, salt), "jaccard-sets")
+        named = sets.where("size > 0").groupBy("sid").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.max("size").alias("size"), (F.min("again") != F.max("again")).alias("clash"))
+        named = written(named, "jaccard-names")
+        if not named.where("clash").limit(1).count():
+            return sets.drop("again"), named.drop("clash"), salt
+    raise RuntimeError("different sets kept sharing names")
+
+
+def _keys(docs: DataFrame, n: int, heat, similar: int, salt: int) -> DataFrame:
     """(key, sid, hot): the kept segments of every non-empty set. A key that isn't hot has fewer than HOT_BUCKET rows."""
 
     def run(batches):
@@ -245,24 +259,25 @@ def _keys(docs: DataFrame, n: int, heat, similar: int) -> DataFrame:
                 sets = [s for s in ngram_sets(*text_buffers(part.column("text")), n) if len(s)]
                 if sets:
                     keys, warmth = zip(*(segment_keys(s, warm, similar) for s in sets), strict=True)
-                    owner = np.repeat(np.array([set_id(s) for s in sets], np.int64), [len(k) for k in keys])
+                    owner = np.repeat(np.array([set_id(s, salt) for s in sets], np.int64), [len(k) for k in keys])
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(owner), pa.array(np.concatenate(warmth) >= HOT_BUCKET)], ["key", "sid", "hot"])
 
     return docs.select("text").mapInArrow(run, "key long, sid long, hot boolean")
 
 
-def _members(docs: DataFrame, n: int, heat, similar: int) -> DataFrame:
+def _members(docs: DataFrame, n: int, heat, similar: int, salt: int) -> DataFrame:
     """(key, sid, low): the rows of _keys whose key belongs to several sets; low is the smallest of them."""
-    keys = _keys(docs, n, heat, similar)
-    same = Window.partitionBy("key")  # bounded: see hot
-    cold = keys.where("NOT hot").select("key", "sid", F.min("sid").over(same).alias("low"), F.max("sid").over(same).alias("high"))
-    cold = cold.where("low <> high").select("key", "sid", "low")
-    hot = keys.where("hot").select("key", "sid").distinct()
-    bucket = hot.groupBy("key").agg(F.min("sid").alias("low"), F.max("sid").alias("high")).where("low <> high").select("key", "low")
-    return cold.unionByName(hot.join(bucket, "key")).distinct()
+    # texts are read once: hot keys are cut into parts, whose smallest sets are compared afterwards
+    part = F.when(F.col("hot"), F.pmod(F.xxhash64("sid"), F.lit(PARTS))).otherwise(0)
+    same = Window.partitionBy("key", part)  # bounded: see hot
+    found = _keys(docs, n, heat, similar, salt).select("key", "sid", "hot", F.min("sid").over(same).alias("low"), F.max("sid").over(same).alias("high"))
+    found = written(found.where("hot OR low <> high").distinct(), "jaccard-members")
+    hot = found.where("hot")
+    bucket = hot.groupBy("key").agg(F.min("low").alias("low"), F.max("high").alias("high")).where("low <> high").select("key", "low")
+    return found.where("NOT hot").select("key", "sid", "low").unionByName(hot.select("key", "sid").join(bucket, "key"))
 
 
-def _verified(pairs: DataFrame, n: int, similar: int) -> DataFrame:
+def _verified(pairs: DataFrame, n: int, similar: int, salt: int) -> DataFrame:
     """Links within each block pair. Rows of a pair are adjacent; a pair has at most 2 * BLOCK_SETS rows."""
 
     def run(batches):
@@ -301,7 +316,7 @@ def _verified(pairs: DataFrame, n: int, similar: int) -> DataFrame:
             for part in pieces_of(batch, SLICE_BYTES):
                 sets = ngram_sets(*text_buffers(part.column("text")), n)
                 for row in zip(*(part.column(c).to_pylist() for c in ("one", "side", "two", "sid", "doc", "copies")), sets, strict=True):
-                    if set_id(row[6]) != row[3]:
+                    if set_id(row[6], salt) != row[3]:
                         continue  # another text under the same id
                     if (row[0], row[2]) != last:
                         out += emit(held)
@@ -331,11 +346,9 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = prepare(docs.sparkSession)
     docs = docs.select(F.col(quoted(id_col)).cast("long").alias("doc"), text_of(quoted(text_col)).alias("text"))
-    sets = written(_sets_table(docs, n), "jaccard-sets")
-    named = sets.where("size > 0").groupBy("sid").agg(F.min("doc").alias("doc"), F.count("*").alias("copies"), F.max("size").alias("size"))
-
+    sets, named, salt = _named_sets(docs, n)
     heat = spark.sparkContext.broadcast(_heat(docs, n))
-    member = written(_members(docs, n, heat, similar), "jaccard-members")
+    member = _members(docs, n, heat, similar, salt)
 
     home = member.groupBy("sid").agg(F.min("low").alias("home"))
     blocks = home.groupBy("home").agg(F.count("*").alias("n")).withColumn("parts", F.ceil(F.col("n") / BLOCK_SETS * F.lit(1.25)).cast("long"))
@@ -353,14 +366,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # texts move, not their n-grams: they are a fraction of the size
     dealt = docs.join(maybe_broadcast(wanted, wanted.count(), 48), "doc").repartition(tasks, "one", "two").sortWithinPartitions("one", "two", "side")
-    links = written(_verified(dealt, n, similar), "jaccard-links")
+    links = written(_verified(dealt, n, similar, salt), "jaccard-links")
 
     labels = connected_components(links.select("a", "b"))
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))
     classes = named.join(counts, F.col("a") == F.col("doc"), "left").join(labels, F.col("node") == F.col("doc"), "left")
     classes = classes.where("copies > 1 OR links IS NOT NULL").select("sid", F.coalesce("label", "doc").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     classes = written(classes, "jaccard-classes")
-    # the right side has one row per set; a hot set on the left is split by Spark's skew join
-    return sets.join(maybe_broadcast(classes, classes.count(), 32), "sid", "left").select(
+    return looked_up(sets, classes, "sid", 32).select(
         F.col("doc").alias("doc_id"), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.coalesce("component", "doc")).otherwise(F.col("doc")).alias("component_id"), F.when(F.col("size") > 0, F.coalesce("links", F.lit(0))).otherwise(F.lit(0)).cast("long").alias("n_links")
     )
