@@ -1,13 +1,14 @@
 """Licence scans with built-in functions: sparse TF-IDF cosine to templates, and inheritance along paths.
 
-Segments are compared with licence templates: every line that holds an anchor term (a header), the
-whole text of a licence file (by its name), and windows: for each anchor word of a text and each place of
-an equal anchor in a template, as many words around it as the template has, across line ends, compared
-with that template. So neither words beside a header nor line ends within it dilute its score. Term weights are (1 + ln tf) * idf, with idf from the document
-counts over the whole texts of the corpus, for the templates' terms and for all others in segments.
-A file's own licence is the best template at or above THRESHOLD. Files without one inherit from the
-licence files of the nearest ancestor directory: every directory is joined with each of its ancestors, so
-the prefix search is an equi-join.
+Segments are compared with licence templates: the whole text of a licence file (by its name) with whole
+templates; every line that holds an anchor term (a header), and windows, with the templates' first OPENING
+words. A window is cut for each anchor word of a text and each template with an equal anchor as its first: as
+many words before and after it as the opening has, across line ends, compared with that opening. So neither
+words beside a header nor line ends within it dilute its score. Term weights are (1 + ln tf) * idf, with idf
+from the document counts over the whole texts of the corpus, for the templates' terms and for all others in
+segments. A file's own licence is the best template at or above THRESHOLD; how far it leads the next licence
+is told beside it. Files without one inherit from the licence files of the nearest ancestor directory: every
+directory is joined with each of its ancestors, so the prefix search is an equi-join.
 """
 
 from __future__ import annotations
@@ -17,29 +18,12 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strataline.llm.common import kept_columns, maybe_broadcast, prepare, quoted, text_of, written
+from strataline.llm.common import kept_columns, looked_up, maybe_broadcast, prepare, quoted, text_of, written
+from strataline.llm.license_templates import TEMPLATES
 
 THRESHOLD = 0.5
-#: Licence names and their usual header words: fixed values.
-TEMPLATES = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("MIT", "This work is licensed under the MIT License."),
-    ("MIT", "Released under the MIT License."),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License"),
-    ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
-    ("AGPL-3.0", "This work is licensed under the GNU Affero General Public License, version 3."),
-    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license."),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
-    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    ("CC0-1.0", "To the extent possible under law, the author has dedicated this work to the public domain, CC0 1.0 Universal."),
-    ("Proprietary", "All rights reserved. Copyright. Proprietary and confidential. Unauthorized copying is prohibited."),
-)
+#: Words of a template that lines and windows are compared with.
+OPENING = 100
 #: A header line holds one of these; every template does.
 ANCHORS = r"(?i)licen[cs]|copyright|permission|redistribut|public domain|all rights reserved"
 LICENCE_FILE = r"(?i)^(un)?licen[cs]e|^copying|^copyright|^notice"
@@ -50,6 +34,21 @@ _ANCHOR_RUNS = (("public", "domain"), ("all", "rights", "reserved"))
 _WINDOWED = r"(?i)licen[cs]|copyright|permission|redistribut|public[^a-z0-9]+domain|all[^a-z0-9]+rights[^a-z0-9]+reserved"
 
 
+def _words_of(text: str) -> list[str]:
+    return [w for w in re.split(_WORDS, text.lower()) if w]
+
+
+def _openings(templates) -> list[tuple[int, str, bool, list[str]]]:
+    """(template, licence, whole, words): the opening of every template, and the whole of those that are longer."""
+    out = []
+    for name, text in templates:
+        words = _words_of(text)
+        out.append((len(out), name, False, words[:OPENING]))
+        if len(words) > OPENING:
+            out.append((len(out), name, True, words))
+    return out
+
+
 def _terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), _WORDS), lambda w: w != "")
 
@@ -64,8 +63,8 @@ def _document_counts(docs: DataFrame, segments: DataFrame, templates) -> DataFra
 
     Only those terms are counted, so the shuffled counts are as many as they are in each task.
     """
-    rows = docs.sparkSession.createDataFrame([(text,) for _, text in templates], "text string")
-    wanted = rows.select(F.explode(_terms(F.col("text"))).alias("term")).unionByName(segments.select(F.explode("words").alias("term"))).distinct()
+    rows = docs.sparkSession.createDataFrame([(words,) for *_, words in _openings(templates)], "words array<string>")
+    wanted = rows.select(F.explode("words").alias("term")).unionByName(segments.select(F.explode("words").alias("term"))).distinct()
     wanted = written(wanted, "license-terms")
     words = docs.select(F.explode(F.array_distinct(_terms(F.col("text")))).alias("term"))
     seen = words.join(maybe_broadcast(wanted, wanted.count(), 64), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
@@ -73,12 +72,12 @@ def _document_counts(docs: DataFrame, segments: DataFrame, templates) -> DataFra
 
 
 def _weights(spark, idf: DataFrame, templates) -> DataFrame:
-    """(template, license, term, weight) with unit norms."""
-    rows = spark.createDataFrame([(i, name, text) for i, (name, text) in enumerate(templates)], "template int, license string, text string")
-    rows = rows.select("template", "license", F.explode(_terms(F.col("text"))).alias("term")).groupBy("template", "license", "term").count()
+    """(template, license, whole, size, term, weight) with unit norms; size counts the words compared."""
+    rows = spark.createDataFrame(_openings(templates), "template int, license string, whole boolean, words array<string>")
+    rows = rows.select("template", "license", "whole", F.size("words").alias("size"), F.explode("words").alias("term")).groupBy("template", "license", "whole", "size", "term").count()
     weighted = idf.join(F.broadcast(rows), "term").withColumn("w", (1 + F.log("count")) * F.col("idf"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("template")))
-    return weighted.select("template", "license", "term", (F.col("w") / norm).alias("weight"))
+    return weighted.select("template", "license", "whole", "size", "term", (F.col("w") / norm).alias("weight"))
 
 
 def _idf(total: int, df: Column) -> Column:
@@ -86,15 +85,15 @@ def _idf(total: int, df: Column) -> Column:
 
 
 def _places(templates) -> list[tuple[int, int, int, int]]:
-    """(kind of anchor, template, words before the anchor, words of the template) of every anchor in the templates."""
+    """(kind of anchor, template, words before the anchor, words of the opening) of the first anchor in every opening."""
     out = []
-    for t, (_, text) in enumerate(templates):
-        words = [w for w in re.split(_WORDS, text.lower()) if w]
-        for i, w in enumerate(words):
-            kinds = [k for k, stem in enumerate(_ANCHOR_WORDS) if re.search(stem, w)]
-            kinds += [len(_ANCHOR_WORDS) + k for k, run in enumerate(_ANCHOR_RUNS) if tuple(words[i : i + len(run)]) == run]
-            out.extend((k, t, i, len(words)) for k in kinds)
-    return sorted(set(out))
+    for t, _, whole, words in _openings(templates):
+        kinds = [(i, k) for i, w in enumerate(words) for k, stem in enumerate(_ANCHOR_WORDS) if re.search(stem, w)]
+        kinds += [(i, len(_ANCHOR_WORDS) + k) for i in range(len(words)) for k, run in enumerate(_ANCHOR_RUNS) if tuple(words[i : i + len(run)]) == run]
+        if kinds and not whole:
+            i, kind = min(kinds)
+            out.append((kind, t, i, len(words)))
+    return out
 
 
 def _windows(base: DataFrame, templates) -> DataFrame:
@@ -132,49 +131,52 @@ def _windows(base: DataFrame, templates) -> DataFrame:
 
 
 def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "text", templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """``files`` with license, license_score, license_line (of a header; 0 for a whole licence file) and license_from.
+    """``files`` with license, license_score, license_line (of a header; 0 for a whole licence file), license_from and license_lead.
 
-    license_from is ``own``, ``directory`` (inherited) or null when no licence was found; an inherited
-    row's score is that of the licence file. Of equal scores the alphabetically first licence and the
-    first line win, and so between licence files of one directory. A null path lies in '.', a null or
+    license_lead is how far the file's own licence is ahead of the next one at or above the threshold, null if
+    there is none; license_from is ``own``, ``directory`` (inherited) or null when no licence was found; an inherited
+    row's score is that of the licence file. Of equal scores the longer template, then the alphabetically first, and the first line win; the best score, then the alphabetically first licence between licence files of one directory. A null path lies in '.', a null or
     empty text has no licence of its own. Input columns named like the results are replaced; repeated
     rows have equal results. An empty table gives no rows.
     """
     spark = prepare(files.sparkSession)
-    results = {"license", "license_score", "license_line", "license_from"}
+    results = {"license", "license_score", "license_line", "license_from", "license_lead"}
     names = kept_columns(files, results)
     path = F.coalesce(F.col(quoted(path_col)).cast("string"), F.lit(""))
     base = files.select(F.struct(*[F.col(quoted(c)).alias(c) for c in names]).alias("__ls_row"), path.alias("path"), text_of(quoted(text_col)).alias("text"))
     is_file = F.substring_index(F.col("path"), "/", -1).rlike(LICENCE_FILE)
     lines = F.filter(F.transform(F.split("text", "\n"), lambda line, i: F.struct((i + 1).alias("line"), line.alias("body"))), lambda x: x["body"].rlike(ANCHORS))
     whole = F.when(is_file, F.array(F.struct(F.lit(0).alias("line"), F.col("text").alias("body")))).otherwise(F.array().cast("array<struct<line:int,body:string>>"))
-    # a segment is named by its words, and a window also by its template: equal ones are compared once
-    base = base.withColumn("fid", F.xxhash64("path", "text"))
+    # files and segments are named by 128 bits of their content: equal ones are compared once
+    base = base.withColumn("fid", F.md5(F.concat("path", F.lit("\n"), "text")))
     texts = base.select("fid", "path", "text", is_file.alias("is_file")).where(F.col("text").rlike(_WINDOWED) | F.col("is_file"))
-    segment = texts.where(F.col("text").rlike(ANCHORS) | F.col("is_file")).select("fid", F.explode(F.concat(whole, lines)).alias("s")).select("fid", "s.line", F.lit(None).cast("int").alias("template"), _terms(F.col("s.body")).alias("words"))
-    segment = written(segment.unionByName(_windows(texts, templates)).withColumn("sid", F.xxhash64("template", "words")), "license-occurrences")
-    distinct = segment.select("sid", "template", "words").groupBy("sid").agg(F.first("template").alias("template"), F.first("words").alias("words"))
+    texts = written(texts, "license-candidates")
+    segment = texts.select("fid", F.explode(F.concat(whole, lines)).alias("s")).select("fid", "s.line", F.lit(None).cast("int").alias("template"), _terms(F.col("s.body")).alias("words"))
+    segment = segment.unionByName(_windows(texts, templates)).withColumn("sid", F.md5(F.concat_ws(" ", F.coalesce(F.col("template").cast("string"), F.when(F.col("line") == 0, "whole").otherwise("line")), "words")))
+    segment = written(segment, "license-occurrences")
+    distinct = segment.groupBy("sid").agg(F.first("template").alias("template"), (F.first("line") == 0).alias("whole"), F.first("words").alias("words"))
     distinct = written(distinct, "license-texts")
     counts = _document_counts(base, distinct, templates)
     idf = counts.select("term", _idf(base.count(), F.col("df")).alias("idf"))
     weights = F.broadcast(written(_weights(spark, idf, templates), "license-templates"))  # as many rows as the templates have terms
-    of_lines = distinct.where("template IS NULL").select("sid", F.explode("words").alias("term")).groupBy("sid", "term").agg(F.count("*").alias("n")).select("sid", F.lit(None).cast("int").alias("only"), "term", "n")
+    of_lines = distinct.where("template IS NULL").select("sid", "whole", F.explode("words").alias("term")).groupBy("sid", "whole", "term").agg(F.count("*").alias("n")).select("sid", F.lit(None).cast("int").alias("only"), F.col("whole").alias("file"), "term", "n")
     counted = F.transform(F.array_distinct("words"), lambda w: F.struct(w.alias("term"), F.size(F.filter("words", lambda v: v == w)).cast("long").alias("n")))
-    of_windows = distinct.where("template IS NOT NULL").select("sid", F.col("template").alias("only"), F.inline(counted))
+    of_windows = distinct.where("template IS NOT NULL").select("sid", F.col("template").alias("only"), F.lit(False).alias("file"), F.inline(counted))
     terms = of_lines.unionByName(of_windows).withColumn("tf", 1 + F.log("n"))
-    terms = terms.join(maybe_broadcast(idf, counts.count(), 64), "term").select("sid", "only", "term", (F.col("tf") * F.col("idf")).alias("w"))
+    terms = terms.join(maybe_broadcast(idf, counts.count(), 64), "term").select("sid", "only", "file", "term", (F.col("tf") * F.col("idf")).alias("w"))
     norms = terms.groupBy("sid").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = terms.join(weights, "term").where("only IS NULL OR only = template").groupBy("sid", "template", "license").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
+    dots = terms.join(weights, "term").where("only = template OR only IS NULL AND (file OR NOT whole)").groupBy("sid", "template", "license", "size").agg(F.sum(F.col("w") * F.col("weight")).alias("dot"))
     scored = dots.join(norms, "sid").withColumn("score", F.round(F.col("dot") / F.col("norm"), 9)).where(F.col("score") >= threshold)
-    best = scored.groupBy("sid").agg(F.min(F.struct(-F.col("score"), "license")).alias("b")).select("sid", (-F.col("b.col1")).alias("score"), F.col("b.license").alias("license"))
-    best = written(best, "license-segments")
+    best = written(scored.select("sid", "size", "license", "score"), "license-segments")
 
-    # each file's best segment
-    table = maybe_broadcast(best, best.count(), 64)
+    # each file's best segment, and the best of another licence
+    table = maybe_broadcast(best, best.count(), 100)
     found = segment.select("fid", "line", "sid").join(table, "sid")
-    own = found.groupBy("fid").agg(F.min(F.struct(-F.col("score"), "license", "line")).alias("b")).select("fid", (-F.col("b.col1")).alias("own_score"), F.col("b.license").alias("own"), F.col("b.line").alias("own_line"))
+    of_file = found.groupBy("fid", "license").agg(F.min(F.struct((-F.col("score")).alias("minus"), (-F.col("size")).alias("size"), "line")).alias("b"))  # at most one row a licence
+    ranked = F.sort_array(F.collect_list(F.struct("b.minus", "b.size", "license", "b.line")))
+    own = of_file.groupBy("fid").agg(ranked.alias("r")).select("fid", (-F.col("r")[0]["minus"]).alias("own_score"), F.col("r")[0]["license"].alias("own"), F.col("r")[0]["line"].alias("own_line"), F.round(F.get("r", F.lit(1))["minus"] - F.col("r")[0]["minus"], 9).alias("own_lead"))
     own = written(own, "license-own")
-    judged = base.select("__ls_row", "path", "fid").join(maybe_broadcast(own, own.count(), 64), "fid", "left").withColumn("dir", directory_of(F.col("path")))
+    judged = looked_up(base.select("__ls_row", "path", "fid"), own, "fid", 128).withColumn("dir", directory_of(F.col("path")))
 
     sources = judged.where(F.col("own").isNotNull() & F.substring_index(F.col("path"), "/", -1).rlike(LICENCE_FILE)).groupBy("dir").agg(F.min(F.struct(-F.col("own_score"), "own")).alias("b"))
     sources = sources.select(F.col("dir").alias("ancestor"), (-F.col("b.col1")).alias("dir_score"), F.col("b.own").alias("dir_license"))
@@ -184,8 +186,8 @@ def scan_licenses(files: DataFrame, path_col: str = "path", text_col: str = "tex
     depth = folders.select("dir", F.explode(ancestors).alias("ancestor")).withColumn("depth", F.when(F.col("ancestor") == ".", 0).otherwise(F.size(F.split("ancestor", "/"))))
     inherited = depth.join(sources, "ancestor").groupBy("dir").agg(F.max_by(F.struct("dir_license", "dir_score"), "depth").alias("i"))
     inherited = written(inherited.select("dir", "i.dir_license", "i.dir_score"), "license-directories")
-    joined = judged.join(maybe_broadcast(inherited, inherited.count(), 128), "dir", "left")
+    joined = looked_up(judged, inherited, "dir", 160)
     return joined.select(
         "__ls_row.*", F.coalesce("own", "dir_license").alias("license"), F.coalesce("own_score", "dir_score").alias("license_score"), F.col("own_line").alias("license_line"),
-        F.when(F.col("own").isNotNull(), "own").when(F.col("dir_license").isNotNull(), "directory").alias("license_from"),
+        F.when(F.col("own").isNotNull(), "own").when(F.col("dir_license").isNotNull(), "directory").alias("license_from"), F.col("own_lead").alias("license_lead"),
     )

@@ -1,5 +1,6 @@
 """Packing, SentencePiece, language, quality, toxicity, URLs, licences and the pipeline."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -606,6 +607,106 @@ def test_license_scan(spark):
     assert got["a/b/y.py"]["license_line"] == 2 and got["a/LICENSE"]["license_line"] == 0 and got["a/LICENSE"]["license_score"] > 0.99
 
 
+def template(name, k):
+    return [t for n, t in S.TEMPLATES if n == name][k]
+
+
+def wrapped(text, width, mark):
+    words, out = text.split(), []
+    for i in range(0, len(words), width):
+        out.append(mark + " ".join(words[i : i + width]))
+    return "\n".join(out)
+
+
+def test_licences_that_resemble_each_other(spark):
+    """Headers, wrapped in comments and amid other words, and whole files, each by its own licence."""
+    body = prose("code", 300)
+    rows = [("h/gpl2.c", "/*\n" + wrapped(template("GPL-2.0", 0), 9, " * ") + "\n */\n" + body, "GPL-2.0"), ("h/gpl3.c", wrapped(template("GPL-3.0", 0), 7, "# ") + "\n" + body, "GPL-3.0"), ("h/agpl.c", body + " " + template("AGPL-3.0", 0) + " " + body, "AGPL-3.0")]
+    rows += [("h/bsd3.c", body + "\n" + wrapped(template("BSD-3-Clause", 0), 11, "// ") + body, "BSD-3-Clause"), ("h/mpl.js", template("MPL-2.0", 0) + body, "MPL-2.0"), ("h/apache.go", wrapped(template("Apache-2.0", 0), 5, "; ") + body, "Apache-2.0"), ("h/lgpl.c", wrapped(template("LGPL-2.1", 0), 8, " * "), "LGPL-2.1")]
+    rows += [(f"f{k}/LICENSE", t, n) for k, (n, t) in enumerate((n, t) for n, t in S.TEMPLATES if len(t) > 250)]
+    rows += [("g/COPYING", template("GPL-3.0", 2) + " " + prose("rest", 2000), "GPL-3.0"), ("i/LICENSE.txt", "Copyright 2020 A. Person\n\n" + template("ISC", 0), "ISC"), ("u/UNLICENSE", template("Unlicense", 0) + "\n" + body, "Unlicense")]
+    got = {r["path"]: r for r in S.scan_licenses(spark.createDataFrame([r[:2] for r in rows], "path string, text string")).collect()}
+    assert {p: got[p]["license"] for p, *_ in rows} == {p: n for p, _, n in rows}
+    assert all(r["license_lead"] is None or r["license_lead"] >= 0 for r in got.values())
+
+
+def brute_licences(files, templates, threshold):
+    """Segments, weights, cosines and inheritance in plain Python."""
+    words = lambda t: [w for w in re.split(r"[^a-z0-9]+", t.lower()) if w]
+    texts = [t or "" for _, t in files]
+    df = Counter(w for t in texts for w in set(words(t)))
+    weight = lambda w: math.log((1 + len(texts)) / (1 + df[w])) + 1
+
+    def vector(ws):
+        v = {w: (1 + math.log(n)) * weight(w) for w, n in Counter(ws).items()}
+        size = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / size for w, x in v.items()}
+
+    anchor = re.compile(S.ANCHORS)
+    kinds = [*S._ANCHOR_WORDS]
+
+    def kind(ws, i):
+        for k, stem in enumerate(kinds):
+            if re.search(stem, ws[i]):
+                return k
+        return next((len(kinds) + k for k, run in reversed(list(enumerate(S._ANCHOR_RUNS))) if tuple(ws[i : i + len(run)]) == run), None)
+
+    openings = [(n, words(t)[: S.OPENING]) for n, t in templates]
+    wholes = [(n, words(t)) for n, t in templates if len(words(t)) > S.OPENING]
+    first = [next(((i, kind(o, i)) for i in range(len(o)) if kind(o, i) is not None), None) for _, o in openings]
+    own, judged = {}, []
+    for (path, _), text in zip(files, texts, strict=True):
+        path, found = path or "", []
+        is_file = re.search(S.LICENCE_FILE, path.rsplit("/", 1)[-1]) is not None
+        lines = text.split("\n")
+        if is_file:
+            found += [(0, n, vector(words(text)), vector(o)) for n, o in openings + wholes if words(text)]
+        found += [(k, n, vector(words(line)), vector(o)) for k, line in enumerate(lines, 1) if anchor.search(line) for n, o in openings]
+        flat = [(k, w) for k, line in enumerate(lines, 1) for w in words(line)]
+        ws = [w for _, w in flat]
+        for i in range(len(ws)):
+            for (n, o), at in zip(openings, first, strict=True):
+                if at is not None and kind(ws, i) == at[1]:
+                    low = max(0, i - at[0])
+                    found.append((flat[low][0], n, vector(ws[low : i - at[0] + len(o)]), vector(o)))
+        scores = [(round(sum(x * b.get(w, 0) for w, x in a.items()), 6), n, k) for k, n, a, b in found]
+        judged.append(max((s for s in scores if s[0] >= threshold), default=None, key=lambda s: s[0]))
+    for (path, _), best in zip(files, judged, strict=True):
+        path = path or ""
+        if best and re.search(S.LICENCE_FILE, path.rsplit("/", 1)[-1]):
+            folder = path.rpartition("/")[0] or "."
+            own[folder] = max(own.get(folder, best), best)
+    out = []
+    for (path, _), best in zip(files, judged, strict=True):
+        folder = (path or "").rpartition("/")[0] or "."
+        while not best and folder:
+            best = own.get(folder)
+            folder = "" if folder == "." else folder.rpartition("/")[0] or "."
+        out.append(best and best[0])
+    return out
+
+
+def test_licences_against_brute_force(spark):
+    r = np.random.default_rng(11)
+    pieces = [t for _, t in S.TEMPLATES]
+    files = []
+    for k in range(50):
+        text = prose(k, int(r.integers(0, 60))).split()
+        if r.random() < 0.5:
+            part = pieces[r.integers(len(pieces))].split()[: int(r.integers(4, 60))]
+            text[len(text) // 2 : len(text) // 2] = [w + ("\n" if r.random() < 0.1 else "") for w in part]
+        name = ["LICENSE", f"f{k}.py", "COPYING.txt", "x/LICENSE.md", f"x/y/g{k}.c"][r.integers(5)]
+        files.append((f"d{r.integers(4)}/e{r.integers(2)}/{name}", " ".join(text)))
+    files += [("LICENSE", pieces[5]), (None, None), ("d0/plain", "nothing")]
+    got = S.scan_licenses(spark.createDataFrame([(k, *f) for k, f in enumerate(files)], "k int, path string, text string")).collect()
+    want = brute_licences(files, S.TEMPLATES, S.THRESHOLD)
+    by = {g["k"]: g["license_score"] for g in got}
+    assert len(got) == len(files)
+    for k, score in enumerate(want):
+        assert by[k] == pytest.approx(score, abs=2e-6) if score is not None else by[k] is None, files[k]
+    assert sum(x is not None for x in want) > 20
+
+
 def test_license_scan_is_native_and_takes_awkward_rows(spark, awkward, nothing):
     df = S.scan_licenses(awkward.withColumnRenamed("source", "path").withColumnRenamed("host", "license"))
     assert df.count() == awkward.count()
