@@ -1,26 +1,29 @@
 """Source files to chunks: plug-ins by language and the table function that runs them.
 
-Python files are parsed with the standard library's parser. TypeScript and Ruby files are scanned by
-lines and brackets for the top-level constructs that become chunks, which is not a full parse: a string
-or comment that holds unbalanced brackets is handled, a regular expression literal that holds them is not.
+Python files are parsed with the standard library's parser. TypeScript and Ruby files are tokenized (see
+``scan``): strings, templates, regular expressions, comments and heredocs are told from code, and the top-level
+definitions that become chunks are followed by a stack of brackets or keywords.
 """
 
 from __future__ import annotations
 
 import ast
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import Protocol
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strataline.functions import columns as C
+from strataline.operators.chunkers import scan
 from strataline.schema import CODE_CHUNK
 from strataline.sources.files import TEST_PATTERNS
 
 SMALL_FILE_LINES = 50
 MAX_IMPORTS = 10
+#: Classes of more tokens carry the note of a cut, whether or not they are longer than a chunk may be.
+LARGE_CLASS_TOKENS = 500
 # Names that frameworks give a meaning: fixed values.
 HTTP_METHODS = ("GET", "POST", "PUT", "DELETE", "PATCH")
 CONFIG_NAMES = ("next.config.js", "next.config.mjs", "next.config.ts", "tailwind.config.js", "tailwind.config.ts", "postcss.config.js", "postcss.config.mjs")
@@ -35,6 +38,7 @@ class Chunk:
     code: str
     exported: bool = False
     role: str | None = None
+    whole: bool = False  # a file as one chunk, which is never cut
 
 
 class LanguagePlugin(Protocol):
@@ -51,7 +55,7 @@ class LanguagePlugin(Protocol):
 
 
 def _whole(path: str, content: str, kind: str = "other", role: str | None = None, exported: bool = False, name: str | None = None) -> list[Chunk]:
-    return [Chunk(name or path.rsplit("/", 1)[-1], kind, 1, content.count("\n") + 1, content, exported, role)]
+    return [Chunk(name or path.rsplit("/", 1)[-1], kind, 1, content.count("\n") + 1, content, exported, role, True)]
 
 
 class PythonPlugin:
@@ -84,9 +88,6 @@ class PythonPlugin:
 class RubyPlugin:
     name, extensions, comment = "ruby", ("rb", "rake"), "#"
     test_patterns = TEST_PATTERNS[("rb", "rake")]
-    _opens = re.compile(r"^\s*(def|class|module|if|unless|while|until|case|begin|for)\b|=\s*(if|unless|case|begin|while)\b|\bdo\s*(\|[^|]*\|)?\s*$")
-    _one_line = re.compile(r"^\s*def\s+[^=;]*=\s|;\s*end\s*$|\bend\s*$")
-    _head = re.compile(r"^(def|class|module)\s+(?:self\.)?([A-Za-z_][\w:]*[?!=]?)")
 
     def language(self, path: str) -> str:
         return "ruby"
@@ -98,26 +99,16 @@ class RubyPlugin:
         lines = content.split("\n")
         if len(lines) < SMALL_FILE_LINES:
             return _whole(path, content)
-        out, depth, head, start = [], 0, None, 0
-        for number, line in enumerate(lines, 1):
-            code = re.sub(r"#(?!\{).*$", "", re.sub(r"\"(?:\\.|[^\"\\])*\"|'(?:\\.|[^'\\])*'", "''", line))
-            if depth == 0 and (found := self._head.match(code)):
-                head, start = found, number
-            if self._opens.search(code) and not (re.search(r"\bend\s*$", code.strip()) and code.strip() != "end") and not re.match(r"^\s*def\s+\S+(\([^)]*\))?\s*=\s", code):
-                depth += 1
-            elif re.match(r"^\s*end\b", code):
-                depth -= 1
-            if head and depth == 0:
-                out.append(Chunk(head[2], "function" if head[1] == "def" else "class", start, number, "\n".join(lines[start - 1 : number])))
-                head = None
+        out = []
+        for d in scan.ruby_definitions(content):
+            first, last = content.count("\n", 0, d.start) + 1, content.count("\n", 0, d.stop) + 1
+            out.append(Chunk(d.name, "function" if d.kind == "def" else "class", first, last, content[d.start : d.stop]))
         return out or _whole(path, content)
 
 
 class TypeScriptPlugin:
     name, extensions, comment = "typescript", ("ts", "tsx", "js", "jsx", "mjs", "mts"), "//"
     test_patterns = TEST_PATTERNS[("ts", "tsx", "js", "jsx", "mjs", "mts")]
-    _declared = re.compile(r"^(export\s+)?(?:default\s+)?(?:declare\s+)?(?:(abstract\s+class|class|interface)\s+([A-Za-z_$][\w$]*)|(type)\s+([A-Za-z_$][\w$]*)[^=]*=|(?:async\s+)?(function)\s*\*?\s*([A-Za-z_$][\w$]*)?|(const|let)\s+([A-Za-z_$][\w$]*)\s*(?::[^=]+)?=)")
-    _callable = re.compile(r"=\s*(?:async\s*)?(?:function\b|(?:<[^>]*>\s*)?\([^=]*\)\s*(?::[^={]+)?=>|[A-Za-z_$][\w$]*\s*=>)", re.S)
     _markup = re.compile(r"(?:return\s*\(?|=>\s*\(?|\(|\?|:|&&)\s*<(?:[A-Za-z][\w.]*(?:\s|>|/)|>)")
 
     def language(self, path: str) -> str:
@@ -145,10 +136,8 @@ class TypeScriptPlugin:
         return "/" + "/".join(folders)
 
     def kind(self, name: str, declared: str, code: str, path: str) -> str:
-        if declared in ("interface", "type"):
+        if declared in ("interface", "type", "class"):
             return declared
-        if declared.endswith("class"):
-            return "class"
         if name in HTTP_METHODS:
             return "route"
         if name.startswith("use") and len(name) > 3 and name[3] == name[3].upper():
@@ -157,46 +146,26 @@ class TypeScriptPlugin:
             return "component"
         return "config" if path.rsplit("/", 1)[-1] in CONFIG_NAMES else "function"
 
-    @staticmethod
-    def _bare(content: str) -> str:
-        """The text with the insides of strings and comments blanked, newlines kept."""
-        blank = lambda m: re.sub(r"[^\n]", " ", m[0])
-        return re.sub(r"/\*.*?\*/|//[^\n]*|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", blank, content, flags=re.S)
-
-    def declarations(self, content: str):
-        """(match, first line, last line) of each declaration that begins a line outside all brackets."""
-        bare = self._bare(content).split("\n")
-        depth, open_ = 0, None
-        for number, line in enumerate(bare, 1):
-            if depth == 0 and open_ is None and (found := self._declared.match(line)):
-                open_ = (found, number, "" if found[4] or found[8] else "{")
-            depth += sum(line.count(x) for x in "{([") - sum(line.count(x) for x in "})]")
-            if open_ and depth <= 0:
-                text = line.rstrip()
-                done = text.endswith((";", "}")) or (open_[2] == "" and not text.endswith(("=", "|", "&", "=>", ",", "?", ":", "+")) and not (number < len(bare) and re.match(r"\s*[|&.?:+]", bare[number])))
-                if done:
-                    yield open_[0], open_[1], number
-                    open_ = None
-            depth = max(depth, 0)
-
     def chunks(self, path: str, content: str) -> list[Chunk]:
-        role, lines = self.role(path), content.split("\n")
-        if len(lines) < SMALL_FILE_LINES:
+        role = self.role(path)
+        if content.count("\n") + 1 < SMALL_FILE_LINES:
             return _whole(path, content, "config" if role == "config" else "other", role)
         if role in ("page", "layout", "middleware"):
-            return _whole(path, content, "function" if role == "middleware" else "component", role, True, self.route_path(path) if role == "page" else None)
-        out = []
-        for m, first, last in self.declarations(content):
-            name = m[3] or m[5] or m[7] or m[9] or "anonymous"
-            declared = m[2] or m[4] or m[6] or m[8]
-            code = "\n".join(lines[first - 1 : last])
+            return [replace(c, whole=True) for c in _whole(path, content, "function" if role == "middleware" else "component", role, True, self.route_path(path) if role == "page" else None)]
+        out, seen = [], -1
+        for d in scan.typescript_definitions(content):
             if role == "api_route":
-                if name in HTTP_METHODS and declared in ("function", "const", "let"):
-                    out.append(Chunk(name, "route", first, last, code, bool(m[1]), role))
-                continue
-            if declared in ("const", "let") and not self._callable.search(code):
+                if d.name in HTTP_METHODS and d.kind in ("function", "const"):
+                    first, last = (content.count("\n", 0, at) + 1 for at in (d.outer, d.stop))
+                    out.append(Chunk(d.name, "route", first, last, content[d.outer : d.stop], d.exported, role, True))
                 continue
-            out.append(Chunk(name, self.kind(name, declared, code, path), first, last, code[len(m[1] or "") :] if m[1] else code, bool(m[1]), role))
+            if d.kind == "const":
+                if d.start == seen or not scan.is_function_value(d.value):
+                    continue
+                seen = d.start  # a statement is one chunk, named by its first function
+            first, last = (content.count("\n", 0, at) + 1 for at in (d.start, d.stop))
+            code = content[d.start : d.stop]
+            out.append(Chunk(d.name, self.kind(d.name, d.kind, code, path), first, last, code, d.exported, role))
         return out or _whole(path, content, "config" if role == "config" else "other", role)
 
 
@@ -224,11 +193,16 @@ def default_registry() -> PluginRegistry:
     return PluginRegistry([TypeScriptPlugin(), PythonPlugin(), RubyPlugin()])
 
 
-def chunk_text(plugin: LanguagePlugin, path: str, content: str, code: str, max_tokens: int) -> str:
-    """File comment, imports and code; cut at max_tokens * 4 characters with a note."""
+def chunk_text(plugin: LanguagePlugin, path: str, content: str, code: str, max_tokens: int, chunk: Chunk | None = None) -> str:
+    """File comment, imports and code; cut at max_tokens * 4 characters with a note, but for chunks that are whole files."""
     found = plugin.imports(content)
     text = "\n".join([f"{plugin.comment} file: {path}", *(["\n".join(found), ""] if found else []), code])
-    return text if -(-len(text) // 4) <= max_tokens else text[: max_tokens * 4] + f"\n{plugin.comment} ... truncated"
+    if chunk is not None and chunk.whole:
+        return text
+    cut = lambda t: t[: max_tokens * 4] + f"\n{plugin.comment} ... truncated"
+    if chunk is not None and chunk.chunk_type == "class" and -(-len(code) // 4) > LARGE_CLASS_TOKENS:
+        text = cut(text)
+    return cut(text) if -(-len(text) // 4) > max_tokens else text
 
 
 def chunk_files(files: DataFrame, max_tokens: int = 8000, registry: PluginRegistry | None = None) -> DataFrame:
@@ -250,7 +224,7 @@ def chunk_files(files: DataFrame, max_tokens: int = 8000, registry: PluginRegist
                 if plugin is None or not isinstance(content, str):
                     continue
                 owner = package_name if plugin.name == "typescript" else "root"
-                rows.extend((path, owner, c.name, c.chunk_type, c.line_start, c.line_end, chunk_text(plugin, path, content, c.code, max_tokens), plugin.language(path), c.exported, c.role or "") for c in plugin.chunks(path, content))
+                rows.extend((path, owner, c.name, c.chunk_type, c.line_start, c.line_end, chunk_text(plugin, path, content, c.code, max_tokens, c), plugin.language(path), c.exported, c.role or "") for c in plugin.chunks(path, content))
             yield pd.DataFrame(rows, columns=["file_path", "package_name", "name", "chunk_type", "line_start", "line_end", "content", "language", "exported", "framework_role"])
 
     schema = "file_path string, package_name string, name string, chunk_type string, line_start int, line_end int, content string, language string, exported boolean, framework_role string"

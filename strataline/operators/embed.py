@@ -26,6 +26,8 @@ class Embedder(Protocol):
     batch_size: int
     char_budget: int
     prefixed: bool
+    max_chars: int | None  # characters of a text that are embedded; None: all
+    concurrency: int | None  # callers at once; None: any number
 
     def embed(self, texts: list[str]) -> list[list[float]]: ...
 
@@ -39,6 +41,8 @@ class HashingEmbedder:
     char_budget: int = 1_000_000
     name: str = "hashing"
     prefixed: bool = False
+    max_chars: int | None = None
+    concurrency: int | None = None
 
     def embed(self, texts: list[str]) -> list[list[float]]:
         import zlib
@@ -66,6 +70,8 @@ class HttpEmbedder:
     remote: bool = False
     dimension: int = 768
     batch_size: int = 50
+    concurrency: int = 2
+    max_chars: int = MAX_CHARS
     timeout: float = 120.0
 
     @property
@@ -109,9 +115,9 @@ def create_embedder(config: EngineConfig) -> Embedder:
     if config.embedding_provider == "hashing":
         return HashingEmbedder(config.embedding_dimension)
     if config.embedding_provider in ("local", "ollama"):
-        return HttpEmbedder(config.embedding_base_url or "http://localhost:11434", config.embedding_model, dimension=config.embedding_dimension, batch_size=config.embedding_batch_size)
+        return HttpEmbedder(config.embedding_base_url or "http://localhost:11434", config.embedding_model, dimension=config.embedding_dimension, batch_size=config.embedding_batch_size, concurrency=config.embedding_concurrency)
     if config.embedding_provider in ("remote", "openai"):
-        return HttpEmbedder(config.embedding_base_url or "https://api.openai.com", config.embedding_model, config.embedding_api_key, True, config.embedding_dimension, config.embedding_batch_size)
+        return HttpEmbedder(config.embedding_base_url or "https://api.openai.com", config.embedding_model, config.embedding_api_key, True, config.embedding_dimension, config.embedding_batch_size, config.embedding_concurrency)
     raise ValueError(f"unknown embedding provider: {config.embedding_provider}")
 
 
@@ -149,18 +155,28 @@ def embed_or_split(embedder: Embedder, texts: list[str]) -> list[list[float]]:
     return [[0.0] * embedder.dimension]
 
 
+def _most(embedder: Embedder) -> int | None:
+    """What a service takes of a text; one that doesn't say takes MAX_CHARS."""
+    return getattr(embedder, "max_chars", MAX_CHARS)
+
+
 def embed_texts(embedder: Embedder, texts: list[str], prefix: str = DOCUMENT) -> list[list[float]]:
-    given = [((prefix if embedder.prefixed else "") + (t or ""))[:MAX_CHARS] for t in texts]
+    given = [((prefix if embedder.prefixed else "") + (t or ""))[: _most(embedder)] for t in texts]
     return [v for run in batches(given, embedder.batch_size, embedder.char_budget) for v in embed_or_split(embedder, run)]
 
 
 def embed_query(embedder: Embedder, text: str, prefix: str = QUERY) -> list[float]:
-    return embed_or_split(embedder, [((prefix if embedder.prefixed else "") + text)[:MAX_CHARS]])[0]
+    return embed_or_split(embedder, [((prefix if embedder.prefixed else "") + text)[: _most(embedder)]])[0]
 
 
 def with_vectors(df: DataFrame, text_col: str, embedder: Embedder, prefix: str = DOCUMENT) -> DataFrame:
-    """df with the column vector: the rows' texts embedded in Arrow batches, next to the rows."""
+    """df with the column vector: the rows' texts embedded in Arrow batches, next to the rows.
 
+    A service that bounds its callers is asked from at most so many tasks at once.
+    """
+    callers = getattr(embedder, "concurrency", None)
+    if callers:
+        df = df.coalesce(callers)
     return df.withColumn("vector", _series_udf(embedder, prefix)(F.col(text_col)))
 
 

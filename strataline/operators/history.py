@@ -21,9 +21,9 @@ def is_skipped(config: GitConfig = GitConfig()) -> Column:
 
 
 def kept_commits(raw: DataFrame, config: GitConfig = GitConfig()) -> DataFrame:
-    """Commits that are not skipped; at most max_commits of them by log order if that is set."""
+    """Commits that are not skipped; if max_commits is set, the newest so many of them, as a log begins with the newest."""
     kept = raw.where(~is_skipped(config))
-    return kept.orderBy("seq").limit(config.max_commits) if config.max_commits else kept
+    return kept.orderBy(F.desc("seq")).limit(config.max_commits) if config.max_commits else kept
 
 
 def summary_text(files: Column) -> Column:

@@ -48,3 +48,8 @@ def detect(history: DataFrame, as_of: Column, config: SignalsConfig = SignalsCon
         summary=F.concat(F.lit("Churn hotspot: "), f, F.lit(" changed "), F.col("count").cast("string"), F.lit(" times ("), F.format_string("%.1f", sigma), F.lit("σ above mean of "), C.half_up(F.col("mean")).cast("string"), F.lit("). Trend: "), F.col("trend"), F.lit(".")),
         severity=F.when(sigma > 3, "warning").otherwise("caution"), confidence=F.least(F.lit(0.95), 0.6 + sigma * 0.1),
     )
+
+
+def by_sigma(signals: DataFrame) -> DataFrame:
+    """Churn signals for reading, the largest deviation first."""
+    return signals.orderBy(F.get_json_object("metadata", "$.sigma").cast("double").desc(), "file")

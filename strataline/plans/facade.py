@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import os
+import subprocess
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,8 +56,10 @@ class Engine:
         """Re-chunks what changed since the last index; without a usable state everything."""
         state = self.store.load_state("code")
         try:
-            changed = G.changed_paths(self.spark, self.repo, state["commit"])
-        except Exception:  # noqa: BLE001 - no state, or history was rewritten
+            changed = G.changed_paths(self.spark, self.repo, state["commit"]) if state and state.get("commit") else None
+        except subprocess.CalledProcessError:  # git doesn't know the commit any more: history was rewritten
+            changed = None
+        if changed is None:
             return self.index_code()
         changed = changed.where(SF.wanted(F.col("path"), self.config)).select(F.col("path").alias("file_path"))
         old = ST.without(self.store.read("chunks", vectors=True), changed, "file_path")
@@ -70,11 +74,8 @@ class Engine:
 
     # --- history
 
-    def _staging(self) -> str:
-        return os.path.join(self.store.uri, "staging")
-
     def _history(self, since: str | None = None, days: int | None = None, limit: int = 0) -> DataFrame:
-        raw = H.kept_commits(G.commits(self.spark, self.repo, self._staging(), since, days, self.config.git), self.config.git)
+        raw = H.kept_commits(G.commits(self.spark, self.repo, None, since, days, self.config.git), self.config.git)
         raw = raw.orderBy(F.desc("seq")).limit(limit) if limit else raw
         return E.with_vectors(H.enrich(H.chunk_commits(raw, self.config.git), self.config.git), "text", self.embedder)
 
@@ -83,12 +84,15 @@ class Engine:
         self._done("history")
 
     def index_history_incremental(self) -> None:
-        """Appends what last..HEAD brought; rows that are there already are left out. Any failure indexes everything."""
+        """Appends what last..HEAD brought; rows that are there already are left out. Without a usable state everything is indexed."""
         state = self.store.load_state("history")
         try:
-            self.store.append_new("git_history", self._history(since=state["commit"]))
-        except Exception:  # noqa: BLE001 - no state, or history was rewritten
+            new = self._history(since=state["commit"]) if state and state.get("commit") else None
+        except subprocess.CalledProcessError:  # git doesn't know the commit any more: history was rewritten
+            new = None
+        if new is None:
             return self.index_history()
+        self.store.append_new("git_history", new)
         self._done("history")
 
     def index_history_recent(self) -> None:
@@ -101,8 +105,13 @@ class Engine:
         return F.lit(dt.datetime.now(dt.UTC).replace(tzinfo=None)).cast("timestamp")
 
     def _analysed_history(self) -> DataFrame:
-        rows = self.store.read("git_history")
-        return rows.orderBy("seq", "id").limit(self.config.max_analyze_chunks) if self.config.max_analyze_chunks else rows
+        """The stored history; if max_analyze_chunks is set, its newest so many rows, with a warning that there are more."""
+        rows, most = self.store.read("git_history"), self.config.max_analyze_chunks
+        if not most:
+            return rows
+        if rows.limit(most + 1).count() > most:
+            warnings.warn(f"analysis truncated to {most} chunks; results may be incomplete", stacklevel=3)
+        return rows.orderBy(F.desc("seq"), "id").limit(most)
 
     def analyze(self) -> None:
         rows, as_of = self._analysed_history(), self._as_of()
@@ -153,6 +162,9 @@ class Engine:
     def stats(self) -> DataFrame:
         return ST.code_stats(self.store.read("chunks"))
 
+    def signal_counts(self) -> DataFrame:
+        return ST.signal_type_counts(self.store.read("signals"))
+
     def history_stats(self) -> DataFrame:
         return ST.history_stats(self.store.read("git_history"))
 
@@ -191,9 +203,9 @@ def render_explain(code, per_file, history, query: str) -> str:
     return "\n".join([*out, "", render_history(history, query)])
 
 
-def render_assessment(warnings, profiles, owners) -> str:
-    out = [f"{len(warnings)} warning{'s' if len(warnings) != 1 else ''} detected", ""] if warnings else ["No warnings detected for these files."]
-    for w in warnings:
+def render_assessment(found, profiles, owners) -> str:
+    out = [f"{len(found)} warning{'s' if len(found) != 1 else ''} detected", ""] if found else ["No warnings detected for these files."]
+    for w in found:
         out.append(f"{w['severity'].upper()} [{w['category']}] {w['message']}")
         out += [f"  Evidence: {', '.join(s[:7] for s in w['evidence'])}"] if w["evidence"] else []
         out += [f"  Triggered by: {', '.join(w['signal_ids'])}"] if w["signal_ids"] else []

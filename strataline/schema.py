@@ -63,6 +63,7 @@ class GitConfig:
     max_commits: int = 0
 
 
+# The globs below are fixed values.
 @dataclass(frozen=True)
 class EngineConfig:
     include: tuple[str, ...] = ("**/*.ts", "**/*.tsx", "**/*.js", "**/*.jsx", "**/*.mjs", "**/*.mts", "**/*.py", "**/*.rb", "**/*.rake")
@@ -76,6 +77,7 @@ class EngineConfig:
     embedding_api_key: str | None = None
     embedding_base_url: str | None = None
     embedding_batch_size: int = 50
+    embedding_concurrency: int = 2
     embedding_dimension: int = 768
     search_limit: int = 5
     store_uri: str | None = None

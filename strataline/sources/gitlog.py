@@ -5,11 +5,13 @@ from __future__ import annotations
 import os
 import subprocess
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strataline.schema import GitConfig
+from strataline.sources.scratch import shared_folder
 
 SEPARATOR = "commit-record"
 FORMAT = f"{SEPARATOR}%x00%H%x00%an%x00%ae%x00%aI%x00%s%x00%b%x00%P%x00%D"
@@ -96,12 +98,33 @@ def patches_by_file(text: Column, max_lines: int) -> Column:
     return F.map_from_entries(last)
 
 
+def file_diff(repo: str, sha: str, path: str, max_lines: int = 200) -> str:
+    """One file's patch in a commit with its functions as context, cut to max_lines; empty if git cannot tell it."""
+    try:
+        patch = git(repo, "show", "--format=", "--patch", "--function-context", sha, "--", path)
+    except (subprocess.CalledProcessError, OSError):
+        return ""
+    if "Binary files" in patch:
+        return "[binary file]"
+    lines = patch.split("\n")
+    return patch if len(lines) <= max_lines else "\n".join(lines[:max_lines]) + f"\n... truncated ({len(lines) - max_lines} more lines)"
+
+
 def commits(spark: SparkSession, repo: str, staging: str | None = None, since: str | None = None, days: int | None = None, config: GitConfig = GitConfig()) -> DataFrame:
-    """Raw commits of a repository: the log is dumped once by the driver, to a folder that executors see, and parsed in parallel."""
+    """Raw commits of a repository: the log is dumped once by the driver, put where executors see it, and parsed in parallel.
+
+    ``staging`` is a folder of any Hadoop file system; by default one in the shared folder.
+    """
     validate_repo(repo)
-    folder = staging or tempfile.mkdtemp(prefix="strataline-log-")
-    os.makedirs(folder, exist_ok=True)
-    return read_log(spark, dump_log(repo, os.path.join(folder, "log.txt"), since, days), config)
+    folder = f"{(staging or shared_folder(spark)).rstrip('/')}/log-{uuid.uuid4().hex}"
+    with tempfile.TemporaryDirectory() as here:  # the driver's own disk, before the file is moved
+        path = dump_log(repo, os.path.join(here, "log.txt"), since, days)
+        jvm = spark.sparkContext._jvm
+        target = jvm.org.apache.hadoop.fs.Path(f"{folder}/log.txt")
+        fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        fs.mkdirs(target.getParent())
+        fs.copyFromLocalFile(False, True, jvm.org.apache.hadoop.fs.Path(f"file://{path}"), target)
+    return read_log(spark, f"{folder}/log.txt", config)
 
 
 def changed_paths(spark: SparkSession, repo: str, since: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Parquet tables of chunks, history, signals and profiles, with snapshot rewrites and state.
 
 Parquet has no in-place delete. A change writes the table's next snapshot to a new folder and then moves
-the table's pointer, a one-line file, so readers see the old or the new snapshot, never a mixture.
+the table's pointer, a one-line file, so readers see the old or the new snapshot, never a mixture. The last
+KEPT snapshots stay, so that a query that began before a change can end.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ TABLES = {
     "chunks": T.StructType([*schema.CODE_CHUNK, VECTOR]), "git_history": T.StructType([*schema.HISTORY, VECTOR]),
     "signals": T.StructType([*schema.SIGNAL, VECTOR]), "file_profiles": schema.PROFILE,
 }
+#: Snapshots of a table that are kept beside the current one.
+KEPT = 2
 PARTITIONS = {"git_history": ["chunk_type"], "signals": ["type"]}
 
 
@@ -73,8 +76,8 @@ class Store:
         writer = self._conform(table, df).write.mode("overwrite")
         writer.partitionBy(*PARTITIONS.get(table, [])).parquet(f"{self.uri}/{table}/snapshot-{number}")
         self._write(f"{table}/_current", f"snapshot-{number}\n")
-        if old:
-            self._fs.delete(self._path(old), True)
+        if number > KEPT:
+            self._fs.delete(self._path(f"{self.uri}/{table}/snapshot-{number - KEPT - 1}"), True)
 
     def insert(self, table: str, df: DataFrame, overwrite: bool = False) -> None:
         """Appends to the current snapshot's folder, or writes a new one."""
@@ -143,7 +146,8 @@ def code_stats(chunks: DataFrame) -> DataFrame:
 
 
 def signal_type_counts(signals: DataFrame) -> DataFrame:
-    return signals.groupBy("type").agg(F.count("*").alias("n"))
+    """(type, n), the most frequent type first."""
+    return signals.groupBy("type").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "type")
 
 
 def signals_in_directory(signals: DataFrame, directory: str) -> DataFrame:
@@ -166,3 +170,12 @@ def profiles_under(profiles: DataFrame, directory: str) -> DataFrame:
 def signals_as_records(signals: DataFrame) -> DataFrame:
     """Signals with arrays as JSON text and times as ISO text, as record-oriented consumers expect."""
     return signals.select("id", "type", "summary", "severity", "confidence", "directory_scope", F.to_json("contributing_shas").alias("contributing_shas"), C.iso(F.col("start")).alias("temporal_start"), C.iso(F.col("end")).alias("temporal_end"), "metadata")
+
+
+def records_as_signals(records: DataFrame) -> DataFrame:
+    """The signals of such records: arrays and times parsed again, and what their metadata names of files and classes."""
+    meta = lambda k, kind: F.from_json("metadata", f"{k} {kind}")[k]
+    return records.select(
+        "id", "type", "summary", "severity", "confidence", "directory_scope", F.from_json("contributing_shas", "array<string>").alias("contributing_shas"), C.to_ts("temporal_start").alias("start"), C.to_ts("temporal_end").alias("end"),
+        meta("file", "string").alias("file"), meta("dominant_decision_class", "string").alias("dominant_decision_class"), "metadata",
+    )

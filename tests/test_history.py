@@ -53,7 +53,28 @@ def test_decision_classes(spark, subject, files, want):
 def test_skipped_commits(spark):
     rows = [{"author": "Renovate Bot"}, {"subject": "Merge branch 'x'"}, {"subject": "update lock file"}, {"parents": ["a", "b"]}, {"files": ["yarn.lock", "a/go.sum"]}, {"files": ["yarn.lock", "a.ts"]}, {"files": []}]
     assert sorted(r["seq"] for r in H.kept_commits(commits(spark, rows)).collect()) == [5, 6]
-    assert [r["seq"] for r in H.kept_commits(commits(spark, rows), GitConfig(max_commits=1)).collect()] == [5]
+    assert [r["seq"] for r in H.kept_commits(commits(spark, rows), GitConfig(max_commits=1)).collect()] == [6]
+
+
+def test_the_limit_takes_the_newest_commits_of_a_log(spark, tmp_path):
+    """As the log's own order: its first kept records."""
+    import os
+    import subprocess
+
+    run = lambda *a, **k: subprocess.run(["git", "-C", str(tmp_path), *a], check=True, capture_output=True, text=True, env=os.environ | {"GIT_CONFIG_GLOBAL": "/dev/null"} | k).stdout
+    run("init", "-q", "-b", "main")
+    for i in range(6):
+        (tmp_path / "a.py").write_text(f"x = {i}\n")
+        run("add", "-A")
+        when = f"2025-01-0{i + 1}T00:00:00Z"
+        run("-c", "user.name=dependabot" if i == 4 else "user.name=Ann", "-c", "user.email=a@x", "commit", "-q", "-m", f"fix: step {i}", GIT_AUTHOR_DATE=when, GIT_COMMITTER_DATE=when)
+    raw = G.commits(spark, str(tmp_path), str(tmp_path / "staging"))
+    log = [s for s in run("log", "--format=%s").splitlines() if "step 4" not in s]
+    for n in (1, 2, 3, 50):
+        assert [r["subject"] for r in H.kept_commits(raw, GitConfig(max_commits=n)).orderBy(F.desc("seq")).collect()] == log[:n]
+    sha = run("rev-parse", "HEAD").strip()
+    patch = G.file_diff(str(tmp_path), sha, "a.py")
+    assert "-x = 4" in patch and "+x = 5" in patch and G.file_diff(str(tmp_path), sha, "a.py", 2).endswith("more lines)") and G.file_diff(str(tmp_path), "0" * 40, "a.py") == ""
 
 
 def test_chunks_and_texts(spark):

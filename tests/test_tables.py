@@ -213,3 +213,100 @@ def test_engine_end_to_end(spark, repo, capsys):
 def test_rendering():
     assert FC.render_code([], "q") == 'No results found for "q"' and FC.render_history([], "q") == 'No results found for "q"'
     assert FC.render_assessment([], [], []) == "No warnings detected for these files."
+
+
+TYPESCRIPT = '''import x from "y"
+export function a(u: {x: number}): {y: string} { const r = /[{(]/; return `${u}}` }
+export default class extends X { m() { return '}' } }
+export default class Named<T extends {a: 1}> extends Y<T> implements Z { }
+class P {} class Q {}
+const f = async <T,>(x: T): Promise<T> => { return x }, g = 3
+const h = useCallback(() => { return 1 })
+export type U = | { a: 1 }
+  | { b: 2 }
+type V = Map<string, (x: number) => void>;
+interface I extends J<K> { a: string }
+function over(a: string): void;
+function over(a: any) { if (a / 2 > 1 / 3) { } }
+const {d, e} = require("x"); let k = (a, b) => a / b; function* gen() {}
+export const Card = () => <div className="a">Don't {x ? <b/> : null} it's</div>
+export const z = function () { return 1 }
+export async function last() {
+}
+// function no() {}
+/* class no {} */
+abstract class Abs { abstract x(): void; }
+enum E { A }
+'''
+
+RUBY = '''require 'a'
+module M
+  TEXT = <<~SQL
+    if x
+      class Foo
+    def bar
+  SQL
+  class A < B
+    def x?; y if z; end
+    def e = 3
+    def w
+      while a do
+        b unless c
+      end
+      v = if a then 1 else 2 end
+      x = %w[if do end]
+      "end #{if a then 1 end}"
+      foo(/end if/) do |q| q.class end
+      h = { if: 1, :end => 2, class: 3 }
+      obj.end; self.class
+      loop { begin; rescue; end }
+      case x when 1 then 2 end
+    end
+  end
+end
+def top(a, b = 3) = a + b
+def self.go(x)
+  return if x
+  [1].each do |i| puts i end
+end
+class << self
+  def q; end
+end
+class Z; end; class Y; def a; end; end
+=begin
+class No
+=end
+'''
+
+
+def test_typescript_tokens():
+    got = [(c.name, c.chunk_type, c.line_start, c.line_end, c.exported) for c in K.TypeScriptPlugin().chunks("src/a.tsx", pad(TYPESCRIPT))]
+    assert got == [
+        ("a", "function", 2, 2, True), ("Named", "class", 4, 4, True), ("P", "class", 5, 5, False), ("Q", "class", 5, 5, False), ("f", "function", 6, 6, False), ("U", "type", 8, 9, True), ("V", "type", 10, 10, False), ("I", "interface", 11, 11, False),
+        ("over", "function", 13, 13, False), ("k", "function", 14, 14, False), ("gen", "function", 14, 14, False), ("Card", "component", 15, 15, True), ("z", "function", 16, 16, True), ("last", "function", 17, 18, True), ("Abs", "class", 21, 21, False),
+    ]
+    (only,) = (c for c in K.TypeScriptPlugin().chunks("src/a.tsx", pad(TYPESCRIPT)) if c.name == "Named")
+    assert only.code.startswith("class Named") and only.code.endswith("{ }")
+
+
+def test_ruby_tokens():
+    got = [(c.name, c.chunk_type, c.line_start, c.line_end) for c in K.RubyPlugin().chunks("a.rb", pad(RUBY))]
+    assert got == [("M", "class", 2, 25), ("top", "function", 26, 26), ("go", "function", 27, 30), ("Z", "class", 34, 34), ("Y", "class", 34, 34)]
+
+
+def test_cuts_of_chunks():
+    p, big = K.TypeScriptPlugin(), "class Big {" + " x() {}\n" * 400 + "}"
+    (c,) = p.chunks("a.ts", big)
+    note = "\n// ... truncated"
+    assert K.chunk_text(p, "a.ts", big, c.code, 8000, c) == "// file: a.ts\n" + big + note  # large classes carry the note
+    (w,) = p.chunks("a.ts", "let x = 1\n" * 400)
+    assert w.whole and K.chunk_text(p, "a.ts", w.code, w.code, 10, w) == "// file: a.ts\n" + w.code
+    short = K.chunk_text(p, "a.ts", big, c.code, 100, c)
+    assert short.endswith(note) and len(short) == 400 + len(note)
+
+
+@pytest.mark.parametrize("text", ["`", "/", "'", "${", "}`", "<<~A", "%w(", "def", "class", "=begin", "const x =", "export default", "function (", "({[", ")}]", "/[/", "\\", "a\n`${`${", "module\n", "end end", "?", "%"])
+def test_scanners_take_any_text(text):
+    for content in (text, pad(text), pad(text * 30), pad("x " + text + " y\n" + text)):
+        for plugin, path in ((K.TypeScriptPlugin(), "a.ts"), (K.RubyPlugin(), "a.rb"), (K.PythonPlugin(), "a.py")):
+            assert plugin.chunks(path, content)
