@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import argparse
+import json
 import os
 import sys
+from dataclasses import asdict, replace
 
 from strataline.plans import facade as FC
-from strataline.schema import default_config_json, load_config
+from strataline.schema import EngineConfig, default_config_json, load_config
 
 CONFIG_NAME = ".strataline.json"
 
@@ -25,19 +27,30 @@ def parser() -> argparse.ArgumentParser:
             q.add_argument(f"--{f}", **({"action": "store_true"} if f in ("full", "recent", "unique-commits", "verbose") else {"type": int} if f in ("limit", "max-commits") else {}))
         return q
 
-    for name in ("index", "git-index"):
-        verb(name, "full", "recent", "verbose")
+    verb("index", "full", "recent", "provider", "model", "verbose")
+    verb("git-index", "full", "recent", "provider", "model", "max-commits", "verbose")
     verb("query", "limit", "filter", "format", text={})
     verb("git-search", "after", "before", "author", "file", "type", "decision-class", "sort", "unique-commits", "limit", "format", text={})
     verb("explain", "format", text={})
-    verb("analyze", "full")
+    verb("analyze", "full", "verbose")
     verb("assess", "files", "change-type", "query", "format")
-    verb("setup", "max-commits", "recent")
+    verb("setup", "provider", "model", "max-commits", "recent", "verbose")
     for name in ("stats", "git-stats", "init"):
         verb(name, "format")
     return p
 
 
+def configured(config: EngineConfig, a: argparse.Namespace) -> EngineConfig:
+    """The configuration with what the command line says over it."""
+    if getattr(a, "provider", None):
+        config = replace(config, embedding_provider=a.provider)
+    if getattr(a, "model", None):
+        config = replace(config, embedding_model=a.model)
+    if getattr(a, "max_commits", None) is not None:
+        config = replace(config, git=replace(config.git, max_commits=a.max_commits))
+    return config
+
+
 def repo_of(flag: str | None) -> str:
     found = flag or os.environ.get("STRATALINE_REPO") or os.getcwd()
     if not os.path.isdir(found):
@@ -56,11 +69,9 @@ def main(argv: list[str] | None = None, spark=None) -> str:
         with open(path, "w", encoding="utf-8") as f:
             f.write(default_config_json())
         return _say(f"wrote {path}")
-    config = load_config(os.path.join(repo, CONFIG_NAME))
-    if getattr(a, "max_commits", None):
-        from dataclasses import replace
-
-        config = replace(config, git=replace(config.git, max_commits=a.max_commits))
+    config = configured(load_config(os.path.join(repo, CONFIG_NAME)), a)
+    if getattr(a, "verbose", False):
+        print("Effective config:\n" + json.dumps(asdict(config) | {"embedding_api_key": None}, indent=2), file=sys.stderr)
     if spark is None:
         from pyspark.sql import SparkSession
 
@@ -105,7 +116,19 @@ def _run(e: FC.Engine, a) -> str:
     elif a.verb in ("stats", "git-stats"):
         df = e.stats() if a.verb == "stats" else e.history_stats()
         return _json(df) if as_json else "\n".join(f"{k}: {v}" for k, v in df.first().asDict().items())
-    return "done"
+    return "\n".join(["done", *(_told(e, a.verb) if getattr(a, "verbose", False) else [])])
+
+
+def _told(e: FC.Engine, verb: str) -> list[str]:
+    """What the store holds after a verb."""
+    out = []
+    if verb in ("index", "setup"):
+        out += [f"{k}: {v}" for k, v in e.stats().first().asDict().items()]
+    if verb in ("git-index", "setup"):
+        out += [f"{k}: {v}" for k, v in e.history_stats().first().asDict().items()]
+    if verb in ("analyze", "setup"):
+        out += [f"{r['type']}: {r['n']}" for r in e.signal_counts().collect()]
+    return out
 
 
 if __name__ == "__main__":

@@ -210,6 +210,84 @@ def test_engine_end_to_end(spark, repo, capsys):
     capsys.readouterr()
 
 
+def call(server, number, method, **params):
+    return server.answer({"jsonrpc": "2.0", "id": number, "method": method, "params": params})
+
+
+def test_tool_server(spark, repo):
+    import io
+
+    from strataline import mcp as M
+
+    FC.Engine(spark, str(repo)).setup()
+    server = M.Server(lambda: spark)
+    ask = lambda name, **a: json.loads(call(server, 1, "tools/call", name=name, arguments=a | {"repo": str(repo)})["result"]["content"][0]["text"])
+    assert call(server, 0, "initialize", protocolVersion="2025-03-26")["result"]["protocolVersion"] == "2025-03-26"
+    assert server.answer({"jsonrpc": "2.0", "method": "notifications/initialized"}) is None and call(server, 5, "ping")["result"] == {}
+    tools = call(server, 2, "tools/list")["result"]["tools"]
+    assert [t["name"] for t in tools] == list(M.TOOLS) and len(tools) == 5 and all(t["inputSchema"]["type"] == "object" for t in tools)
+    r = ask("strataline_assess", files=["src/login.ts"], change_type="refactor", query="login")
+    assert set(r) == {"warnings", "file_profiles", "signals", "owners"} and r["owners"][0]["author"] == "Ann"
+    r = ask("strataline_search", query="login", limit=2, filter="src/")
+    assert r["query"] == "login" and [x["file_path"] for x in r["results"]] == ["src/login.ts"]
+    r = ask("strataline_git_search", query="typo", type="fix", unique_commits=True, sort="date", after="2020-01-01T00:00:00Z", limit=1)
+    assert len(r["results"]) == 1 and r["results"][0]["commit_type"] == "fix"
+    r = ask("strataline_explain", query="login")
+    assert set(r) == {"query", "code", "file_history", "history"} and r["code"]
+    assert ask("strataline_file_profile", path="src/login.ts")["total_changes"] == 4 and "error" in ask("strataline_file_profile", path="no")
+    for method, params, code in (("tools/call", {"name": "nope"}, -32602), ("tools/call", {"name": "strataline_search", "arguments": {}}, -32602), ("tools/call", {"name": "strataline_git_search", "arguments": {"query": "x", "sort": "up"}}, -32602), ("what", {}, -32601)):
+        assert call(server, 9, method, **params)["error"]["code"] == code
+    out = io.StringIO()
+    M.serve(server, ['{"jsonrpc": "2.0", "id": 3, "method": "ping"}\n', "\n", "no json\n", "[1]\n"], out)
+    replies = [json.loads(x) for x in out.getvalue().splitlines()]
+    assert replies[0] == {"jsonrpc": "2.0", "id": 3, "result": {}} and replies[1]["error"]["code"] == -32700 and replies[2][0]["error"]["code"] == -32600
+    assert call(server, 4, "tools/call", name="strataline_search", arguments={"query": "x", "repo": str(repo / "nowhere"), "limit": 1})["result"]
+
+
+def test_tool_server_over_pipes():
+    import sys
+
+    lines = [{"jsonrpc": "2.0", "id": 1, "method": "initialize", "params": {}}, {"jsonrpc": "2.0", "method": "notifications/initialized"}, {"jsonrpc": "2.0", "id": 2, "method": "tools/list"}]
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    done = subprocess.run([sys.executable, "-m", "strataline.mcp"], input="".join(json.dumps(x) + "\n" for x in lines), capture_output=True, text=True, cwd=root, timeout=120, check=True)
+    first, second = map(json.loads, done.stdout.splitlines())
+    assert first["result"]["serverInfo"]["name"] == "strataline" and len(second["result"]["tools"]) == 5
+
+
+def test_command_line_flags(spark, repo, capsys):
+    from strataline.cli import configured, parser
+
+    c = configured(EngineConfig(), parser().parse_args(["git-index", "--provider", "openai", "--model", "m", "--max-commits", "0", "--full"]))
+    assert (c.embedding_provider, c.embedding_model, c.git.max_commits) == ("openai", "m", 0)
+    out = main(["--repo", str(repo), "git-index", "--full", "--max-commits", "2", "--verbose"], spark)
+    assert "commits: 2" in out and '"max_commits": 2' in capsys.readouterr().err
+    assert main(["--repo", str(repo), "setup", "--provider", "hashing", "--max-commits", "3", "--verbose"], spark).startswith("done\n")
+    newest = FC.Engine(spark, str(repo)).store.read("git_history").where("chunk_type = 'commit_summary'")
+    assert {r["subject"] for r in newest.collect()} == {"docs: readme", "fix: login again", "fix: login typo"}
+
+
+def test_signals_as_records_and_back(spark):
+    from strataline.schema import SIGNAL
+
+    rows = [("1", "churn_hotspot", "s", "info", 0.5, "src", ["a", "b"], NOW, NOW + DAY, "f", None, "routine", '{"file": "f", "sigma": 2.5, "dominant_decision_class": "routine"}'), ("2", "ownership", "t", "info", 0.5, ".", [], NOW, NOW, None, None, None, "{}")]
+    df = spark.createDataFrame(rows, SIGNAL)
+    back = {r["id"]: r for r in ST.records_as_signals(ST.signals_as_records(df)).collect()}
+    assert back["1"]["contributing_shas"] == ["a", "b"] and back["1"]["start"] == NOW and back["1"]["end"] == NOW + DAY and back["1"]["file"] == "f" and back["1"]["dominant_decision_class"] == "routine"
+    assert back["2"]["contributing_shas"] == [] and back["2"]["file"] is None
+
+
+def test_old_snapshots_stay_for_their_readers(spark, store):
+    make = lambda n: signals(spark, [(str(n), "ownership", "src")])
+    store.insert("signals", make(0), overwrite=True)
+    old = store.read("signals")
+    for n in (1, 2):
+        store.insert("signals", make(n), overwrite=True)
+    assert [r["id"] for r in old.collect()] == ["0"] and [r["id"] for r in store.read("signals").collect()] == ["2"]
+    for n in range(3, 7):
+        store.insert("signals", make(n), overwrite=True)
+    assert len([p for p in os.listdir(f"{store.uri}/signals") if p.startswith("snapshot")]) == ST.KEPT + 1
+
+
 def test_rendering():
     assert FC.render_code([], "q") == 'No results found for "q"' and FC.render_history([], "q") == 'No results found for "q"'
     assert FC.render_assessment([], [], []) == "No warnings detected for these files."
