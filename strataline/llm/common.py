@@ -123,6 +123,22 @@ def text_buffers(column) -> tuple[np.ndarray, np.ndarray]:
     return body[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def joined(batches, size: int):
+    """Arrow batches put together until their texts (column 'text') have ``size`` bytes: for work that is cheaper in bulk."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if total >= size:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, total = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def pieces_of(batch, size: int):
     """Slices of an Arrow batch of about ``size`` text bytes each (its column 'text'), one row at least."""
     import pyarrow.compute as pc

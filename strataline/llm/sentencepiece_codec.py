@@ -14,6 +14,7 @@ whose merges is skipped has those ids; all others go through the agenda under th
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import heapq
 import re
@@ -24,18 +25,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strataline.llm.common import kept_columns, mix64, pieces_of, prepare, quoted, text_of
+from strataline.llm.common import joined, kept_columns, mix64, pieces_of, prepare, quoted, text_of
 
 MARK = "▁"  # stands for a space in pieces: a fixed value of the format
 DROPOUT, SEED = 0.1, 20_240
 #: Words of up to so many characters are segmented together, by class; longer ones alone.
 CLASSES = (3, 6, 9, 12, 16, 24)
-TABLE, PROBES = 1 << 20, 6
+#: Slots of the table of merges, each pair of pieces having two places, and how often a pair may move another.
+TABLE, MOVES = 1 << 18, 500
 _SPREAD = 0x9E3779B97F4A7C15
 _NONE = np.int16((1 << 15) - 1)
 #: Words whose agendas a worker holds; beyond that its table starts anew.
-CACHE_WORDS = 400_000
-SLICE_BYTES = 2 << 20
+CACHE_WORDS = 1_000_000
+#: Text that is encoded at once: words of one length are segmented together, so more of them are cheaper.
+SLICE_BYTES = 4 << 20
 _WORD = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -69,24 +72,19 @@ class PieceCodec:
         self.characters: dict[str, bytes] = {}
         self._forget()
 
-        # every pair of pieces that forms a piece: open addressing over 30-bit keys, at most PROBES places away
+        # every pair of pieces that forms a piece, by the 30 bits of both
         pairs = {(self.ids[p[:k]] << 15 | self.ids[p[k:]]): i for p, i in self.ids.items() for k in range(1, len(p)) if p[:k] in self.ids and p[k:] in self.ids}
         self.unknown = n
         self.rank = np.full(n + 1, _NONE, np.int16)
         for r, i in enumerate(sorted(plain, key=lambda i: -m.get_score(i))):
             self.rank[i] = r
+        self.by_rank = np.full(int(_NONE) + 1, n, np.int16)
+        self.by_rank[self.rank[plain]] = plain
         self.letter = np.full(0x110000, self.unknown, np.int16)
         for p, i in self.ids.items():
             if len(p) == 1:
                 self.letter[ord(p)] = i
-        self.table_key, self.table_id = np.full(TABLE + PROBES, -1, np.int64), np.full(TABLE + PROBES, n, np.int16)
-        for key, i in pairs.items():
-            at = (key * _SPREAD & 0xFFFFFFFFFFFFFFFF) >> 44
-            while self.table_key[at] >= 0:
-                at += 1
-            if at - ((key * _SPREAD & 0xFFFFFFFFFFFFFFFF) >> 44) >= PROBES:
-                raise ValueError("the table of merges is too full")
-            self.table_key[at], self.table_id[at] = key, i
+        self.table_key, self.table_id = _two_place_table(pairs, n)
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}  # words in the table
@@ -103,68 +101,72 @@ class PieceCodec:
 
     def merged(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """The piece that two pieces form, or the unknown id."""
-        key = (a.astype(np.int64) << 15) | b
-        at = ((key.astype(np.uint64) * np.uint64(_SPREAD)) >> np.uint64(44)).astype(np.int64)
+        key = (a.astype(np.int32) << 15) | b
         out = np.full(key.shape, self.unknown, np.int16)
-        for k in range(PROBES):
-            hit = self.table_key[at + k] == key
-            out[hit] = self.table_id[at + k][hit]
-        out[(a >= self.unknown) | (b >= self.unknown)] = self.unknown
+        for at in _places(key):
+            hit = self.table_key[at] == key
+            out[hit] = self.table_id[at[hit]]
         return out
 
     def _segment_class(self, words: list[str], keys: np.ndarray, width: int, bar: int, trace: list | None = None) -> list[bytes]:
         """Agendas of many words at once: in each round every word merges its best candidate that is not skipped.
 
-        ``trace`` gets (words, places, pieces) of each round's merges.
+        Words lie in columns. A candidate is a number, rank times 32 plus place, so that the smallest of a column
+        is the word's best. A merge leaves its piece at the left part's place; ``after`` and ``before`` name the
+        neighbours that are left. ``trace`` gets (words, places, pieces) of each round's merges.
         """
         n = len(words)
         points = np.zeros((n, width), np.uint32)
         size = np.array([len(w) for w in words])
-        flat = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        points[np.arange(width) < size[:, None]] = flat
-        ids = self.letter[points]
-        place = np.broadcast_to(np.arange(width, dtype=np.int8), (n, width)).copy()
-        done_ids, done_place, done_size = ids.copy(), place.copy(), size.copy()
-        rows = np.arange(n)
+        points[np.arange(width) < size[:, None]] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        ids = np.ascontiguousarray(self.letter[points].T)
+        place = np.arange(width)[:, None]
+        alive = place < size
+        after = np.repeat(place + 1, n, 1)
+        before = after - 2
+        none = int(_NONE) << 5
 
         def candidates(a, b, at, key, inside):
             both = self.merged(a, b)
-            rank = self.rank[both]
+            rank = (self.rank[both].astype(np.int32) << 5) | at.astype(np.int32)
             if bar:
-                rank = np.where(skipped(key, at, both, bar), _NONE, rank)
-            return np.where(inside, rank, _NONE)
-
-        rank = candidates(ids[:, :-1], ids[:, 1:], place[:, :-1], keys[:, None], np.arange(1, width) < size[:, None])
-        columns = np.arange(width)
-        while len(rows):
-            best = rank.argmin(1)
-            open_ = rank[np.arange(len(rows)), best] < _NONE
-            if not open_.all():
-                shut = ~open_
-                done_ids[rows[shut]], done_place[rows[shut]], done_size[rows[shut]] = ids[shut], place[shut], size[shut]
-                rows, ids, place, size, rank, best = rows[open_], ids[open_], place[open_], size[open_], rank[open_], best[open_]
-                if not len(rows):
-                    break
-            line = np.arange(len(rows))
-            ids[line, best] = self.merged(ids[line, best], ids[line, best + 1])
+                inside = inside & ~skipped(key, at, both, bar)
+            return np.where(inside, rank, none)
+
+        agenda = np.full((width, n), none, np.int32)
+        agenda[:-1] = candidates(ids[:-1], ids[1:], place[:-1], keys, alive[1:])
+        flat_ids, flat_after, flat_before, flat_alive, flat_agenda = (x.reshape(-1) for x in (ids, after, before, alive, agenda))
+        rows = np.arange(n)
+        while True:
+            best = agenda[:, rows].min(0)
+            open_ = best < none
+            rows, best = rows[open_], best[open_]
+            if not len(rows):
+                break
+            at, piece = (best & 31).astype(np.int64), self.by_rank[best >> 5]
+            key, here = keys[rows], at * n + rows
+            gone = flat_after[here] * n + rows
+            right, left = flat_after[gone], flat_before[here]
+            flat_ids[here], flat_after[here] = piece, right
+            flat_alive[gone], flat_agenda[gone] = False, none
             if trace is not None:
-                trace.append((rows, place[line, best], ids[line, best]))
-            take = np.minimum(columns + (columns > best[:, None]), width - 1)
-            ids, place = np.take_along_axis(ids, take, 1), np.take_along_axis(place, take, 1)
-            size = size - 1
-            rank = np.take_along_axis(rank, np.minimum(take[:, : width - 1], width - 2), 1)
-            rank[columns[1:] >= size[:, None]] = _NONE
-            key = keys[rows]
-            for left, ok in ((best - 1, best > 0), (best, best + 1 < size)):
-                at = np.clip(left, 0, width - 2)
-                new = candidates(ids[line, at], ids[line, at + 1], place[line, at], key, ok)
-                rank[line[ok], at[ok]] = new[ok]
-        odd = ((done_ids == self.unknown) & (columns < done_size[:, None])).any(1)
-        raw, step = done_ids.astype("<u4").tobytes(), 4 * width
-        out = [raw[i * step : i * step + 4 * k] for i, k in enumerate(done_size.tolist())]
-        for i in np.flatnonzero(odd).tolist():  # characters outside the vocabulary become their bytes
-            word, got = words[i], zip(done_ids[i, : done_size[i]].tolist(), done_place[i].tolist(), strict=False)
-            out[i] = b"".join([self.packed[p] if p != self.unknown else self._character(word[at]) for p, at in got])
+                trace.append((rows, at.astype(np.int8), piece))
+            more = right < size[rows]
+            there = np.where(more, right, 0) * n + rows
+            flat_before[there[more]] = at[more]
+            flat_agenda[here] = candidates(piece, flat_ids[there], at, key, more)
+            more = np.flatnonzero(left >= 0)
+            there = left[more] * n + rows[more]
+            flat_agenda[there] = candidates(flat_ids[there], piece[more], left[more], key[more], True)
+        alive, done = alive.T, ids.T
+        raw, counts = done[alive].astype("<u4").tobytes(), alive.sum(1).tolist()
+        out, start = [], 0
+        for k in counts:
+            out.append(raw[start : start + 4 * k])
+            start += 4 * k
+        for i in np.flatnonzero(((done == self.unknown) & alive).any(1)).tolist():  # characters outside the vocabulary become their bytes
+            word, left = words[i], np.flatnonzero(alive[i])
+            out[i] = b"".join([self.packed[p] if p != self.unknown else self._character(word[at]) for p, at in zip(done[i, left].tolist(), left.tolist(), strict=True)])
         return out
 
     def _segment_long(self, word: str, key: int, bar: int) -> bytes:
@@ -256,14 +258,16 @@ class PieceCodec:
                 found = _WORD.findall((MARK if k == 0 else "") + chunk.replace(" ", MARK))
                 words += found
                 plan[-1].append(len(found))
-        new = dict.fromkeys(w for w in words if w not in self.number)
-        if len(self.clean) + len(new) > CACHE_WORDS:
-            self._forget()
-            new = dict.fromkeys(words)
-        if new:
+        found = list(map(self.number.get, words))
+        if None in found:
+            new = dict.fromkeys(w for w, k in zip(words, found, strict=True) if k is None)
+            if len(self.clean) + len(new) > CACHE_WORDS:
+                self._forget()
+                new = dict.fromkeys(words)
             self._learn(list(new))
-        number = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        out = list(map(self.clean.__getitem__, number.tolist()))
+            found = list(map(self.number.__getitem__, words))
+        number = np.array(found, np.int64)
+        out = list(map(self.clean.__getitem__, found))
         bar = int(rate * (1 << 32))
         sizes = np.array([sum(p) for p in plan], np.int64)
         if bar:
@@ -296,6 +300,39 @@ class PieceCodec:
         return (data[1:] if data[:1] == b" " else data).decode("utf-8", "replace")
 
 
+def _places(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two places of pairs of pieces in a table."""
+    x = key.astype(np.uint32)
+    return (x * np.uint32(0x9E3779B1)) >> np.uint32(14), ((x ^ (x >> np.uint32(13))) * np.uint32(0x85EBCA6B)) >> np.uint32(14)
+
+
+def _two_place_table(pairs: dict[int, int], unknown: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys and pieces by slot; a pair lies in one of its two places, having moved others to theirs if need be."""
+    keys = np.fromiter(pairs, np.int64, len(pairs))
+    one, two = (dict(zip(pairs, p.tolist(), strict=True)) for p in _places(keys))
+    slot: dict[int, int] = {}
+    for key in pairs:
+        at = one[key]
+        for _ in range(MOVES):
+            if at not in slot:
+                slot[at] = key
+                break
+            key, slot[at] = slot[at], key
+            at = two[key] if at == one[key] else one[key]
+        else:
+            raise ValueError("the table of merges is too full")
+    table_key, table_id = np.full(TABLE, -1, np.int32), np.full(TABLE, unknown, np.int16)
+    for at, key in slot.items():
+        table_key[at], table_id[at] = key, pairs[key]
+    return table_key, table_id
+
+
+@functools.lru_cache(maxsize=2)
+def codec_of(path: str) -> PieceCodec:
+    """The codec of a model file, built once in each worker."""
+    return PieceCodec(path)
+
+
 def _packed(ids) -> bytes:
     return np.fromiter(ids, "<u4").tobytes()
 
@@ -331,8 +368,8 @@ def encode_documents(docs: DataFrame, model: str | None = None, rate: float = DR
     def work(batches, flat):
         import pyarrow as pa
 
-        codec = PieceCodec(path)
-        for batch in batches:
+        codec = codec_of(path)
+        for batch in joined(batches, SLICE_BYTES):
             for part in pieces_of(batch, SLICE_BYTES):
                 ids = [np.frombuffer(x, "<i4") for x in codec.encode_batch(part.column("text").to_pylist(), rate, seed, part.column("key").to_pylist())]
                 yield pa.RecordBatch.from_arrays([*(part.column(f) for f in flat), pa.array(ids, pa.list_(pa.int32()))], [*flat, "ids"])
@@ -348,7 +385,7 @@ def decode_documents(rows: DataFrame, model: str | None = None, ids_col: str = "
     def work(batches, flat):
         import pyarrow as pa
 
-        codec = PieceCodec(path)
+        codec = codec_of(path)
         for batch in batches:
             out = [codec.decode(x) if x else "" for x in batch.column("key").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(f) for f in flat), pa.array(out, pa.string())], [*flat, "decoded"])
@@ -367,8 +404,8 @@ def round_trip(docs: DataFrame, model: str | None = None, rate: float = DROPOUT,
     def work(batches):
         import pyarrow as pa
 
-        codec = PieceCodec(path)
-        for batch in batches:
+        codec = codec_of(path)
+        for batch in joined(batches, SLICE_BYTES):
             for part in pieces_of(batch, SLICE_BYTES):
                 out = [[], [], [], []]
                 texts, docs_ = part.column("text").to_pylist(), [d or 0 for d in part.column("id").to_pylist()]
