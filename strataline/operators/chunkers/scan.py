@@ -71,7 +71,8 @@ def typescript_code(text: str) -> str:
             end = found.end() if found else i + 1
             last, word = '"', ""
         elif c == "`":
-            i = template(i + 1) if not out.append(" ") else i
+            out.append('"')
+            i = template(i + 1)
             last, word = '"', ""
             continue
         elif c == "/" and (last in _BEFORE_REGEX or word in _WORDS_BEFORE_REGEX) and (found := re.compile(r"/(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[a-z]*").match(text, i)):
@@ -90,7 +91,8 @@ def typescript_code(text: str) -> str:
             out.append(c)
             i += 1
             continue
-        out.append(_blank(text[i:end]))
+        # a quote mark stays where text was, so that it still ends a value
+        out.append(_blank(text[i:end]) if text.startswith(("//", "/*"), i) else '"' + _blank(text[i + 1 : end]))
         i = end
     return "".join(out)[:n]
 

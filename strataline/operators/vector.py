@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,3 +59,50 @@ def lateral_top_k(hits: DataFrame, history: DataFrame, query, k: int = 3) -> Dat
     rows = scored(history, query).join(F.broadcast(side), "file_path")
     order = Window.partitionBy("hit_id").orderBy(F.desc("score"), "id")
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+#: Queries that are compared with all rows at once; their vectors are broadcast.
+QUERY_BLOCK = 4096
+
+
+def top_k_many(rows: DataFrame, queries: DataFrame, k: int, id_col: str = "id", vector_col: str = "vector") -> DataFrame:
+    """(query, rank, id, score): the k best of ``rows`` by cosine for every one of ``queries`` (id and vector each).
+
+    Queries go in blocks of about QUERY_BLOCK, dealt by a hash; a block's vectors are broadcast, and every batch of
+    rows is compared with them by one matrix product that keeps k rows a query. So a block costs one scan of
+    the vectors and a shuffle of k rows a task and query; nothing else grows with the product of both sides. Of
+    equal scores the smaller id wins. Rows and queries of zero or null vectors have no score.
+    """
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    parts = queries.select(F.col(id_col).alias("id"), F.col(vector_col).alias("vector")).where("vector IS NOT NULL")
+    parts = parts.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(blocks)))
+    side = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector")).where("id IS NOT NULL AND vector IS NOT NULL")
+    found = [_best_of_block(side, parts.where(F.col("part") == b), k) for b in range(blocks)]
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
+    return reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def _best_of_block(rows: DataFrame, block: DataFrame, k: int) -> DataFrame:
+    got = block.select("id", "vector").toPandas()  # at most about QUERY_BLOCK rows
+    names = got["id"].to_numpy()
+    matrix = np.stack([np.asarray(v, float) for v in got["vector"]]) if len(got) else np.zeros((0, 1))
+    size = np.linalg.norm(matrix, axis=1)
+    shared = rows.sparkSession.sparkContext.broadcast((names[size > 0], matrix[size > 0] / size[size > 0, None]))
+
+    def run(batches):
+        import pyarrow as pa
+
+        ids, unit = shared.value
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            column = batch.column("vector")
+            given = np.asarray(column.flatten(), float).reshape(batch.num_rows, -1)
+            norm = np.linalg.norm(given, axis=1)
+            mine = batch.column("id").to_numpy()[norm > 0]
+            order = np.argsort(mine, kind="stable")
+            score = unit @ (given[norm > 0][order] / norm[norm > 0][order, None]).T
+            best = np.argsort(-score, axis=1, kind="stable")[:, :k]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, best.shape[1])), pa.array(mine[order][best].ravel()), pa.array(np.take_along_axis(score, best, 1).ravel())], ["query", "id", "score"])
+
+    return rows.mapInArrow(run, "query long, id long, score double")

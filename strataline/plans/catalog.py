@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from strataline.operators import profiles as P
 from strataline.operators import warnings as W
 from strataline.operators.signals import adoption, breaking, churn, fix_chain, ownership, revert, stability
 from strataline.operators.signals import pipeline as S
+from strataline.schema import GitConfig, SignalsConfig
 from strataline.sources import fixtures as X
 from strataline.sources.scratch import materialized
 
@@ -145,18 +148,18 @@ def signal_churn_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return churn.churn_hotspots(*_history(spark, sf_dir)).groupBy("trend").agg(F.count("*").alias("n"), F.sum("recent_30d").alias("recent"), F.sum("previous_30d").alias("previous"))
 
 
-def _owner_sql(key: str, least: int, ident: str, scope: str) -> str:
-    return f"""{CLASSES_SQL},
-own_counts AS (SELECT {key} AS key, author, count(*) AS commits, max(ts) AS last_change, min(seq) AS first_seq FROM diffs GROUP BY ALL),
-own_ranked AS (SELECT *, sum(commits) OVER w AS total, count(*) OVER w AS contributor_count, row_number() OVER (PARTITION BY key ORDER BY commits DESC, first_seq) AS rn,
-               last_value(last_change) OVER (PARTITION BY key ORDER BY commits DESC, first_seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS s FROM own_counts WINDOW w AS (PARTITION BY key)),
-own AS (SELECT *, floor(commits * 100.0::DOUBLE / total + 0.5)::INT AS percentage FROM own_ranked WHERE rn = 1 AND total >= {least}),
-own_dom AS (SELECT key, count(*) AS shas, {COUNTS} FROM (SELECT DISTINCT {key} AS key, sha FROM diffs JOIN own ON own.key = {key} AND own.author = diffs.author) JOIN classes USING (sha) GROUP BY key),
-owned AS (SELECT left(sha256('ownership' || {ident} || ':' || author), 16) AS id, 'info' AS severity, round(least(0.95, 0.5 + percentage / 200), 4)::DOUBLE AS confidence, {scope} AS directory_scope, least(shas, 10) AS n_shas, s, last_change AS e,
-          {DOMINANT} AS dominant_decision_class, author AS primary_author, percentage::BIGINT AS percentage, total::BIGINT AS total_commits, contributor_count FROM own JOIN own_dom USING (key) WHERE percentage >= 30)"""
+def _owner_sql(key: str, least: int, ident: str, scope: str, name: str = "own", percent: int = 30, classes: str = CLASSES_SQL + ",") -> str:
+    return f"""{classes}
+{name}_counts AS (SELECT {key} AS key, author, count(*) AS commits, max(ts) AS last_change, min(seq) AS first_seq FROM diffs GROUP BY ALL),
+{name}_ranked AS (SELECT *, sum(commits) OVER w AS total, count(*) OVER w AS contributor_count, row_number() OVER (PARTITION BY key ORDER BY commits DESC, first_seq) AS rn,
+               last_value(last_change) OVER (PARTITION BY key ORDER BY commits DESC, first_seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS s FROM {name}_counts WINDOW w AS (PARTITION BY key)),
+{name} AS (SELECT *, floor(commits * 100.0::DOUBLE / total + 0.5)::INT AS percentage FROM {name}_ranked WHERE rn = 1 AND total >= {least}),
+{name}_dom AS (SELECT key, count(*) AS shas, {COUNTS} FROM (SELECT DISTINCT {key} AS key, sha FROM diffs JOIN {name} ON {name}.key = {key} AND {name}.author = diffs.author) JOIN classes USING (sha) GROUP BY key),
+{name}ed AS (SELECT left(sha256('ownership' || {ident} || ':' || author), 16) AS id, 'info' AS severity, round(least(0.95, 0.5 + percentage / 200), 4)::DOUBLE AS confidence, {scope} AS directory_scope, least(shas, 10) AS n_shas, s, last_change AS e,
+          {DOMINANT} AS dominant_decision_class, author AS primary_author, percentage::BIGINT AS percentage, total::BIGINT AS total_commits, contributor_count, key FROM {name} JOIN {name}_dom USING (key) WHERE percentage >= {percent})"""
 
 
-OWNED = f"SELECT * EXCLUDE (s, e), {ISO.format('s')} AS start_at, {ISO.format('e')} AS end_at FROM owned"
+OWNED = f"SELECT * EXCLUDE (s, e, key), {ISO.format('s')} AS start_at, {ISO.format('e')} AS end_at FROM owned"
 OWN_FIELDS = dict(primary_author="string", percentage="long", total_commits="long", contributor_count="long")
 
 
@@ -170,6 +173,13 @@ def signal_ownership_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(ownership.detect_directories(*_history(spark, sf_dir)), **OWN_FIELDS)
 
 
+@query(with_base(_owner_sql("dir", 5, "key || '/'", "key", percent=20), OWNED))
+def signal_ownership_dir_fifth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Directories with an author of a fifth of the changes at least: the supplied authors share directories evenly."""
+    rows, as_of = _history(spark, sf_dir)
+    return flat(ownership.detect_directories(rows, as_of, SignalsConfig(ownership_min_percent=20)), **OWN_FIELDS)
+
+
 @query(with_base(_owner_sql("file_path", 3, "key", "key"), "SELECT key, rn::INT AS rank, author, floor(commits * 100.0::DOUBLE / total + 0.5)::INT AS percentage, commits FROM own_ranked WHERE rn <= 5"))
 def ownership_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = ownership.author_counts(H.file_diffs(X.history(spark, sf_dir)), F.col("file_path"))
@@ -312,6 +322,95 @@ def signals_by_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signals_in_directory(_signals(spark, sf_dir, "churn", "revert")[0], "src/brand_1/economy").select("id", "type")
 
 
+# --- all detectors ----------------------------------------------------------------------------------
+
+EVERY_SQL = ",".join([
+    CHURN_SQL, *BARE, _owner_sql("file_path", 3, "key", "regexp_replace(key, '/[^/]*$', '')", "ofile", classes=""), _owner_sql("dir", 5, "key || '/'", "key", "odir", 20, classes=""), ADOPTION_SQL,
+    f"""bk AS (SELECT left(sha256('breaking_change' || lead), 16) AS id, dir AS directory_scope, s, e, {DOMINANT} AS dominant_decision_class, lead, authors, n, files FROM bk_hit JOIN bk_files USING (lead) JOIN bk_dom USING (lead)),
+adopted AS (SELECT left(sha256('adoption_cycle' || dep), 16) AS id, *, ceil(t / 2)::BIGINT AS cycles, CASE last WHEN 'add' THEN 'active' ELSE 'removed' END AS status FROM ad WHERE n >= 2 AND t >= 2),
+rv_all AS (SELECT rv.*, r.subject AS rsubject, o.subject AS osubject, o.files_changed AS ofiles, r.decision_class AS rcls, o.decision_class AS ocls FROM rv JOIN summaries r ON r.sha = revert_sha LEFT JOIN summaries o ON o.sha = original_sha),
+every AS (
+  SELECT id, 'churn_hotspot' AS type, severity, directory_scope, e, dominant_decision_class, 'Churn hotspot: ' || file || ' changed ' || count || ' times (' || printf('%.1f', (count - m.mean) / m.sd) || 'σ above mean of ' || floor(m.mean + 0.5)::BIGINT || '). Trend: ' || trend || '.' AS summary FROM churn, churn_stat m
+  UNION ALL SELECT id, 'ownership', severity, directory_scope, e, dominant_decision_class, primary_author || ' owns ' || key || ' (' || percentage || '% of ' || total_commits || ' changes, last active ' || strftime(e, '%Y-%m-%d') || ').' FROM ofileed
+  UNION ALL SELECT id, 'ownership', severity, directory_scope, e, dominant_decision_class, primary_author || ' owns ' || key || '/ (' || percentage || '% of ' || total_commits || ' changes across directory).' FROM odired
+  UNION ALL SELECT id, 'fix_chain', severity, directory_scope, e, dominant_decision_class, 'Feature "' || subject || '" (' || left(feature_sha, 7) || ') required ' || fix_count || ' follow-up fix' || CASE WHEN fix_count <> 1 THEN 'es' ELSE '' END || ' over ' || day_span || ' day' || CASE WHEN day_span <> 1 THEN 's' ELSE '' END || ', affecting ' || files || ' files.' FROM fx JOIN (SELECT sha AS feature_sha, subject FROM summaries) USING (feature_sha)
+  UNION ALL SELECT id, 'revert_pair', 'caution', directory_scope, e, CASE WHEN coalesce((rcls = 'decision')::INT, 0) + coalesce((ocls = 'decision')::INT, 0) >= greatest((rcls = 'routine')::INT + coalesce((ocls = 'routine')::INT, 0), (rcls = 'unknown')::INT + coalesce((ocls = 'unknown')::INT, 0)) THEN 'decision'
+      WHEN (rcls = 'routine')::INT + coalesce((ocls = 'routine')::INT, 0) >= (rcls = 'unknown')::INT + coalesce((ocls = 'unknown')::INT, 0) THEN 'routine' ELSE 'unknown' END,
+      CASE WHEN original_sha IS NOT NULL THEN 'Revert detected: "' || osubject || '" (' || left(original_sha, 7) || ') was reverted by ' || left(revert_sha, 7) || ' after ' || time_to_revert_days || ' days. ' || ofiles || ' files affected.' ELSE 'Revert detected: ' || rsubject || ' (' || left(revert_sha, 7) || '). Original commit not found in indexed history.' END FROM rv_all
+  UNION ALL SELECT id, 'breaking_change', 'warning', directory_scope, e, dominant_decision_class, '"' || subject || '" (' || left(lead, 7) || ') triggered fixes from ' || authors || ' different authors within 48 hours. Blast radius: ' || files || ' files.' FROM bk JOIN (SELECT sha AS lead, subject FROM summaries) USING (lead)
+  UNION ALL SELECT id, 'stability_shift', severity, directory_scope, e, dominant_decision_class, directory_scope || ' has ' || shift || ': went from ' || previous_30d || ' changes/month to ' || recent_30d || ' changes/month (' || CASE shift WHEN 'destabilized' THEN 'increasing' ELSE 'decreasing' END || ' activity).' FROM st
+  UNION ALL SELECT id, 'adoption_cycle', CASE WHEN cycles >= 3 THEN 'warning' ELSE 'caution' END, '.', e, 'unknown', dep || ' has gone through ' || cycles || ' adoption cycle' || CASE WHEN cycles > 1 THEN 's' ELSE '' END || '. Currently: ' || status || '. First seen: ' || strftime(s, '%Y-%m-%d') || '.' FROM adopted)""",
+])
+#: Authors of a fifth of a directory's changes own it: the supplied ones share directories evenly.
+SHARED = SignalsConfig(ownership_min_percent=20)
+
+
+def _every(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Column]:
+    """The signals of all seven detectors: dependency cycles come from the dependency diffs, all others from the history."""
+    rows, as_of = _history(spark, sf_dir)
+    deps = X.dependency_history(spark, sf_dir)
+    found = S.detect(rows, as_of, names=[n for n in S.DETECTORS if n not in ("ownership", "adoption")])
+    found = found.unionByName(ownership.detect_files(rows, as_of)).unionByName(ownership.detect_directories(rows, as_of, SHARED)).unionByName(S.detect(deps, as_of, names=["adoption"]))
+    return materialized(found, "every-signal"), rows, as_of
+
+
+@query(with_base(EVERY_SQL, f"SELECT id, type, severity, directory_scope, dominant_decision_class, {ISO.format('e')} AS end_at, summary FROM every"))
+def signals_of_all_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _every(spark, sf_dir)[0].select("id", "type", "severity", "directory_scope", "dominant_decision_class", C.iso(F.col("end")).alias("end_at"), "summary")
+
+
+@query(with_base(EVERY_SQL, "SELECT type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, type) AS place FROM every GROUP BY type"))
+def signal_types_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.sources.store import signal_type_counts
+
+    return _placed(signal_type_counts(_every(spark, sf_dir)[0]), F.desc("n"), "type")  # one row a type
+
+
+def _placed(ordered: DataFrame, *by) -> DataFrame:
+    """A short ordered result with each row's place in it."""
+    from pyspark.sql import Window
+
+    return ordered.withColumn("place", F.row_number().over(Window.orderBy(*by)).cast("long"))
+
+
+@query(with_base(CHURN_SQL, "SELECT file, sigma, row_number() OVER (ORDER BY sigma DESC, file) AS place FROM churn QUALIFY place <= 50"))
+def churn_by_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report of the 50 files that deviate most."""
+    top = churn.by_sigma(churn.detect(*_history(spark, sf_dir))).limit(50).select("file", meta("sigma", "double"))
+    return _placed(top, F.desc("sigma"), "file")
+
+
+@query(with_base(EVERY_SQL, "SELECT id, round(pow(0.5::DOUBLE, date_diff('second', e, as_of) / 86400.0::DOUBLE / CASE WHEN type IN ('revert_pair', 'breaking_change') THEN 180 ELSE 90 END) * CASE dominant_decision_class WHEN 'decision' THEN 1.5 WHEN 'routine' THEN 0.5 ELSE 1.0 END::DOUBLE, 6) AS relevance FROM every, clock"))
+def signal_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, _, as_of = _every(spark, sf_dir)
+    return found.select("id", F.round(W.relevance(as_of), 6).alias("relevance"))
+
+
+@query(with_base(EVERY_SQL, "SELECT id, type FROM every WHERE type IN ('breaking_change', 'adoption_cycle')"))
+def signals_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.sources.store import signals_of_type
+
+    found = _every(spark, sf_dir)[0]
+    return signals_of_type(found, "breaking_change").unionByName(signals_of_type(found, "adoption_cycle")).select("id", "type")
+
+
+@query(with_base(EVERY_SQL, "SELECT id, type FROM every WHERE type <> 'ownership' UNION ALL SELECT id, 'ownership' FROM ofileed UNION ALL SELECT id, 'ownership' FROM odired WHERE percentage >= 30"))
+def signals_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The incremental detectors over a table of all signals: their types are replaced, directories of a fifth go."""
+    from strataline.sources.store import replaced_types
+
+    found, rows, as_of = _every(spark, sf_dir)
+    stale = found.withColumn("id", F.when(F.col("type").isin(*S.INCREMENTAL_TYPES), F.concat(F.lit("old"), "id")).otherwise(F.col("id")))
+    return replaced_types(stale, S.detect(rows, as_of, names=S.INCREMENTAL), list(S.INCREMENTAL_TYPES)).select("id", "type")
+
+
+@query(with_base(EVERY_SQL, "SELECT DISTINCT file_path FROM diffs, clock WHERE ts >= as_of - INTERVAL 30 DAY").replace(EVERY_SQL, CLASSES_SQL))
+def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.sources.gitlog import recent_paths
+
+    return recent_paths(*_history(spark, sf_dir))
+
+
 # --- profiles, warnings, assessment ---------------------------------------------------------------
 
 PROFILE_SQL = f"""{CLASSES_SQL},{BARE[0]},{BARE[1]},
@@ -416,11 +515,47 @@ def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owners_of(profiles_for(_profiles(spark, sf_dir), _asked(spark))).select("author", "path", F.col("percentage").cast("long"))
 
 
+PROFILE_OF_EVERY = f"{EVERY_SQL}," + PROFILE_SQL[PROFILE_SQL.index("pf_counts AS"):].replace("(SELECT id, directory_scope FROM rv UNION ALL SELECT id, directory_scope FROM fx)", "every")
+
+
+@query(with_base(PROFILE_OF_EVERY, PROFILE_ROWS))
+def file_profiles_of_all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, rows, _ = _every(spark, sf_dir)
+    return _flat_profiles(P.file_profiles(rows, found))
+
+
+_HIT = f"directory_scope IN ({', '.join(repr(p.rpartition('/')[0]) for p in ASKED)}, '.')"
+_PLURAL = "CASE WHEN {} <> 1 THEN '{}' ELSE '' END"
+WARNED_SQL = f""",
+near AS (SELECT every.*, pow(0.5::DOUBLE, date_diff('second', e, as_of) / 86400.0::DOUBLE / CASE WHEN type IN ('revert_pair', 'breaking_change') THEN 180 ELSE 90 END) * CASE dominant_decision_class WHEN 'decision' THEN 1.5 WHEN 'routine' THEN 0.5 ELSE 1.0 END::DOUBLE AS relevance FROM every, clock WHERE {_HIT}),
+live AS (SELECT * FROM near WHERE relevance >= 0.1),
+asked AS (SELECT * FROM profile {ASSESSED}),
+warned AS (
+  SELECT 'warning' AS severity, 'stability' AS category, '1:' || path AS emission, path || ' has a stability score of ' || stability_score || '/100. Changed ' || total_changes || ' times with ' || revert_count || ' revert' || {_PLURAL.format('revert_count', 's')} || '.' AS message FROM asked WHERE stability_score < 30
+  UNION ALL SELECT 'caution', 'stability', '1:' || path, 'Refactoring a volatile area: ' || path || ' (stability ' || stability_score || '/100). Consider smaller incremental changes.' FROM asked WHERE stability_score >= 30 AND stability_score < 50
+  UNION ALL SELECT 'info', 'ownership', '2:' || path, CASE WHEN owner IS NOT NULL THEN owner || ' owns ' || path || ' (' || owner_percentage || '% of changes, ' || owner_commits || ' commits). Last active: ' || strftime(last_change, '%Y-%m-%d') || '.' ELSE 'No clear owner for ' || path || '. ' || contributor_count || ' contributors.' END FROM asked
+  UNION ALL SELECT 'caution', 'pattern', '3:' || strftime(e, '%Y%m%d%H%M%S') || ':' || id, 'A previous change to this area was reverted (' || coalesce(left(original_sha, 7), 'unknown') || ', ' || coalesce(time_to_revert_days || ' days after landing', 'timing unknown') || '). ' || coalesce(osubject, '') FROM live JOIN (SELECT id, original_sha, time_to_revert_days, osubject FROM rv_all) USING (id)
+  UNION ALL SELECT live.severity, 'pattern', '3:' || strftime(live.e, '%Y%m%d%H%M%S') || ':' || id, 'Feature "' || subject || '" (' || left(feature_sha, 7) || ') required ' || fix_count || ' follow-up fix' || {_PLURAL.format('fix_count', 'es')} || ' over ' || day_span || ' day' || {_PLURAL.format('day_span', 's')} || '.' FROM live JOIN fx USING (id) JOIN summaries ON sha = feature_sha
+  UNION ALL SELECT 'info', 'churn', '3:' || strftime(live.e, '%Y%m%d%H%M%S') || ':' || id, file || ' is a churn hotspot (' || count || ' changes, ' || sigma || 'σ above repo mean). Trend: ' || trend || '.' FROM live JOIN churn USING (id)
+  UNION ALL SELECT 'warning', 'breaking', '3:' || strftime(live.e, '%Y%m%d%H%M%S') || ':' || id, 'A previous change here (' || left(lead, 7) || ') caused fixes from ' || authors || ' different authors within 48 hours. Blast radius: ' || files || ' files.' FROM live JOIN bk USING (id)
+  UNION ALL SELECT 'warning', 'pattern', '3:' || strftime(live.e, '%Y%m%d%H%M%S') || ':' || id, dep || ' has gone through ' || cycles || ' adoption cycles. Current status: ' || status || '.' FROM live JOIN adopted USING (id))"""
+
+
+@query(with_base(PROFILE_OF_EVERY + WARNED_SQL, "SELECT severity, category, message, row_number() OVER (ORDER BY CASE severity WHEN 'warning' THEN 0 WHEN 'caution' THEN 1 ELSE 2 END, emission, message) AS place FROM warned"))
+def assess_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All five signal rules and three profile rules for two files before a refactoring, in reading order."""
+    from strataline.plans.assess import assess as run
+
+    found, rows, as_of = _every(spark, sf_dir)
+    told = run(P.file_profiles(rows, found), found, _asked(spark), as_of, "refactor").warnings
+    return _placed(told, "rank", "emission", "message").select("severity", "category", "message", "place")
+
+
 # --- vectors --------------------------------------------------------------------------------------
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[float]]:
-    rows = X.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("sha"), F.concat(F.lit("file_"), F.col("label").cast("string")).alias("file_path"), F.timestamp_seconds(F.col("vec_id")).alias("ts"), F.lit("file_diff").alias("chunk_type"), F.col("embedding").alias("vector"))
+    rows = X.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").cast("string").alias("sha"), F.concat(F.lit("file_"), F.col("label").cast("string")).alias("file_path"), F.timestamp_seconds(F.col("vec_id")).alias("ts"), F.lit("file_diff").alias("chunk_type"), F.concat(F.lit("author_"), F.col("vec_id") % 3).alias("author"), F.element_at(F.array(*map(F.lit, ("feat", "fix", "docs"))), (F.col("vec_id") % 3 + 1).cast("int")).alias("commit_type"), F.element_at(F.array(*map(F.lit, ("decision", "routine"))), (F.col("vec_id") % 2 + 1).cast("int")).alias("decision_class"), F.col("embedding").alias("vector"))
     first = rows.where("id = 0").select("vector").first()
     return rows, [float(x) for x in first[0]] if first else [1.0]
 
@@ -470,6 +605,52 @@ def explain_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
     return explain(rows, rows, q, q)[1].select("hit_id", F.col("rank").cast("long"), "id", F.round("score", 6).alias("score"))
 
 
+FILTERS = {
+    "after": ("1970-01-01T00:03:20Z", "id > 200"), "before": ("1970-01-01T00:03:20Z", "id < 200"), "author": ("author_1", "id % 3 = 1"), "file": ("file_2", "label = 2"), "commit_type": ("fix", "id % 3 = 1"), "decision_class": ("routine", "id % 2 = 1"),
+}
+
+
+@query(COSINE_SQL + " SELECT * FROM (" + " UNION ALL ".join(f"(SELECT '{k}' AS filter, id, round(score, 6) AS score FROM s WHERE {sql} ORDER BY s.score DESC, id LIMIT 5)" for k, (_, sql) in FILTERS.items()) + f" UNION ALL (SELECT 'all', id, round(score, 6) FROM s WHERE {' AND '.join(sql for k, (_, sql) in FILTERS.items() if k not in ('before', 'file'))} ORDER BY s.score DESC, id LIMIT 5))")
+def history_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every filter of the history search alone, and several at once."""
+    from functools import reduce
+
+    from strataline.operators import vector as V
+
+    rows, q = _vectors(spark, sf_dir)
+    every = {k: value for k, (value, _) in FILTERS.items() if k not in ("before", "file")}
+    found = [V.search_history(rows, q, 5, V.history_filter(**given)).select(F.lit(name).alias("filter"), "id", F.round("score", 6).alias("score")) for name, given in [*((k, {k: value}) for k, (value, _) in FILTERS.items()), ("all", every)]]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query(f"{COSINE_SQL} SELECT id, round(score, 6) AS score FROM s WHERE starts_with('file_' || label, 'file_1') ORDER BY s.score DESC, id LIMIT 5")
+def code_search_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.operators import vector as V
+
+    rows, q = _vectors(spark, sf_dir)
+    return V.search_code(rows, q, 5, "file_1").select("id", F.round("score", 6).alias("score"))
+
+
+@query(f"{COSINE_SQL} SELECT id, round(score, 6) AS score FROM s WHERE label = 4 ORDER BY s.score DESC, id LIMIT 10")
+def file_history_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.plans.assess import file_history
+
+    rows, q = _vectors(spark, sf_dir)
+    return file_history(rows, "file_4", q, 10).select("id", F.round("score", 6).alias("score"))
+
+
+@query("""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings)
+SELECT q.vec_id AS query, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_cosine_similarity(v.e, q.e) DESC, v.vec_id) AS rank, round(list_cosine_similarity(v.e, q.e), 5) AS score
+FROM v q JOIN v ON q.vec_id % 100 = 0 QUALIFY rank <= 10""")
+def vector_topk_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all rows for every row whose id is divisible by 100, in blocks of queries."""
+    from strataline.operators import vector as V
+
+    rows = X.read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return V.top_k_many(rows, rows.where("id % 100 = 0"), 10).select("query", "id", F.col("rank").cast("long"), F.round("score", 5).alias("score"))
+
+
 # --- table mutation -------------------------------------------------------------------------------
 
 
@@ -528,6 +709,104 @@ def signals_replace_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replaced_types(old, found.where("type = 'churn_hotspot'"), ["churn_hotspot", "ownership"]).select("id", "type")
 
 
+@query(with_base("", """
+SELECT chunk_type, count(*) AS n, count(DISTINCT sha) AS commits FROM (
+  SELECT 'commit_summary' AS chunk_type, sha, '' AS file_path FROM summaries UNION ALL SELECT 'file_diff', sha, file_path FROM diffs)
+WHERE sha <> (SELECT min(sha) FROM summaries) AND file_path <> (SELECT min(file_path) FROM diffs) GROUP BY chunk_type"""))
+def store_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored history: half inserted, all appended (known ids stay out), one commit and one file deleted."""
+    from strataline.sources.scratch import shared_folder
+    from strataline.sources.store import Store
+
+    rows = X.history(spark, sf_dir).withColumn("id", C.short_id(F.col("sha"), F.col("chunk_type"), F.col("file_path")))
+    store = Store(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}")
+    half = (rows.agg(F.max("seq")).first()[0] or 0) // 2
+    store.insert("git_history", rows.where(F.col("seq") <= half), overwrite=True)
+    store.append_new("git_history", rows)
+    named = rows.agg(F.min("sha").alias("sha"), F.min(F.when(F.col("file_path") != "", F.col("file_path"))).alias("path")).first()
+    store.delete_by_sha(named["sha"])
+    store.delete_by_file_path(named["path"], "git_history")
+    return store.read("git_history").groupBy("chunk_type").agg(F.count("*").alias("n"), F.count_distinct("sha").alias("commits"))
+
+
+@query(with_base(NAMED_RAW, "SELECT chunk_type, count(*) AS n, count(DISTINCT id) AS ids FROM (SELECT 'commit_summary' AS chunk_type, sha AS id FROM raw WHERE NOT merge AND seq % 89 <> 0 UNION ALL SELECT 'file_diff', sha || file_path FROM raw JOIN changes USING (sha) WHERE NOT merge AND seq % 89 <> 0) GROUP BY chunk_type"))
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All commits through the stream, twice: what a replay brings again stays out."""
+    from strataline.sources.scratch import shared_folder
+    from strataline.sources.store import Store
+    from strataline.streaming.ingest import commit_stream, ingest_stream
+
+    root = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    X.raw_commits(spark, sf_dir).write.json(f"{root}/in")
+    store = Store(spark, f"{root}/store")
+    for k in range(2):
+        ingest_stream(commit_stream(spark, f"{root}/in"), store, f"{root}/check{k}").awaitTermination()
+    return store.read("git_history").groupBy("chunk_type").agg(F.count("*").alias("n"), F.count_distinct("id").alias("ids"))
+
+
+@query(with_base(NAMED_RAW, "SELECT sha FROM raw WHERE NOT merge AND seq % 89 <> 0 ORDER BY seq DESC LIMIT 100"))
+def newest_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The limit of the history: the newest commits that are not skipped."""
+    return H.kept_commits(X.raw_commits(spark, sf_dir), GitConfig(max_commits=100)).select("sha")
+
+
+# --- log and paths --------------------------------------------------------------------------------
+
+
+@query(with_base("", """
+SELECT sha, author, email, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS date, subject, body, 'p1 p2' AS parents, 'HEAD -> main, tag: v1' AS refs, files_changed::BIGINT AS n_files,
+       coalesce((SELECT sum(additions) FROM changes c WHERE c.sha = s.sha AND deletions < 2), 0)::BIGINT AS additions, coalesce((SELECT sum(deletions) FROM changes c WHERE c.sha = s.sha AND deletions < 2), 0)::BIGINT AS deletions,
+       coalesce((SELECT count(*) FROM changes c WHERE c.sha = s.sha AND additions > 30), 0) AS truncated, files_changed::BIGINT AS n_diffs FROM summaries s"""))
+def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commits written as the log writes them (binary files as dashes, two patch lines for each added line) and parsed again."""
+    from strataline.sources.gitlog import parse_records
+
+    change = X.changes(spark, sf_dir)
+    path, binary = F.col("file_path"), F.col("deletions") > 1
+    numbers = F.concat_ws("\t", F.when(binary, "-").otherwise(F.col("additions").cast("string")), F.when(binary, "-").otherwise(F.col("deletions").cast("string")), path)
+    patch = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a\n+++ b\n@@ @@"), F.repeat(F.lit("\n+line\n-line"), F.col("additions")))
+    files = change.groupBy("sha").agg(F.array_join(F.sort_array(F.collect_list(numbers)), "\n").alias("numbers"), F.array_join(F.sort_array(F.collect_list(patch)), "\n").alias("patches"))
+    base = X.commits(spark, sf_dir).join(files, "sha", "left")
+    head = F.concat_ws("\0", "sha", "author", "email", C.iso(F.col("ts")), "subject", "body", F.lit("p1 p2"), F.lit("HEAD -> main, tag: v1"))
+    records = base.select(F.concat(head, F.lit("\n\n"), F.coalesce("numbers", F.lit("")), F.lit("\n\n"), F.coalesce("patches", F.lit(""))).alias("value"), F.col("seq").alias("__at"))
+    total = lambda k: F.aggregate("files", F.lit(0).cast("long"), lambda a, f: a + f[k])
+    return parse_records(records, GitConfig(max_diff_lines_per_file=65)).select(
+        "sha", "author", "email", "date", "subject", "body", F.array_join("parents", " ").alias("parents"), "refs", F.size("files").cast("long").alias("n_files"), total("additions").alias("additions"), total("deletions").alias("deletions"),
+        F.size(F.filter(F.map_values("diffs"), lambda d: d.contains("... truncated ("))).cast("long").alias("truncated"), F.size("diffs").cast("long").alias("n_diffs"),
+    )
+
+
+PATHS_SQL = """paths AS (SELECT DISTINCT file_path AS p, pk FROM (SELECT ['', 'pkg/', 'tests/', 'a/__tests__/'][p_partkey % 4 + 1] || ['src/', 'lib/', 'app/api/'][p_partkey % 3 + 1] || lower(translate(p_brand, '# ', '__')) || '/' || ['x', 'y/z'][p_partkey % 2 + 1] || '/'
+  || ['part', 'test_part', 'part_test', 'conftest', 'yarn', 'route', 'page'][p_partkey % 7 + 1] || ['.ts', '.test.tsx', '.py', '_spec.rb', '.lock', '.rake'][p_partkey % 6 + 1] AS file_path, p_partkey AS pk FROM part))"""
+
+
+def _paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_partkey")
+    pick = lambda values: F.element_at(F.array(*map(F.lit, values)), (k % len(values) + 1).cast("int"))
+    path = F.concat(pick(("", "pkg/", "tests/", "a/__tests__/")), pick(("src/", "lib/", "app/api/")), F.lower(F.translate("p_brand", "# ", "__")), F.lit("/"), pick(("x", "y/z")), F.lit("/"), pick(("part", "test_part", "part_test", "conftest", "yarn", "route", "page")), pick((".ts", ".test.tsx", ".py", "_spec.rb", ".lock", ".rake")))
+    return X.read(spark, sf_dir, "part").select(path.alias("p"), k.alias("pk"))
+
+
+@query(f"""WITH {PATHS_SQL}, parts AS (SELECT *, string_split(p, '/') AS seg, list_position(string_split(p, '/'), 'src') AS src FROM paths)
+SELECT pk, CASE WHEN src > 0 AND src + 2 <= len(seg) THEN seg[src + 1] || '/' || seg[src + 2] ELSE seg[1] END AS scope, array_to_string(seg[1:least(2, len(seg) - 1)], '/') AS top, seg[len(seg)] IN ('yarn.lock') AS is_lock,
+  (regexp_matches(p, '\\.(ts|tsx)$') AND regexp_matches(p, '\\.(test|spec)\\.(ts|tsx|js|jsx)$|__tests__/|__mocks__/')) OR (ends_with(p, '.py') AND regexp_matches(p, 'test_.*\\.py$|.*_test\\.py$|tests/|conftest\\.py$')) OR (regexp_matches(p, '\\.(rb|rake)$') AND regexp_matches(p, '_spec\\.rb$|_test\\.rb$')) AS is_test,
+  regexp_matches(p, '\\.(ts|tsx|py|rb|rake)$') AS is_source FROM parts""".replace("\\\\", "\\"))
+def path_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scope, top directory, and what of lock, test and source files a path is."""
+    from strataline.schema import EngineConfig
+    from strataline.sources import files as SF
+
+    p = F.col("p")
+    return _paths(spark, sf_dir).select("pk", C.infer_scope(p).alias("scope"), C.top_directory(p).alias("top"), C.is_lock_file(p).alias("is_lock"), SF.is_test_file(p).alias("is_test"), SF.wanted(p, EngineConfig(index_tests=True)).alias("is_source"))
+
+
+@query("SELECT doc_id, ceil(length(coalesce(text, '')) / 4)::BIGINT AS tokens, sha256(CASE WHEN length(text) > 3000 THEN left(text, 3000) || chr(10) || '... truncated (' || (length(text) - 3000) || ' more chars)' ELSE coalesce(text, '') END) AS cut_sha FROM documents")
+def text_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token estimates and the cut of a diff's text, on the documents."""
+    text = F.coalesce("text", F.lit(""))
+    return X.read(spark, sf_dir, "documents").select("doc_id", C.estimate_tokens(text).cast("long").alias("tokens"), F.sha2(C.capped(text, GitConfig().max_diff_chars_per_file), 256).alias("cut_sha"))
+
+
 # --- code -----------------------------------------------------------------------------------------
 
 FILES_SQL = "files AS (SELECT source || '/doc_' || doc_id || '.' || ['ts', 'py', 'rb', 'tsx'][doc_id % 4 + 1] AS path, coalesce(text, '') AS content, doc_id % 4 AS kind FROM documents)"
@@ -564,4 +843,53 @@ def embed_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataline.operators.embed import HashingEmbedder, with_vectors
 
     rows = X.read(spark, sf_dir, "documents").select("doc_id", "text")
-    return with_vectors(rows, "text", HashingEmbedder(64)).select("doc_id", F.size("vector").alias("dimension"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"))
+    digest = F.sha2(F.to_json(F.transform("vector", lambda x: F.round(x.cast("double"), 4))), 256)
+    return with_vectors(rows, "text", HashingEmbedder(64)).select("doc_id", F.size("vector").alias("dimension"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, x: s + x * x), 3).alias("norm"), digest.alias("digest"))
+
+
+#: Definitions by remainder of a part's key: four lines each, as text with the key for K, its chunk type ('' for none), name, and lines that it takes.
+SOURCES = {
+    "ts": (
+        ("export function fn_K(a: number): string {\n  return `${a} }`\n}\n", "function", "fn_K", 3), ("class Klass_K extends Base {\n  m() { return '}' }\n}\n", "class", "Klass_K", 3), ("export const arrow_K = async (a) => {\n  return /[{(]/\n}\n", "function", "arrow_K", 3),
+        ("interface Face_K {\n  id: string\n}\n", "interface", "Face_K", 3), ("type Kind_K =\n  | 'a'\n  | 'b'\n", "type", "Kind_K", 3), ("const plain_K = call(() => {\n  return 1\n})\n", "", "", 3), ("export const useThing_K = () => {\n  return 1\n}\n", "hook", "useThing_K", 3),
+    ),
+    "py": (("def fn_K(a):\n    return a\n\n", "function", "fn_K", 2), ("class Klass_K:\n    x = 1\n\n", "class", "Klass_K", 2), ("@dec\ndef made_K():\n    return 1\n", "decorator", "made_K", 3), ("value_K = 1\n\n\n", "", "", 1)),
+    "rb": (("def fn_K(a)\n  a if a\nend\n", "function", "fn_K", 3), ("class Klass_K < B\n  X = 'end'\nend\n", "class", "Klass_K", 3), ("module Mod_K\n  def self.q = 1\nend\n", "class", "Mod_K", 3), ("T_K = <<~E\n  class No\nE\n", "", "", 3)),
+}
+LANGUAGES = {"ts": "typescript", "py": "python", "rb": "ruby"}
+
+
+def _generated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One source file for each brand and language, with a definition for each of the brand's parts."""
+    from functools import reduce
+
+    parts = X.read(spark, sf_dir, "part").select("p_partkey", F.lower(F.translate("p_brand", "# ", "__")).alias("brand"))
+
+    def file(ext: str) -> DataFrame:
+        texts = F.array(*[F.lit(x[0]) for x in SOURCES[ext]])
+        text = F.element_at(texts, (F.col("p_partkey") % len(SOURCES[ext]) + 1).cast("int"))
+        text = F.replace(text, F.lit("_K"), F.concat(F.lit("_"), F.col("p_partkey").cast("string")))
+        whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", text.alias("t")))), lambda x: x["t"]), "\n")
+        return parts.groupBy("brand").agg(whole.alias("content")).select(F.concat("brand", F.lit(f"/code.{ext}")).alias("path"), "content")
+
+    return reduce(DataFrame.unionByName, [file(ext) for ext in SOURCES])
+
+
+def _generated_sql() -> str:
+    def case(ext: str, at: int) -> str:
+        return f"CASE p_partkey % {len(SOURCES[ext])} " + " ".join(f"WHEN {k} THEN {x[at] if at == 3 else repr(x[at])}" for k, x in enumerate(SOURCES[ext])) + " END"
+
+    rows = " UNION ALL ".join(f"SELECT brand || '/code.{ext}' AS path, '{LANGUAGES[ext]}' AS language, '{ext}' AS ext, p_partkey, rn, n, {case(ext, 1)} AS kind, replace({case(ext, 2)}, '_K', '_' || p_partkey) AS name, {case(ext, 3)} AS lines FROM parts" for ext in SOURCES)
+    return f"""WITH parts AS (SELECT p_partkey, lower(translate(p_brand, '# ', '__')) AS brand, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn, count(*) OVER (PARTITION BY p_brand) AS n FROM part),
+defs AS ({rows}), big AS (SELECT * FROM defs WHERE n * 4 >= 50 AND kind <> ''),
+found AS (SELECT path, language, name, kind AS chunk_type, (rn - 1) * 4 + 1 AS line_start, (rn - 1) * 4 + lines AS line_end FROM big
+  UNION ALL SELECT DISTINCT path, language, 'code.' || ext, 'other', 1, n * 4 FROM defs WHERE path NOT IN (SELECT path FROM big))
+SELECT left(sha256(path || ':' || line_start || ':' || line_end), 16) AS id, path AS file_path, language, name, chunk_type, line_start, line_end FROM found"""
+
+
+@query(_generated_sql())
+def code_chunks_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions in generated TypeScript, Python and Ruby files, most of them of 50 lines and more."""
+    from strataline.operators.chunkers.code import chunk_files
+
+    return chunk_files(_generated(spark, sf_dir)).select("id", "file_path", "language", "name", "chunk_type", F.col("line_start").cast("long"), F.col("line_end").cast("long"))
