@@ -74,6 +74,74 @@ def test_run_packs_what_the_stages_keep(spark, corpus):
     assert not {303, 304, 0} & ids
 
 
+EXTRA = "score double, keep_id long, spans string, component_id long, sequence_id long, lang_pred string, c0 string, `text hash` int"
+
+
+def written_tables(spark, folder, rows, labels, extra=()):
+    schema = "doc_id long, text string, lang string, source string, n_chars long" + (", " + EXTRA if extra else "")
+    spark.createDataFrame([(*r, *extra) for r in rows], schema).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return str(folder)
+
+
+def test_awkward_documents_pass_every_stage(spark, tmp_path):
+    """Null ids and texts, repeated rows, one id with two texts, very long texts, ties, and columns named like results."""
+    base = [(i, prose(i, 40), "aa", "s", 9) for i in range(60)]
+    labels = [(i, 1, int(i % 5 == 0)) for i in range(60)] + [(None, 1, 1), (3, None, None), (999, 0, 1)]
+    base = [(d, t + " zorg vile blarg" if d % 5 == 0 else t, *rest) for d, t, *rest in base]
+    odd = [
+        (None, prose("null id", 30), "aa", None, None), (None, None, None, None, None), (100, "", "aa", "s", 0), (101, " \n ", "aa", "s", 3), (102, None, None, None, None), (103, prose("twice", 30), "aa", "s", 1), (103, prose("twice", 30), "aa", "s", 1),
+        (104, prose("long", 30_000), "aa", "s", 1), (105, prose("one text", 30), None, None, None), (105, prose("another", 30), "aa", "s", 1), (106, prose("twice", 30), "aa", "s", 1), (107, "ka" * 60_000, "aa", "s", 1), (1, base[1][1], "aa", "s", 9),
+    ]
+    extra = (0.5, 7, "x", 8, 9, "y", "z", 1)
+    folder = written_tables(spark, tmp_path, base + odd, labels, extra)
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = sorted((r for r in rows if any(c.isalpha() for c in r[1] or "") and r[1] != "ka" * 60_000), key=key)
+    for name, stage in CP.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert tuple(out.columns) == CP.COLUMNS
+        docs = CP.written(out, name)
+        got = sorted(((r["doc_id"], r["text"]) for r in docs.collect()), key=key)
+        if name == "language_id":
+            got = [r for r in got if r[1] != "ka" * 60_000]  # one long word is of the language or not: either is right
+        elif name == "toxicity":
+            want = [r for r in want if "zorg" not in r[1].split()]
+        elif name == "exact_dedup":
+            kept = {}
+            for d, t in want:
+                kept[t] = max(kept.get(t, -1), -1 if d is None else d)
+            want = sorted(((None if d < 0 else d, t) for t, d in kept.items()), key=key)
+        got = [r for r in got if r[1] != "ka" * 60_000]
+        assert got == want, name
+    packed = CP.STAGES[-1][1](spark, docs, folder).collect()
+    assert {r["doc_id"] for r in packed} >= {d for d, _ in want}
+
+
+@pytest.mark.parametrize("labelled", [True, False])
+def test_empty_tables_pass_every_stage(spark, tmp_path, labelled):
+    folder = written_tables(spark, tmp_path, [], [(1, 1, 0), (2, 0, 1)] if labelled else [])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for _, stage in CP.STAGES[:-1]:
+        docs = stage(spark, docs, folder)
+        assert tuple(docs.columns) == CP.COLUMNS and docs.count() == 0
+    assert CP.run(spark, folder).count() == 0
+
+
+def test_models_do_not_learn_from_held_out_rows(spark, tmp_path):
+    """Held-out rows in another alphabet and with another marker change no model."""
+    import zlib
+
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    strange = ["".join(chr(0x430 + ord(c) % 26) for c in w) for w in WORDS]
+    rows = [(i, prose(i, 30, strange if held(i) else WORDS) + (" ыъэ" if held(i) else ""), "zz" if held(i) else "aa", "s", 1) for i in range(120)]
+    folder = written_tables(spark, tmp_path, rows, [(i, 1, int(held(i))) for i in range(120)])
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    assert {r["lang"] for r in CP.language(spark, docs, folder).collect()} == {"aa"}  # no language of theirs was learned
+    assert CP.toxicity(spark, docs, folder).count() == 120  # nor that their marker is toxic
+
+
 def test_contract_columns(spark):
     folder = "/root/testdata/sf0.001"
     first = {
