@@ -94,6 +94,7 @@ def dominant_of_counts() -> Column:
     return dominant({c: F.col(f"n_{c}") for c in DECISION_CLASSES})
 
 
+# The patterns down to LOW_QUALITY are fixed values.
 CONVENTIONAL = rf"^({'|'.join(COMMIT_TYPES)})(\(([^)]+)\))?!?:\s"
 CONFIG_FILES = r"(?i)package\.json$|\.config\.(ts|js|mjs)$|tsconfig|\.env|dockerfile|docker-compose"
 LOCK_PATTERN = r"(?i)lock\.json$|\.lock$|go\.sum$"
@@ -179,11 +180,11 @@ def decision_weight(cls: Column) -> Column:
     return F.when(cls == "decision", 1.5).when(cls == "routine", 0.5).otherwise(1.0)
 
 
-def cosine(a: Column, b: Column) -> Column:
-    """Cosine similarity of two arrays in double precision; null for a zero vector."""
+def cosine(a: Column, b: Column, b_norm: Column | None = None) -> Column:
+    """Cosine similarity of two arrays in double precision; null for a zero vector. ``b_norm`` is the length of b where it is known."""
     dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
     def norm(v: Column) -> Column:
         return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
 
-    return F.try_divide(dot, norm(a) * norm(b))
+    return F.try_divide(dot, norm(a) * (norm(b) if b_norm is None else b_norm))

@@ -10,6 +10,7 @@ from strataline.operators.history import summaries
 from strataline.operators.signals.common import commit_files, signal_rows
 from strataline.schema import SignalsConfig
 
+# Fixed values.
 SHA_IN_TEXT = r"(?i)reverts?\s+commit\s+([0-9a-f]{7,40})"
 QUOTED_SUBJECT = r'[Rr]evert\s+"([^"]+)"'
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import math
 from functools import reduce
 
 import numpy as np
@@ -13,8 +15,12 @@ from strataline.functions import columns as C
 
 def scored(rows: DataFrame, query: list[float] | Column, vector_col: str = "vector") -> DataFrame:
     """rows with score = cosine to the query, without the vector; rows of zero vectors have none and are left out."""
-    q = query if isinstance(query, Column) else F.array(*[F.lit(float(x)) for x in query])
-    return rows.withColumn("score", C.cosine(F.col(vector_col), q)).where("score IS NOT NULL").drop(vector_col)
+    if isinstance(query, Column):
+        q, norm = query, None
+    else:  # one constant, whose length is not computed again for every row
+        q = F.split(F.lit(",".join(repr(float(x)) for x in query)), ",").cast("array<double>")
+        norm = F.lit(math.sqrt(functools.reduce(lambda s, x: s + float(x) * float(x), query, 0.0)))
+    return rows.withColumn("score", C.cosine(F.col(vector_col), q, norm)).where("score IS NOT NULL").drop(vector_col)
 
 
 def top_k(rows: DataFrame, query, k: int, vector_col: str = "vector", tie: str = "id") -> DataFrame:

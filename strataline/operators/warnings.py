@@ -29,7 +29,7 @@ def _rows(df: DataFrame, severity: Column, category: str, message: Column, evide
 
 
 def warnings(profiles: DataFrame, signals: DataFrame, as_of: Column, change_type: str | None = None) -> DataFrame:
-    """Warning rows with their severity rank and emission key; order by both for the reading order."""
+    """Warning rows with their severity rank and emission key; order by both for the reading order. The texts are fixed values."""
     none, ids, p = F.array().cast("array<string>"), F.col("active_signal_ids"), F.col("path")
     n = F.col("revert_count")
     out = [
