@@ -122,10 +122,22 @@ def stats_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- detectors ----------------------------------------------------------------------------------
 
 
+#: Histories that were built in this application, by it and the tables that they come from.
+_BUILT: dict[tuple, tuple[DataFrame, Column]] = {}
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple:
+    """What tells one history from another within an application: the files that it comes from."""
+    return spark.sparkContext.applicationId, *(tuple(sorted(X.read(spark, sf_dir, t).inputFiles())) for t in ("orders", "lineitem", "part", "customer"))
+
+
 def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
-    """The history as a table, as the engine keeps it, and its newest instant as the clock."""
-    rows = materialized(X.history(spark, sf_dir), "history", ("chunk_type",))
-    return rows, H.latest(rows.where("chunk_type = 'commit_summary'"))
+    """The history as a table, as the engine keeps it, and its newest instant as the clock; built once for the same files."""
+    key = _files(spark, sf_dir)
+    if key not in _BUILT:
+        rows = materialized(X.history(spark, sf_dir), "history", ("chunk_type",))
+        _BUILT[key] = rows, H.latest(rows.where("chunk_type = 'commit_summary'"))
+    return _BUILT[key]
 
 
 CHURN_SQL = f"""{CLASSES_SQL},
@@ -293,33 +305,8 @@ def signal_adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(adoption.detect(rows, H.latest(rows)), subject="string", cycle_count="long", transitions="long", current_status="string")
 
 
-def _signals(spark: SparkSession, sf_dir: str, *names: str) -> tuple[DataFrame, DataFrame, Column]:
-    rows, as_of = _history(spark, sf_dir)
-    return materialized(S.detect(rows, as_of, names=names or None), "signals"), rows, as_of
-
-
 #: The detectors' tables without the class look-up that they share: fix chains, reverts, breaking changes, shifts.
 BARE = [x.removeprefix(CLASSES_SQL + ",") for x in (FIX_SQL, REVERT_SQL, BREAKING_SQL, STABILITY_SQL)]
-ALL_SQL = ",".join([CHURN_SQL, *BARE])
-
-
-@query(with_base(ALL_SQL, "SELECT type, count(*) AS n FROM (SELECT 'churn_hotspot' AS type FROM churn UNION ALL SELECT 'fix_chain' FROM fx UNION ALL SELECT 'revert_pair' FROM rv UNION ALL SELECT 'breaking_change' FROM bk_hit UNION ALL SELECT 'stability_shift' FROM st) GROUP BY type"))
-def stats_signal_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataline.sources.store import signal_type_counts
-
-    return signal_type_counts(_signals(spark, sf_dir, "churn", "fix_chain", "revert", "breaking", "stability")[0])
-
-
-@query(with_base(ALL_SQL, "SELECT id, 'churn_hotspot' AS type, directory_scope FROM churn UNION ALL SELECT id, 'fix_chain', directory_scope FROM fx UNION ALL SELECT id, 'revert_pair', directory_scope FROM rv UNION ALL SELECT id, 'stability_shift', directory_scope FROM st"))
-def signals_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _signals(spark, sf_dir, "churn", "fix_chain", "revert", "stability")[0].select("id", "type", "directory_scope")
-
-
-@query(with_base(ALL_SQL, "SELECT id, type FROM (SELECT id, 'churn_hotspot' AS type, directory_scope FROM churn UNION ALL SELECT id, 'revert_pair', directory_scope FROM rv) WHERE directory_scope IN ('src/brand_1/economy', '.')"))
-def signals_by_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataline.sources.store import signals_in_directory
-
-    return signals_in_directory(_signals(spark, sf_dir, "churn", "revert")[0], "src/brand_1/economy").select("id", "type")
 
 
 # --- all detectors ----------------------------------------------------------------------------------
@@ -345,13 +332,41 @@ every AS (
 SHARED = SignalsConfig(ownership_min_percent=20)
 
 
+_FOUND: dict[tuple, DataFrame] = {}
+
+
 def _every(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Column]:
-    """The signals of all seven detectors: dependency cycles come from the dependency diffs, all others from the history."""
+    """The signals of all seven detectors as a table, found once for the same files, with the history and its clock.
+
+    Dependency cycles come from the dependency diffs, all others from the history.
+    """
     rows, as_of = _history(spark, sf_dir)
-    deps = X.dependency_history(spark, sf_dir)
-    found = S.detect(rows, as_of, names=[n for n in S.DETECTORS if n not in ("ownership", "adoption")])
-    found = found.unionByName(ownership.detect_files(rows, as_of)).unionByName(ownership.detect_directories(rows, as_of, SHARED)).unionByName(S.detect(deps, as_of, names=["adoption"]))
-    return materialized(found, "every-signal"), rows, as_of
+    key = _files(spark, sf_dir)
+    if key not in _FOUND:
+        deps = X.dependency_history(spark, sf_dir)
+        found = S.detect(rows, as_of, names=[n for n in S.DETECTORS if n not in ("ownership", "adoption")])
+        found = found.unionByName(ownership.detect_files(rows, as_of)).unionByName(ownership.detect_directories(rows, as_of, SHARED)).unionByName(S.detect(deps, as_of, names=["adoption"]))
+        _FOUND[key] = materialized(found, "every-signal")
+    return _FOUND[key], rows, as_of
+
+
+@query(with_base(EVERY_SQL, "SELECT type, count(*) AS n FROM every GROUP BY type"))
+def stats_signal_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.sources.store import signal_type_counts
+
+    return signal_type_counts(_every(spark, sf_dir)[0])
+
+
+@query(with_base(EVERY_SQL, "SELECT id, type, directory_scope FROM every"))
+def signals_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _every(spark, sf_dir)[0].select("id", "type", "directory_scope")
+
+
+@query(with_base(EVERY_SQL, "SELECT id, type FROM every WHERE directory_scope IN ('src/brand_1/economy', '.')"))
+def signals_by_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from strataline.sources.store import signals_in_directory
+
+    return signals_in_directory(_every(spark, sf_dir)[0], "src/brand_1/economy").select("id", "type")
 
 
 @query(with_base(EVERY_SQL, f"SELECT id, type, severity, directory_scope, dominant_decision_class, {ISO.format('e')} AS end_at, summary FROM every"))
@@ -413,7 +428,7 @@ def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- profiles, warnings, assessment ---------------------------------------------------------------
 
-PROFILE_SQL = f"""{CLASSES_SQL},{BARE[0]},{BARE[1]},
+PROFILE_SQL = f"""{EVERY_SQL},
 pf_counts AS (SELECT file_path AS path, author, count(*) AS commits, max(ts) AS last_change, min(seq) AS first_seq FROM diffs GROUP BY ALL),
 pf_ranked AS (SELECT *, sum(commits) OVER w AS total, count(*) OVER w AS contributors, row_number() OVER (PARTITION BY path ORDER BY commits DESC, first_seq) AS rn FROM pf_counts WINDOW w AS (PARTITION BY path)),
 pf_top AS (SELECT *, floor(commits * 100.0::DOUBLE / total + 0.5)::INT AS pct FROM pf_ranked WHERE rn = 1 AND total >= 2),
@@ -421,7 +436,7 @@ pf_dates AS (SELECT file_path AS path, min(ts) AS s, max(ts) AS e FROM diffs GRO
 pf_rfile AS (SELECT file_path AS path, count(DISTINCT r.sha) AS n FROM rv_found r JOIN diffs d ON d.sha = r.original GROUP BY 1),
 pf_rdir AS (SELECT p.path, count(*) AS n FROM pf_top p JOIN rv ON starts_with(p.path, rv.directory_scope || '/') GROUP BY 1),
 pf_fix AS (SELECT file_path AS path, count(DISTINCT lead) AS n FROM fx_members m JOIN diffs d USING (sha) GROUP BY 1),
-pf_active AS (SELECT path, count(DISTINCT id) AS n FROM (SELECT p.path, x.id FROM pf_top p JOIN (SELECT id, directory_scope FROM rv UNION ALL SELECT id, directory_scope FROM fx) x ON starts_with(p.path, x.directory_scope || '/')) GROUP BY 1),
+pf_active AS (SELECT path, count(DISTINCT id) AS n FROM (SELECT p.path, x.id FROM pf_top p JOIN every x ON starts_with(p.path, x.directory_scope || '/')) GROUP BY 1),
 pf_base AS (SELECT t.path, author, pct, commits, last_change, contributors, total::BIGINT AS total, s, e, coalesce(a.n, 0) + coalesce(b.n, 0) AS reverts, coalesce(f.n, 0) AS fixes, coalesce(v.n, 0) AS active,
             total / greatest(1.0::DOUBLE, date_diff('second', s, e) / 86400.0::DOUBLE) AS per_day
             FROM pf_top t JOIN pf_dates USING (path) LEFT JOIN pf_rfile a USING (path) LEFT JOIN pf_rdir b USING (path) LEFT JOIN pf_fix f USING (path) LEFT JOIN pf_active v USING (path)),
@@ -433,7 +448,7 @@ profile AS (SELECT path, CASE WHEN pct >= 30 THEN author END AS owner, CASE WHEN
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, rows, _ = _signals(spark, sf_dir, "revert", "fix_chain")
+    found, rows, _ = _every(spark, sf_dir)
     return P.file_profiles(rows, found)
 
 
@@ -466,21 +481,6 @@ def profile_dir_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_profiles(profiles_under(_profiles(spark, sf_dir), "src/brand_2"))
 
 
-LIVE = "pow(0.5::DOUBLE, date_diff('second', e, as_of) / 86400.0::DOUBLE / {hl}) * CASE dominant_decision_class WHEN 'decision' THEN 1.5 WHEN 'routine' THEN 0.5 ELSE 1.0 END::DOUBLE >= 0.1"
-WARNINGS_SQL = f"""
-SELECT 'warning' AS severity, 'stability' AS category, 0 AS rank, path || ' has a stability score of ' || stability_score || '/100. Changed ' || total_changes || ' times with ' || revert_count || ' revert' || CASE WHEN revert_count <> 1 THEN 's' ELSE '' END || '.' AS message FROM profile WHERE stability_score < 30
-UNION ALL SELECT 'caution', 'stability', 1, 'Refactoring a volatile area: ' || path || ' (stability ' || stability_score || '/100). Consider smaller incremental changes.' FROM profile WHERE stability_score >= 30 AND stability_score < 50
-UNION ALL SELECT 'info', 'ownership', 2, CASE WHEN owner IS NOT NULL THEN owner || ' owns ' || path || ' (' || owner_percentage || '% of changes, ' || owner_commits || ' commits). Last active: ' || strftime(last_change, '%Y-%m-%d') || '.' ELSE 'No clear owner for ' || path || '. ' || contributor_count || ' contributors.' END FROM profile
-UNION ALL SELECT severity, 'pattern', CASE severity WHEN 'warning' THEN 0 ELSE 1 END, 'Feature "' || subject || '" (' || left(feature_sha, 7) || ') required ' || fix_count || ' follow-up fix' || CASE WHEN fix_count > 1 THEN 'es' ELSE '' END || ' over ' || day_span || ' day' || CASE WHEN day_span <> 1 THEN 's' ELSE '' END || '.'
-  FROM fx JOIN summaries ON sha = feature_sha, clock WHERE {LIVE.format(hl=90)}"""
-
-
-@query(with_base(PROFILE_SQL, WARNINGS_SQL))
-def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, rows, as_of = _signals(spark, sf_dir, "revert", "fix_chain")
-    return W.warnings(P.file_profiles(rows, found), found.where("type = 'fix_chain'"), as_of, "refactor").select("severity", "category", "rank", "message")
-
-
 # --- assessment -----------------------------------------------------------------------------------
 
 ASKED = ("src/brand_2/economy/part_0.ts", "src/brand_7/small/part_9.ts")
@@ -497,15 +497,15 @@ ASSESSED = " WHERE " + " OR ".join(f"starts_with(path, '{p.rpartition('/')[0]}/'
 def assess(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataline.plans.assess import assess as run
 
-    found, rows, as_of = _signals(spark, sf_dir, "revert", "fix_chain")
+    found, rows, as_of = _every(spark, sf_dir)
     return _flat_profiles(run(P.file_profiles(rows, found), found, _asked(spark), as_of).file_profiles)
 
 
-@query(with_base(PROFILE_SQL, f"SELECT id FROM (SELECT id, directory_scope FROM rv UNION SELECT id, directory_scope FROM fx) WHERE directory_scope IN ({', '.join(repr(p.rpartition('/')[0]) for p in ASKED)}, '.')"))
+@query(with_base(EVERY_SQL, f"SELECT id FROM every WHERE directory_scope IN ({', '.join(repr(p.rpartition('/')[0]) for p in ASKED)}, '.')"))
 def assess_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataline.plans.assess import signals_for
 
-    return signals_for(_signals(spark, sf_dir, "revert", "fix_chain")[0], _asked(spark)).select("id")
+    return signals_for(_every(spark, sf_dir)[0], _asked(spark)).select("id")
 
 
 @query(with_base(PROFILE_SQL, "SELECT owner AS author, path, owner_percentage AS percentage FROM profile WHERE owner IS NOT NULL AND (" + ASSESSED.removeprefix(" WHERE ") + ")"))
@@ -515,21 +515,13 @@ def owners(spark: SparkSession, sf_dir: str) -> DataFrame:
     return owners_of(profiles_for(_profiles(spark, sf_dir), _asked(spark))).select("author", "path", F.col("percentage").cast("long"))
 
 
-PROFILE_OF_EVERY = f"{EVERY_SQL}," + PROFILE_SQL[PROFILE_SQL.index("pf_counts AS"):].replace("(SELECT id, directory_scope FROM rv UNION ALL SELECT id, directory_scope FROM fx)", "every")
-
-
-@query(with_base(PROFILE_OF_EVERY, PROFILE_ROWS))
-def file_profiles_of_all_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, rows, _ = _every(spark, sf_dir)
-    return _flat_profiles(P.file_profiles(rows, found))
-
-
 _HIT = f"directory_scope IN ({', '.join(repr(p.rpartition('/')[0]) for p in ASKED)}, '.')"
 _PLURAL = "CASE WHEN {} <> 1 THEN '{}' ELSE '' END"
-WARNED_SQL = f""",
-near AS (SELECT every.*, pow(0.5::DOUBLE, date_diff('second', e, as_of) / 86400.0::DOUBLE / CASE WHEN type IN ('revert_pair', 'breaking_change') THEN 180 ELSE 90 END) * CASE dominant_decision_class WHEN 'decision' THEN 1.5 WHEN 'routine' THEN 0.5 ELSE 1.0 END::DOUBLE AS relevance FROM every, clock WHERE {_HIT}),
+def _warned_sql(hit: str, asked: str) -> str:
+    return f""",
+near AS (SELECT every.*, pow(0.5::DOUBLE, date_diff('second', e, as_of) / 86400.0::DOUBLE / CASE WHEN type IN ('revert_pair', 'breaking_change') THEN 180 ELSE 90 END) * CASE dominant_decision_class WHEN 'decision' THEN 1.5 WHEN 'routine' THEN 0.5 ELSE 1.0 END::DOUBLE AS relevance FROM every, clock WHERE {hit}),
 live AS (SELECT * FROM near WHERE relevance >= 0.1),
-asked AS (SELECT * FROM profile {ASSESSED}),
+asked AS (SELECT * FROM profile {asked}),
 warned AS (
   SELECT 'warning' AS severity, 'stability' AS category, '1:' || path AS emission, path || ' has a stability score of ' || stability_score || '/100. Changed ' || total_changes || ' times with ' || revert_count || ' revert' || {_PLURAL.format('revert_count', 's')} || '.' AS message FROM asked WHERE stability_score < 30
   UNION ALL SELECT 'caution', 'stability', '1:' || path, 'Refactoring a volatile area: ' || path || ' (stability ' || stability_score || '/100). Consider smaller incremental changes.' FROM asked WHERE stability_score >= 30 AND stability_score < 50
@@ -541,7 +533,14 @@ warned AS (
   UNION ALL SELECT 'warning', 'pattern', '3:' || strftime(live.e, '%Y%m%d%H%M%S') || ':' || id, dep || ' has gone through ' || cycles || ' adoption cycles. Current status: ' || status || '.' FROM live JOIN adopted USING (id))"""
 
 
-@query(with_base(PROFILE_OF_EVERY + WARNED_SQL, "SELECT severity, category, message, row_number() OVER (ORDER BY CASE severity WHEN 'warning' THEN 0 WHEN 'caution' THEN 1 ELSE 2 END, emission, message) AS place FROM warned"))
+@query(with_base(PROFILE_SQL + _warned_sql("true", ""), "SELECT severity, category, CASE severity WHEN 'warning' THEN 0 WHEN 'caution' THEN 1 ELSE 2 END AS rank, message FROM warned"))
+def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every warning before a refactoring: all profiles and all signals."""
+    found, rows, as_of = _every(spark, sf_dir)
+    return W.warnings(P.file_profiles(rows, found), found, as_of, "refactor").select("severity", "category", "rank", "message")
+
+
+@query(with_base(PROFILE_SQL + _warned_sql(_HIT, ASSESSED), "SELECT severity, category, message, row_number() OVER (ORDER BY CASE severity WHEN 'warning' THEN 0 WHEN 'caution' THEN 1 ELSE 2 END, emission, message) AS place FROM warned"))
 def assess_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five signal rules and three profile rules for two files before a refactoring, in reading order."""
     from strataline.plans.assess import assess as run
@@ -663,26 +662,9 @@ def upsert_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upserted(count(rows.where("author <> 'BUILDING'"), -1), count(rows.where("author = 'BUILDING'"), 1), "path")
 
 
-@query(with_base("", "SELECT count(*) AS n, count(DISTINCT file_path) AS files FROM diffs WHERE file_path NOT IN (SELECT file_path FROM diffs WHERE commit_type = 'fix' AND seq < 1000)"))
-def delete_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataline.sources.store import without
-
-    rows = H.file_diffs(X.history(spark, sf_dir))
-    return without(rows, rows.where("commit_type = 'fix' AND seq < 1000").select("file_path"), "file_path").agg(F.count("*").alias("n"), F.count_distinct("file_path").alias("files"))
-
-
-@query(with_base("", "SELECT sha FROM summaries WHERE seq < 2000"))
-def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from strataline.sources.store import without
-
-    rows = H.summaries(X.history(spark, sf_dir)).select("sha", "seq")
-    old, new = rows.where("seq < 1000"), rows.where("seq >= 500 AND seq < 2000")
-    return old.unionByName(without(new, old, "sha")).select("sha")
-
-
 @query(with_base("", "SELECT count(*) AS n, count(DISTINCT file_path) AS files FROM diffs WHERE file_path NOT IN (SELECT file_path FROM diffs WHERE commit_type = 'fix' AND file_path IS NOT NULL)"))
-def delete_by_path_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As delete_by_path, with the paths of all fix commits."""
+def delete_by_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of files that no fix commit has touched."""
     from strataline.sources.store import without
 
     rows = H.file_diffs(X.history(spark, sf_dir))
@@ -690,8 +672,8 @@ def delete_by_path_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(with_base("", "SELECT sha FROM summaries"))
-def incremental_append_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As incremental_append, over the whole history: its later three quarters are appended to its first half."""
+def incremental_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The later three quarters of the whole history are appended to its first half."""
     from strataline.sources.store import without
 
     rows = H.summaries(X.history(spark, sf_dir)).select("sha", "seq")
@@ -700,11 +682,12 @@ def incremental_append_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     return old.unionByName(without(new, old, "sha")).select("sha")
 
 
-@query(with_base(ALL_SQL, "SELECT id, 'churn_hotspot' AS type FROM churn UNION ALL SELECT id, 'stability_shift' FROM st"))
+@query(with_base(EVERY_SQL, "SELECT id, type FROM every WHERE type <> 'ownership'"))
 def signals_replace_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stale churn signals are replaced, and ownership ends up empty."""
     from strataline.sources.store import replaced_types
 
-    found, _, _ = _signals(spark, sf_dir, "churn", "stability")
+    found, _, _ = _every(spark, sf_dir)
     old = found.withColumn("id", F.when(F.col("type") == "churn_hotspot", F.concat(F.lit("old"), F.col("id"))).otherwise(F.col("id")))
     return replaced_types(old, found.where("type = 'churn_hotspot'"), ["churn_hotspot", "ownership"]).select("id", "type")
 
