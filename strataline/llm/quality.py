@@ -53,28 +53,32 @@ class ByteNetwork:
         begin = first[owner] + place * STRIDE
         return padded, begin, np.minimum(begin + SPAN, first[owner + 1]), owner
 
-    def _convolve(self, padded: np.ndarray) -> np.ndarray:
+    def _convolve(self, padded: np.ndarray, tails: np.ndarray) -> np.ndarray:
+        """Responses at every position; ``tails`` are those behind a text whose windows would reach the next one and see zeros instead."""
         n = len(padded) - WIDTH
         out = self.conv[0].take(padded[:n], 0)
         for j in range(1, WIDTH):
             out += self.conv[j].take(padded[j : j + n], 0)
+        out[tails] = self.conv[:, 0].sum(0)
         return out
 
     def forward(self, body: np.ndarray, offsets: np.ndarray, trace: bool = False):
         padded, begin, end, owner = self.layout(body, offsets)
-        c = self._convolve(padded).reshape(-1, BLOCK, FILTERS)
+        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
+        ends = end[np.append(starts[1:], len(owner)) - 1] * BLOCK
+        tails = (ends[:, None] - np.arange(1, WIDTH)).ravel()
+        c = self._convolve(padded, tails).reshape(-1, BLOCK, FILTERS)
         block = c.max(1)
         idx = np.minimum(begin[:, None] + np.arange(SPAN), end[:, None] - 1)
         best = block[idx].argmax(1)  # the block of the chunk's largest response, per filter
         pooled = np.maximum(np.take_along_axis(block[idx], best[:, None, :], 1)[:, 0], 0)
         x = np.concatenate([pooled, np.ones((len(pooled), 1), np.float32)], 1)
         hidden = np.tanh(x @ self.lift)
-        starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
         top = np.maximum.reduceat(hidden, starts, 0)
         z = top @ self.top[:-1] + self.top[-1]
         if not trace:
             return z
-        return z, (padded, c, idx, best, pooled, x, hidden, starts, owner, top)
+        return z, (padded, tails, c, idx, best, pooled, x, hidden, starts, owner, top)
 
     def scores(self, body: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         if len(offsets) < 2:
@@ -82,7 +86,7 @@ class ByteNetwork:
         return 1 / (1 + np.exp(-np.clip(self.forward(body, offsets).astype(float) + self.prior, -30, 30)))
 
     def gradients(self, body: np.ndarray, offsets: np.ndarray, y: np.ndarray):
-        z, (padded, c, idx, best, pooled, x, hidden, starts, owner, top) = self.forward(body, offsets, True)
+        z, (padded, tails, c, idx, best, pooled, x, hidden, starts, owner, top) = self.forward(body, offsets, True)
         p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
         dz = ((p - y) / len(y)).astype(np.float32)
         g_top = np.concatenate([top.T @ dz, [dz.sum()]])
@@ -101,8 +105,9 @@ class ByteNetwork:
         block = idx[chunk, best[chunk, filt]]
         place = block * BLOCK + c[block, :, filt].argmax(1)
         g_conv = np.zeros_like(self.conv)
+        behind = np.isin(place, tails)
         for j in range(WIDTH):
-            np.add.at(g_conv[j], (padded[place + j], filt), d_pool[chunk, filt])
+            np.add.at(g_conv[j], (np.where(behind, 0, padded[place + j]), filt), d_pool[chunk, filt])
         return [g_conv, g_lift, g_top]
 
     def fit(self, body: np.ndarray, offsets: np.ndarray, y: np.ndarray, epochs: int = EPOCHS, seed: int = 11) -> ByteNetwork:

@@ -339,6 +339,33 @@ def test_quality_gradient_is_that_of_the_loss():
         assert (up - down) / 0.02 == pytest.approx(d[k], rel=0.1)
 
 
+def test_quality_scores_against_a_plain_convolution():
+    """Every position of every chunk by loops: filters, pooling, hidden units, one probability; whole texts, however they are batched."""
+    n = Q.ByteNetwork(5)
+    n.prior = -0.3
+    texts = ["", "ab", "é~" * 40, prose(3, 90), "x" * 700, prose(4, 400)]
+
+    def plain(text):
+        data = text.encode()
+        blocks = -(-(len(data) + Q.WIDTH - 1) // Q.BLOCK)
+        data += bytes(blocks * Q.BLOCK + Q.WIDTH - len(data))
+        best, first = np.full(Q.HIDDEN, -np.inf), 0
+        while True:
+            last = min(first + Q.SPAN, blocks)
+            pooled = np.full(Q.FILTERS, 0.0)
+            for at in range(first * Q.BLOCK, last * Q.BLOCK):
+                pooled = np.maximum(pooled, sum(n.conv[j, data[at + j]].astype(float) for j in range(Q.WIDTH)))
+            best = np.maximum(best, np.tanh(np.append(pooled, 1) @ n.lift.astype(float)))
+            if last == blocks:
+                break
+            first += Q.STRIDE
+        return 1 / (1 + np.exp(-(best @ n.top[:-1] + n.top[-1] + n.prior)))
+
+    want = [plain(t) for t in texts]
+    assert n.scores(*text_buffers(pa.array(texts))) == pytest.approx(want, abs=1e-4)
+    assert [n.scores(*text_buffers(pa.array([t])))[0] for t in texts] == pytest.approx(want, abs=1e-4)
+
+
 def test_quality_covers_the_whole_text():
     body, offsets = text_buffers(pa.array(["a" * 5000, "", "b"]))
     padded, begin, end, owner = Q.ByteNetwork.layout(body, offsets)
