@@ -20,14 +20,28 @@ def dependency_events(history: DataFrame) -> DataFrame:
     return added.unionByName(removed)
 
 
-def detect(history: DataFrame, as_of: Column, config: SignalsConfig = SignalsConfig()) -> DataFrame:
-    events = classed(dependency_events(history), history)
-    step = Window.partitionBy("dep").orderBy("ts", "seq", "event", "sha")
-    events = events.withColumn("changed", F.coalesce(F.col("event") != F.lag("event").over(step), F.lit(False)))
+def _by_month(events: DataFrame) -> DataFrame:
+    """A row for each dependency and month: what happened in it, and its first and last event.
+
+    So a dependency's events are ordered a month at a time, and only months are ordered over its whole life.
+    """
     order = F.struct("ts", "seq", "event", "sha")
-    deps = events.groupBy("dep").agg(
-        F.count("*").alias("n"), F.count_if("changed").alias("transitions"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.max_by("event", order).alias("last"),
+    events = events.withColumn("month", F.date_trunc("month", "ts"))
+    step = Window.partitionBy("dep", "month").orderBy("ts", "seq", "event", "sha")
+    events = events.withColumn("changed", F.coalesce(F.col("event") != F.lag("event").over(step), F.lit(False)))
+    return events.groupBy("dep", "month").agg(
+        F.count("*").alias("n"), F.count_if("changed").alias("inner"), F.min("ts").alias("start"), F.max("ts").alias("end"), F.min_by("event", order).alias("first"), F.max_by("event", order).alias("last"),
         F.sort_array(F.collect_list(order)).alias("events"), *C.class_counts("cls"),
+    )
+
+
+def detect(history: DataFrame, as_of: Column, config: SignalsConfig = SignalsConfig()) -> DataFrame:
+    months = _by_month(classed(dependency_events(history), history))
+    order = Window.partitionBy("dep").orderBy("month")
+    months = months.withColumn("turn", F.coalesce((F.col("first") != F.lag("last").over(order)).cast("int"), F.lit(0)))
+    deps = months.groupBy("dep").agg(
+        F.sum("n").alias("n"), F.sum(F.col("inner") + F.col("turn")).alias("transitions"), F.min("start").alias("start"), F.max("end").alias("end"), F.max_by("last", "month").alias("last"),
+        F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("month", "events"))), lambda x: x["events"])).alias("events"), *[F.sum(c).alias(c) for c in ("n_decision", "n_routine", "n_unknown")],
     ).where("n >= 2 AND transitions >= 2")
     t, dep = F.col("transitions"), F.col("dep")
     cycles = F.ceil(t / 2)

@@ -215,6 +215,21 @@ def signal_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(stability.detect(*_history(spark, sf_dir)), shift="string", recent_30d="long", previous_30d="long", older_30d="long", ratio="double")
 
 
+def _stability_sql(days: int) -> str:
+    """The same over windows of other lengths."""
+    sql = STABILITY_SQL
+    for k in (3, 2, 1):
+        sql = sql.replace(f"INTERVAL {30 * k} DAY", f"INTERVAL '{days * k}' DAY")
+    return sql
+
+
+@query(with_base(_stability_sql(4), f"SELECT * EXCLUDE (s, e), {ISO.format('s')} AS start_at, {ISO.format('e')} AS end_at FROM st"))
+def signal_stability_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shifts from one four days to the next, of which there are many."""
+    rows, as_of = _history(spark, sf_dir)
+    return flat(stability.detect(rows, as_of, SignalsConfig(stability_shift_window_days=4)), shift="string", recent_30d="long", previous_30d="long", older_30d="long", ratio="double")
+
+
 FIX_SQL = f"""{CLASSES_SQL},
 fx_pairs AS (SELECT DISTINCT a.sha AS lead, a.ts AS lts, b.sha AS follow, b.ts AS fts FROM diffs a JOIN diffs b ON a.file_path = b.file_path AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 7 DAY WHERE a.commit_type = 'feat' AND b.commit_type = 'fix'),
 fx_members AS (SELECT lead, lead AS sha FROM fx_pairs UNION SELECT lead, follow FROM fx_pairs),
