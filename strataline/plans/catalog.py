@@ -131,7 +131,7 @@ def _files(spark: SparkSession, sf_dir: str) -> tuple:
     return spark.sparkContext.applicationId, *(tuple(sorted(X.read(spark, sf_dir, t).inputFiles())) for t in ("orders", "lineitem", "part", "customer"))
 
 
-def _history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
+def built_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
     """The history as a table, as the engine keeps it, and its newest instant as the clock; built once for the same files."""
     key = _files(spark, sf_dir)
     if key not in _BUILT:
@@ -152,12 +152,12 @@ churn AS (SELECT left(sha256('churn_hotspot' || file_path), 16) AS id, CASE WHEN
 
 @query(with_base(CHURN_SQL, f"SELECT * EXCLUDE (s, e), {ISO.format('s')} AS start_at, {ISO.format('e')} AS end_at FROM churn"))
 def signal_churn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(churn.detect(*_history(spark, sf_dir)), file="string", count="long", sigma="double", mean="double", trend="string", recent_30d="long", previous_30d="long")
+    return flat(churn.detect(*built_history(spark, sf_dir)), file="string", count="long", sigma="double", mean="double", trend="string", recent_30d="long", previous_30d="long")
 
 
 @query(with_base(CHURN_SQL, "SELECT trend, count(*) AS n, sum(r)::BIGINT AS recent, sum(p)::BIGINT AS previous FROM churn_hot GROUP BY trend"))
 def signal_churn_trend(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return churn.churn_hotspots(*_history(spark, sf_dir)).groupBy("trend").agg(F.count("*").alias("n"), F.sum("recent_30d").alias("recent"), F.sum("previous_30d").alias("previous"))
+    return churn.churn_hotspots(*built_history(spark, sf_dir)).groupBy("trend").agg(F.count("*").alias("n"), F.sum("recent_30d").alias("recent"), F.sum("previous_30d").alias("previous"))
 
 
 def _owner_sql(key: str, least: int, ident: str, scope: str, name: str = "own", percent: int = 30, classes: str = CLASSES_SQL + ",") -> str:
@@ -177,18 +177,18 @@ OWN_FIELDS = dict(primary_author="string", percentage="long", total_commits="lon
 
 @query(with_base(_owner_sql("file_path", 3, "key", "regexp_replace(key, '/[^/]*$', '')"), OWNED))
 def signal_ownership_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(ownership.detect_files(*_history(spark, sf_dir)), **OWN_FIELDS)
+    return flat(ownership.detect_files(*built_history(spark, sf_dir)), **OWN_FIELDS)
 
 
 @query(with_base(_owner_sql("dir", 5, "key || '/'", "key"), OWNED))
 def signal_ownership_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(ownership.detect_directories(*_history(spark, sf_dir)), **OWN_FIELDS)
+    return flat(ownership.detect_directories(*built_history(spark, sf_dir)), **OWN_FIELDS)
 
 
 @query(with_base(_owner_sql("dir", 5, "key || '/'", "key", percent=20), OWNED))
 def signal_ownership_dir_fifth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Directories with an author of a fifth of the changes at least: the supplied authors share directories evenly."""
-    rows, as_of = _history(spark, sf_dir)
+    rows, as_of = built_history(spark, sf_dir)
     return flat(ownership.detect_directories(rows, as_of, SignalsConfig(ownership_min_percent=20)), **OWN_FIELDS)
 
 
@@ -212,7 +212,7 @@ st AS (SELECT left(sha256('stability_shift' || d), 16) AS id, CASE shift WHEN 'd
 
 @query(with_base(STABILITY_SQL, f"SELECT * EXCLUDE (s, e), {ISO.format('s')} AS start_at, {ISO.format('e')} AS end_at FROM st"))
 def signal_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(stability.detect(*_history(spark, sf_dir)), shift="string", recent_30d="long", previous_30d="long", older_30d="long", ratio="double")
+    return flat(stability.detect(*built_history(spark, sf_dir)), shift="string", recent_30d="long", previous_30d="long", older_30d="long", ratio="double")
 
 
 def _stability_sql(days: int) -> str:
@@ -226,7 +226,7 @@ def _stability_sql(days: int) -> str:
 @query(with_base(_stability_sql(4), f"SELECT * EXCLUDE (s, e), {ISO.format('s')} AS start_at, {ISO.format('e')} AS end_at FROM st"))
 def signal_stability_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shifts from one four days to the next, of which there are many."""
-    rows, as_of = _history(spark, sf_dir)
+    rows, as_of = built_history(spark, sf_dir)
     return flat(stability.detect(rows, as_of, SignalsConfig(stability_shift_window_days=4)), shift="string", recent_30d="long", previous_30d="long", older_30d="long", ratio="double")
 
 
@@ -242,7 +242,7 @@ fx AS (SELECT left(sha256('fix_chain' || lead), 16) AS id, CASE WHEN n >= 3 THEN
 
 @query(with_base(FIX_SQL, f"SELECT * EXCLUDE (s, e, files), files AS n_files, {ISO.format('s')} AS start_at, {ISO.format('e')} AS end_at FROM fx"))
 def signal_fix_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = fix_chain.detect(*_history(spark, sf_dir))
+    found = fix_chain.detect(*built_history(spark, sf_dir))
     return flat(found, feature_sha="string", fix_count="long", day_span="long").join(found.select("id", F.size("affected_files").cast("long").alias("n_files")), "id")
 
 
@@ -258,7 +258,7 @@ bk_dom AS (SELECT lead, {COUNTS} FROM bk_members JOIN classes USING (sha) GROUP
 @query(with_base(BREAKING_SQL, f"""SELECT left(sha256('breaking_change' || lead), 16) AS id, 'warning' AS severity, round(least(0.95, 0.6 + authors * 0.1), 4)::DOUBLE AS confidence, dir AS directory_scope, n + 1 AS n_shas, {DOMINANT} AS dominant_decision_class,
        lead AS trigger_sha, authors AS author_count, n AS fix_count, files AS affected_files, {ISO.format('s')} AS start_at, {ISO.format('e')} AS end_at FROM bk_hit JOIN bk_files USING (lead) JOIN bk_dom USING (lead)"""))
 def signal_breaking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flat(breaking.detect(*_history(spark, sf_dir)), trigger_sha="string", author_count="long", fix_count="long", affected_files="long")
+    return flat(breaking.detect(*built_history(spark, sf_dir)), trigger_sha="string", author_count="long", fix_count="long", affected_files="long")
 
 
 REVERT_SQL = f"""{CLASSES_SQL},
@@ -275,7 +275,7 @@ rv AS (SELECT left(sha256('revert_pair' || CASE WHEN original IS NOT NULL THEN o
 
 
 def _reverts(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
-    rows, as_of = _history(spark, sf_dir)
+    rows, as_of = built_history(spark, sf_dir)
     found = revert.detect(rows, as_of)
     out = found.select("id", F.round("confidence", 4).alias("confidence"), "directory_scope", F.size("affected_files").cast("long").alias("files"), meta("revert_sha", "string"), meta("original_sha", "string"), meta("time_to_revert_days", "long"))
     return out.join(revert.matches(rows).where(F.col("matched_by") == how).select(F.col("sha").alias("revert_sha")), "revert_sha", "left_semi")
@@ -350,12 +350,12 @@ SHARED = SignalsConfig(ownership_min_percent=20)
 _FOUND: dict[tuple, DataFrame] = {}
 
 
-def _every(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Column]:
+def built_signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Column]:
     """The signals of all seven detectors as a table, found once for the same files, with the history and its clock.
 
     Dependency cycles come from the dependency diffs, all others from the history.
     """
-    rows, as_of = _history(spark, sf_dir)
+    rows, as_of = built_history(spark, sf_dir)
     key = _files(spark, sf_dir)
     if key not in _FOUND:
         deps = X.dependency_history(spark, sf_dir)
@@ -369,31 +369,31 @@ def _every(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Colu
 def stats_signal_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataline.sources.store import signal_type_counts
 
-    return signal_type_counts(_every(spark, sf_dir)[0])
+    return signal_type_counts(built_signals(spark, sf_dir)[0])
 
 
 @query(with_base(EVERY_SQL, "SELECT id, type, directory_scope FROM every"))
 def signals_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _every(spark, sf_dir)[0].select("id", "type", "directory_scope")
+    return built_signals(spark, sf_dir)[0].select("id", "type", "directory_scope")
 
 
 @query(with_base(EVERY_SQL, "SELECT id, type FROM every WHERE directory_scope IN ('src/brand_1/economy', '.')"))
 def signals_by_dir(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataline.sources.store import signals_in_directory
 
-    return signals_in_directory(_every(spark, sf_dir)[0], "src/brand_1/economy").select("id", "type")
+    return signals_in_directory(built_signals(spark, sf_dir)[0], "src/brand_1/economy").select("id", "type")
 
 
 @query(with_base(EVERY_SQL, f"SELECT id, type, severity, directory_scope, dominant_decision_class, {ISO.format('e')} AS end_at, summary FROM every"))
 def signals_of_all_detectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _every(spark, sf_dir)[0].select("id", "type", "severity", "directory_scope", "dominant_decision_class", C.iso(F.col("end")).alias("end_at"), "summary")
+    return built_signals(spark, sf_dir)[0].select("id", "type", "severity", "directory_scope", "dominant_decision_class", C.iso(F.col("end")).alias("end_at"), "summary")
 
 
 @query(with_base(EVERY_SQL, "SELECT type, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, type) AS place FROM every GROUP BY type"))
 def signal_types_by_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataline.sources.store import signal_type_counts
 
-    return _placed(signal_type_counts(_every(spark, sf_dir)[0]), F.desc("n"), "type")  # one row a type
+    return _placed(signal_type_counts(built_signals(spark, sf_dir)[0]), F.desc("n"), "type")  # one row a type
 
 
 def _placed(ordered: DataFrame, *by) -> DataFrame:
@@ -406,13 +406,13 @@ def _placed(ordered: DataFrame, *by) -> DataFrame:
 @query(with_base(CHURN_SQL, "SELECT file, sigma, row_number() OVER (ORDER BY sigma DESC, file) AS place FROM churn QUALIFY place <= 50"))
 def churn_by_sigma(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report of the 50 files that deviate most."""
-    top = churn.by_sigma(churn.detect(*_history(spark, sf_dir))).limit(50).select("file", meta("sigma", "double"))
+    top = churn.by_sigma(churn.detect(*built_history(spark, sf_dir))).limit(50).select("file", meta("sigma", "double"))
     return _placed(top, F.desc("sigma"), "file")
 
 
 @query(with_base(EVERY_SQL, "SELECT id, round(pow(0.5::DOUBLE, date_diff('second', e, as_of) / 86400.0::DOUBLE / CASE WHEN type IN ('revert_pair', 'breaking_change') THEN 180 ELSE 90 END) * CASE dominant_decision_class WHEN 'decision' THEN 1.5 WHEN 'routine' THEN 0.5 ELSE 1.0 END::DOUBLE, 6) AS relevance FROM every, clock"))
 def signal_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, _, as_of = _every(spark, sf_dir)
+    found, _, as_of = built_signals(spark, sf_dir)
     return found.select("id", F.round(W.relevance(as_of), 6).alias("relevance"))
 
 
@@ -420,7 +420,7 @@ def signal_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 def signals_of_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataline.sources.store import signals_of_type
 
-    found = _every(spark, sf_dir)[0]
+    found = built_signals(spark, sf_dir)[0]
     return signals_of_type(found, "breaking_change").unionByName(signals_of_type(found, "adoption_cycle")).select("id", "type")
 
 
@@ -429,7 +429,7 @@ def signals_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The incremental detectors over a table of all signals: their types are replaced, directories of a fifth go."""
     from strataline.sources.store import replaced_types
 
-    found, rows, as_of = _every(spark, sf_dir)
+    found, rows, as_of = built_signals(spark, sf_dir)
     stale = found.withColumn("id", F.when(F.col("type").isin(*S.INCREMENTAL_TYPES), F.concat(F.lit("old"), "id")).otherwise(F.col("id")))
     return replaced_types(stale, S.detect(rows, as_of, names=S.INCREMENTAL), list(S.INCREMENTAL_TYPES)).select("id", "type")
 
@@ -438,7 +438,7 @@ def signals_incremental(spark: SparkSession, sf_dir: str) -> DataFrame:
 def recent_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataline.sources.gitlog import recent_paths
 
-    return recent_paths(*_history(spark, sf_dir))
+    return recent_paths(*built_history(spark, sf_dir))
 
 
 # --- profiles, warnings, assessment ---------------------------------------------------------------
@@ -463,7 +463,7 @@ profile AS (SELECT path, CASE WHEN pct >= 30 THEN author END AS owner, CASE WHEN
 
 
 def _profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, rows, _ = _every(spark, sf_dir)
+    found, rows, _ = built_signals(spark, sf_dir)
     return P.file_profiles(rows, found)
 
 
@@ -512,7 +512,7 @@ ASSESSED = " WHERE " + " OR ".join(f"starts_with(path, '{p.rpartition('/')[0]}/'
 def assess(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataline.plans.assess import assess as run
 
-    found, rows, as_of = _every(spark, sf_dir)
+    found, rows, as_of = built_signals(spark, sf_dir)
     return _flat_profiles(run(P.file_profiles(rows, found), found, _asked(spark), as_of).file_profiles)
 
 
@@ -520,7 +520,7 @@ def assess(spark: SparkSession, sf_dir: str) -> DataFrame:
 def assess_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     from strataline.plans.assess import signals_for
 
-    return signals_for(_every(spark, sf_dir)[0], _asked(spark)).select("id")
+    return signals_for(built_signals(spark, sf_dir)[0], _asked(spark)).select("id")
 
 
 @query(with_base(PROFILE_SQL, "SELECT owner AS author, path, owner_percentage AS percentage FROM profile WHERE owner IS NOT NULL AND (" + ASSESSED.removeprefix(" WHERE ") + ")"))
@@ -551,7 +551,7 @@ warned AS (
 @query(with_base(PROFILE_SQL + _warned_sql("true", ""), "SELECT severity, category, CASE severity WHEN 'warning' THEN 0 WHEN 'caution' THEN 1 ELSE 2 END AS rank, message FROM warned"))
 def warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every warning before a refactoring: all profiles and all signals."""
-    found, rows, as_of = _every(spark, sf_dir)
+    found, rows, as_of = built_signals(spark, sf_dir)
     return W.warnings(P.file_profiles(rows, found), found, as_of, "refactor").select("severity", "category", "rank", "message")
 
 
@@ -560,7 +560,7 @@ def assess_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All five signal rules and three profile rules for two files before a refactoring, in reading order."""
     from strataline.plans.assess import assess as run
 
-    found, rows, as_of = _every(spark, sf_dir)
+    found, rows, as_of = built_signals(spark, sf_dir)
     told = run(P.file_profiles(rows, found), found, _asked(spark), as_of, "refactor").warnings
     return _placed(told, "rank", "emission", "message").select("severity", "category", "message", "place")
 
@@ -702,7 +702,7 @@ def signals_replace_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stale churn signals are replaced, and ownership ends up empty."""
     from strataline.sources.store import replaced_types
 
-    found, _, _ = _every(spark, sf_dir)
+    found, _, _ = built_signals(spark, sf_dir)
     old = found.withColumn("id", F.when(F.col("type") == "churn_hotspot", F.concat(F.lit("old"), F.col("id"))).otherwise(F.col("id")))
     return replaced_types(old, found.where("type = 'churn_hotspot'"), ["churn_hotspot", "ownership"]).select("id", "type")
 
