@@ -15,7 +15,7 @@ from strataline.operators.signals import adoption, breaking, churn, fix_chain, o
 from strataline.operators.signals import pipeline as S
 from strataline.schema import GitConfig, SignalsConfig
 from strataline.sources import fixtures as X
-from strataline.sources.scratch import materialized
+from strataline.sources.scratch import is_there, materialized
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -134,7 +134,7 @@ def _files(spark: SparkSession, sf_dir: str) -> tuple:
 def built_history(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
     """The history as a table, as the engine keeps it, and its newest instant as the clock; built once for the same files."""
     key = _files(spark, sf_dir)
-    if key not in _BUILT:
+    if key not in _BUILT or not is_there(_BUILT[key][0]):
         rows = materialized(X.history(spark, sf_dir), "history", ("chunk_type",))
         _BUILT[key] = rows, H.latest(rows.where("chunk_type = 'commit_summary'"))
     return _BUILT[key]
@@ -357,7 +357,7 @@ def built_signals(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     """
     rows, as_of = built_history(spark, sf_dir)
     key = _files(spark, sf_dir)
-    if key not in _FOUND:
+    if key not in _FOUND or not is_there(_FOUND[key]):
         deps = X.dependency_history(spark, sf_dir)
         found = S.detect(rows, as_of, names=[n for n in S.DETECTORS if n not in ("ownership", "adoption")])
         found = found.unionByName(ownership.detect_files(rows, as_of)).unionByName(ownership.detect_directories(rows, as_of, SHARED)).unionByName(S.detect(deps, as_of, names=["adoption"]))

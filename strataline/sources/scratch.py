@@ -24,3 +24,10 @@ def materialized(df: DataFrame, name: str, partition_by: tuple[str, ...] = ()) -
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def is_there(df: DataFrame) -> bool:
+    """Whether the files of a table that was read are still where they were: the shared folder may have been cleared."""
+    jvm, conf = df.sparkSession.sparkContext._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in df.inputFiles()]
+    return all(p.getFileSystem(conf).exists(p) for p in paths)
