@@ -31,7 +31,9 @@ SAMPLE_PER_LABEL = 500
 WEIGHTS = 1 << 18
 #: A seed is in at least SEED_ROWS toxic documents; of all words that are, FALSE_SEEDS at most are expected to pass by chance.
 SEED_ROWS, FALSE_SEEDS = 6, 0.01
-STEPS, RATE, DECAY = 80, 0.3, 1e-4
+#: Steps at least, rounds over all documents at least, and tokens in a step.
+STEPS, ROUNDS, BATCH_TOKENS = 80, 10, 40_000
+RATE, DECAY = 0.3, 1e-4
 BLOCK = 64
 SLICE_BYTES = 512 << 10
 _WORD = np.zeros(256, bool)
@@ -257,17 +259,25 @@ def fit_toxicity(body: np.ndarray, offsets: np.ndarray, toxic: np.ndarray, langu
 
 
 def _maximise(model: ToxicityModel, features: np.ndarray, y: np.ndarray, first: np.ndarray) -> None:
-    """Adaptive-step gradient ascent of the conditional likelihood of whole documents' labels; ``first`` begins documents."""
-    documents = first.sum()
+    """Adaptive-step gradient ascent of the conditional likelihood of whole documents' labels; ``first`` begins documents.
+
+    A step takes a batch of whole documents of about BATCH_TOKENS tokens; every document is in one batch of each round.
+    """
+    document = np.cumsum(first) - 1
+    parts = max(1, len(y) // BATCH_TOKENS)
+    batches = []
+    for k in range(min(parts, document[-1] + 1)):
+        rows = np.flatnonzero(document % parts == k)
+        inner = ~first[rows][1:]
+        y0, y1 = y[rows][:-1][inner], y[rows][1:][inner]
+        seen = np.array([[(~y0 & ~y1).sum(), (~y0 & y1).sum()], [(y0 & ~y1).sum(), (y0 & y1).sum()]], float)
+        batches.append((np.asfortranarray(features[rows]), y[rows], first[rows], inner, seen))
     params = [model.weights, model.transition, np.array([model.begin])]
     moment = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
-    inner = ~first[1:]
-    y0, y1 = y[:-1][inner], y[1:][inner]
-    seen = np.array([[(~y0 & ~y1).sum(), (~y0 & y1).sum()], [(y0 & ~y1).sum(), (y0 & y1).sum()]], float)
-    for k in range(1, STEPS + 1):
-        grads = [g / documents for g in _gradients(model, features, y, first, inner, seen)]
-        for param, grad, (one, two) in zip(params, grads, moment, strict=True):
-            grad = grad - DECAY * param
+    for k in range(1, max(STEPS, ROUNDS * len(batches)) + 1):
+        batch = batches[k % len(batches)]
+        for param, grad, (one, two) in zip(params, _gradients(model, *batch), moment, strict=True):
+            grad = grad / batch[2].sum() - DECAY * param
             one += 0.1 * (grad - one)
             two += 0.01 * (grad * grad - two)
             param += RATE * (one / (1 - 0.9**k)) / (np.sqrt(two / (1 - 0.99**k)) + 1e-4)
