@@ -8,6 +8,7 @@ from strataline.operators import profiles as P
 from strataline.operators import warnings as W
 from strataline.operators.signals import adoption, breaking, churn, fix_chain, ownership, revert, stability
 from strataline.operators.signals import pipeline as S
+from strataline.schema import SIGNAL, SignalsConfig
 
 
 
@@ -156,3 +157,51 @@ def test_profiles_and_warnings(spark):
     assert sum(r["category"] == "pattern" for r in rows) == 2
     old = clock(NOW + 2000 * DAY)
     assert not [r for r in W.warnings(P.file_profiles(h, signals), signals, old).collect() if r["category"] == "pattern"]
+
+
+def test_breaking_changes_against_brute_force(spark):
+    import random
+
+    rng = random.Random(7)
+    rows, told, files = [], {}, {}
+    for i in range(160):
+        sha, author, ts = f"c{i:03d}", rng.choice(["A", "B", "C", None]), NOW + DAY * rng.randrange(0, 40) / 4
+        kind = rng.choice(["fix", "feat", "docs", None])
+        paths = [rng.choice(["", "a/", "b/", "b/c/"]) + f"f{rng.randrange(6)}.ts" for _ in range(rng.randrange(0, 5))]  # repeated ones too
+        rows.append(summary(sha, author=author, ts=ts, commit_type=kind, subject=f"s{i}", decision_class=rng.choice(["decision", "routine", "unknown"])))
+        rows += [diff(sha, p, author=author, ts=ts, pos=k) for k, p in enumerate(paths)]
+        told[sha], files[sha] = (author, ts, kind, i), paths
+    dirs = {s: {p.rpartition("/")[0] or "." for p in f} for s, f in files.items()}
+    want = {}
+    for s, (author, ts, kind, _) in told.items():
+        after = [x for x, (a, t, k, _) in told.items() if kind != "fix" and k == "fix" and ts < t <= ts + 2 * DAY and None not in (a, author) and a != author and dirs[s] & dirs[x]]
+        if len({told[x][0] for x in after}) >= 2:
+            after.sort(key=lambda x: (told[x][1], told[x][3], x))
+            want[s] = (len({told[x][0] for x in after}), len(after), len({p for x in [s, *after] for p in files[x]}), files[s][0].rpartition("/")[0] or ".", [s, *after], max(told[x][1] for x in after))
+    h = history(spark, rows)
+    for config in (SignalsConfig(), SignalsConfig(list_members=False)):
+        found = breaking.detect(h, clock(), config)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()  # pairs are never rows
+        got = {}
+        for r in found.collect():
+            m = json.loads(r["metadata"])
+            got[m["trigger_sha"]] = (m["author_count"], m["fix_count"], m["affected_files"], r["directory_scope"], r["contributing_shas"], r["end"])
+            assert ("fix_shas" in m) == config.list_members
+        assert len(want) > 10 and got == {k: v if config.list_members else (*v[:4], None, v[5]) for k, v in want.items()}
+    few, breaking.CELLS = breaking.CELLS, 50  # some leads at a time
+    try:
+        assert {json.loads(r["metadata"])["trigger_sha"]: tuple(r["contributing_shas"]) for r in breaking.detect(h, clock()).collect()} == {k: tuple(v[4]) for k, v in want.items()}
+    finally:
+        breaking.CELLS = few
+
+
+def test_profiles_count_signals_without_gathering_them(spark):
+    h = history(spark, [diff(f"d{i}", p) for i, p in enumerate(["a/x.ts", "a/x.ts", "a/b/y.ts", "a/b/y.ts", "r.ts", "r.ts"])])
+    given = [("1", "a", None), ("2", "a/b", None), ("2", "a", None), ("3", ".", "r.ts"), ("4", ".", "a/x.ts"), ("4", "a", None), ("5", "a/b", "a/b/y.ts"), ("6", "z", "a/x.ts"), ("6", "z", "a/x.ts")]
+    base = {f.name: None for f in SIGNAL} | {"type": "ownership"}
+    signals = spark.createDataFrame([tuple((base | {"id": i, "directory_scope": d, "file": f})[x.name] for x in SIGNAL) for i, d, f in given], SIGNAL)
+    counted = P.counted_profiles(h, signals)
+    want = {"a/x.ts": ["1", "2", "4", "6"], "a/b/y.ts": ["1", "2", "4", "5"], "r.ts": ["3"]}
+    assert {r["path"]: r["active_signal_ids"] for r in P.file_profiles(h, signals).collect()} == want
+    assert {r["path"]: r["n_active"] for r in counted.collect()} == {k: len(v) for k, v in want.items()}
+    assert "active_signal_ids" not in counted.columns
