@@ -1,5 +1,7 @@
 """Chunks of long files: work in proportion to their length."""
 
+import ast
+
 import pytest
 
 from strataline.operators.chunkers import code as K
@@ -32,3 +34,20 @@ def test_a_files_imports_are_read_once(spark, extension):
 def test_null_paths_and_texts_give_nothing_and_empty_ones_a_chunk(spark):
     rows = K.chunk_files(spark.createDataFrame([("a.ts", ""), (None, "x"), ("b.py", None), ("c.txt", "x")], "path string, content string")).collect()
     assert [(r["file_path"], r["line_end"]) for r in rows] == [("a.ts", 1)]
+
+
+def test_python_too_nested_for_the_parser_is_one_chunk(spark):
+    content = "\n" * 60 + "x = " + "-" * 20_000 + "1\n"
+    with pytest.raises(MemoryError):
+        ast.parse(content)
+    (row,) = K.chunk_files(spark.createDataFrame([("a.py", content)], "path string, content string")).collect()
+    assert row["chunk_type"] == "other" and row["line_end"] == 62 and row["content"].endswith(content)
+
+
+def test_a_lack_of_memory_is_not_hidden(monkeypatch):
+    def full(_):
+        raise MemoryError
+
+    monkeypatch.setattr(K.ast, "parse", full)
+    with pytest.raises(MemoryError):
+        K.PythonPlugin().chunks("a.py", "\n" * 60)
