@@ -32,6 +32,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strataline.llm import common
 from strataline.llm.common import connected_components, looked_up, maybe_broadcast, mix64, pieces_of, prepare, quoted, text_buffers, text_of, written
 
 NGRAM = 5
@@ -47,6 +48,8 @@ HEAT_SLOTS = 1 << 20
 SLICE_BYTES = 1 << 20
 #: Bits of the dense parity sketch that rejects pairs before sets are intersected.
 DENSE_BITS = 512
+#: Bytes of a row that says which pair of blocks wants a text, and passes over the texts at most: in each, the wanted rows are small enough to be broadcast.
+WANTED_BYTES, PASSES = 48, 64
 #: Columns of one n-gram incidence product.
 PRODUCT_COLUMNS = 4096
 
@@ -336,6 +339,28 @@ def _links(pa, out):
     return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out, strict=True)], ["a", "b", "links"])
 
 
+def passes_for(rows: int) -> int:
+    """In how many passes over the texts ``rows`` wanted rows are verified."""
+    return max(1, min(PASSES, -(-rows * WANTED_BYTES // max(1, common.BROADCAST_BYTES))))
+
+
+def _links_by_pass(docs: DataFrame, wanted: DataFrame, n: int, similar: int, salt: int) -> DataFrame:
+    """The verified links of all block pairs, some pairs at a time.
+
+    Texts are picked by a broadcast of the rows that want them, so those of other documents are never shuffled, and the texts
+    that one pass has dealt out are gone when the next begins. A pair's rows are all in one pass.
+    """
+    spark, rows, out = docs.sparkSession, wanted.count(), []
+    passes = passes_for(rows)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    for k in range(passes):
+        some = wanted if passes == 1 else wanted.where(F.pmod(F.xxhash64("one", "two"), F.lit(passes)) == k)
+        # texts move, not their n-grams: they are a fraction of the size
+        dealt = docs.join(maybe_broadcast(some, rows // passes, WANTED_BYTES), "doc").repartition(tasks, "one", "two").sortWithinPartitions("one", "two", "side")
+        out.append(written(_verified(dealt, n, similar, salt), "jaccard-links"))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = NGRAM, similar: int = SIMILAR) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, n_links.
 
@@ -363,10 +388,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     ends = pairs.select("one", "two", F.lit(0).alias("side"), F.col("one").alias("block")).unionByName(pairs.where("one <> two").select("one", "two", F.lit(1).alias("side"), F.col("two").alias("block")))
     wanted = written(place.join(named, "sid").join(ends, "block").select("one", "two", "side", "sid", "doc", "copies"), "jaccard-wanted")
-    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    # texts move, not their n-grams: they are a fraction of the size
-    dealt = docs.join(maybe_broadcast(wanted, wanted.count(), 48), "doc").repartition(tasks, "one", "two").sortWithinPartitions("one", "two", "side")
-    links = written(_verified(dealt, n, similar, salt), "jaccard-links")
+    links = _links_by_pass(docs, wanted, n, similar, salt)
 
     labels = connected_components(links.select("a", "b"))
     counts = links.groupBy("a").agg(F.sum("links").alias("links"))

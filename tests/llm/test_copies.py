@@ -139,6 +139,23 @@ def test_jaccard_join_does_not_depend_on_blocks(copies, size, monkeypatch):
     assert near(copies) == brute_near(copies.collect())
 
 
+def test_jaccard_join_by_passes(spark, copies, monkeypatch):
+    from strataline.llm import common
+
+    want, rows = near(copies), []
+    monkeypatch.setattr(J, "BLOCK_SETS", 2)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 40 * J.WANTED_BYTES)
+    made = J.maybe_broadcast
+
+    def seen(df, n, row_bytes):
+        assert common.small_enough(n, row_bytes)  # texts are never shuffled to find the wanted ones
+        rows.append(n)
+        return made(df, n, row_bytes)
+
+    monkeypatch.setattr(J, "maybe_broadcast", seen)
+    assert near(copies) == want and len(rows) > 1
+
+
 def test_jaccard_join_of_awkward_rows(awkward, nothing):
     got = J.jaccard_classes(awkward).collect()
     by = {r["doc_id"]: r for r in got}
