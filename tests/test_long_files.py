@@ -44,6 +44,14 @@ def test_python_too_nested_for_the_parser_is_one_chunk(spark):
     assert row["chunk_type"] == "other" and row["line_end"] == 62 and row["content"].endswith(content)
 
 
+def test_statistics_count_files_too_nested_for_the_parser(spark):
+    from strataline.sources.store import code_stats
+
+    content = "\n" * 60 + "x = " + "-" * 20_000 + "1\n"
+    files = spark.createDataFrame([("a.py", content), ("b.py", "x = 1\n")], "path string, content string")
+    assert tuple(code_stats(K.chunk_files(files)).first()) == (2, 2)
+
+
 def test_a_lack_of_memory_is_not_hidden(monkeypatch):
     def full(_):
         raise MemoryError
