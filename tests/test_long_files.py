@@ -52,6 +52,23 @@ def test_statistics_count_files_too_nested_for_the_parser(spark):
     assert tuple(code_stats(K.chunk_files(files)).first()) == (2, 2)
 
 
+def test_code_queries_take_odd_documents_as_sql_does(spark, tmp_path):
+    import duckdb
+
+    from strataline.plans import catalog
+
+    ids = [-(2**63), -5, -4, -3, -2, -1, None, 0, 1, 2, 3, 2**63 - 1]
+    texts = [None, "", "x", "a b\n" * 70, "\n" * 60 + "x = " + "-" * 20_000 + "1"]
+    rows = [(i, t, s) for i in ids for t in texts for s in ("src1", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("stats_code", "code_chunks", "package_names"):
+        want = con.sql(catalog.ORACLES[name]).fetchall()
+        got = [tuple(r) for r in catalog.QUERIES[name](spark, str(tmp_path)).collect()]
+        assert sorted(got, key=str) == sorted(want, key=str), name
+
+
 def test_a_lack_of_memory_is_not_hidden(monkeypatch):
     def full(_):
         raise MemoryError
