@@ -3,10 +3,12 @@
 import os
 
 import pytest
-from builders import diff, history, summary
+from builders import commits, diff, history, summary
 from pyspark.sql import functions as F
 
+from strataline.operators import history as H
 from strataline.plans import catalog
+from strataline.schema import RAW_COMMIT
 from strataline.sources import store as ST
 
 FOLDER = "/root/testdata/sf0.001"
@@ -72,3 +74,24 @@ def test_the_stored_history_is_the_same_in_slices(spark, monkeypatch):
     monkeypatch.setattr(ST.Store, "append_new", lambda self, *a: (seen.append(1), made(self, *a))[1])
     monkeypatch.setattr(catalog, "SLICE_ROWS", 2500)
     assert sorted(map(tuple, catalog.QUERIES["store_history"](spark, FOLDER).collect())) == want and len(seen) == 3
+
+
+def test_commits_are_read_and_shuffled_once_for_all_of_their_rows(spark, store, tmp_path):
+    commits(spark, [{"files": ["a.ts", "b.ts"]}, {"parents": ["p", "q"]}, {"sha": None}]).write.json(str(tmp_path / "in"))
+    raw = spark.read.schema(RAW_COMMIT).json(str(tmp_path / "in"))
+    rows = H.chunk_commits(raw)
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Scan json") == 1
+    assert sorted((r["chunk_type"], r["pos"], r["id"] is None) for r in rows.collect()) == [("commit_summary", 0, False), ("commit_summary", 0, False), ("commit_summary", 0, True), ("file_diff", 0, False), ("file_diff", 1, False), ("merge_group", 0, False)]
+    store.append_new("git_history", rows)
+    plans, insert = [], store.insert
+    store.insert = lambda table, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), insert(table, df))
+    store.append_new("git_history", H.chunk_commits(ST.dealt_out(raw, "git_history")).where("sha IS NOT NULL"), dealt=True)
+    assert plans[0].count("Exchange hashpartitioning(coalesce(sha") == 1 and plans[0].count("Exchange hashpartitioning(__near") <= 1 and store.read("git_history").count() == 6
+
+
+@supplied
+def test_the_stream_is_the_same_in_slices(spark, monkeypatch):
+    want = sorted(map(tuple, catalog.QUERIES["stream_ingest"](spark, FOLDER).collect()))
+    monkeypatch.setattr(catalog, "SLICE_ROWS", 1000)
+    monkeypatch.setattr(ST, "LARGE", 10)
+    assert sorted(map(tuple, catalog.QUERIES["stream_ingest"](spark, FOLDER).collect())) == want
