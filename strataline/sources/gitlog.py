@@ -6,6 +6,7 @@ import os
 import subprocess
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,15 +59,18 @@ def parse_records(records: DataFrame, config: GitConfig = GitConfig()) -> DataFr
     """value (one record: eight fields split by NUL, the last followed by numbers and patches) as raw commits."""
     fields = F.split("value", "\0", 8)
     last = F.get(fields, F.lit(7))
-    rest = F.regexp_replace(last, r"^[^\n]*\n?", "")
-    cut = F.regexp_instr(rest, F.lit(r"(?m)^diff --git "))
-    numbers = F.when(cut > 0, F.substring(rest, F.lit(1), cut - 1)).otherwise(rest)
-    patches = F.when(cut > 0, F.substring(rest, cut, F.length(rest))).otherwise(F.lit(""))
-    base = records.where(F.size(fields) >= 8).select(*[F.get(fields, F.lit(i)).alias(n) for i, n in enumerate(("sha", "author", "email", "date", "subject"))], F.trim(F.regexp_replace(F.get(fields, F.lit(5)), r"\s+$", "")).alias("body"), F.trim(F.get(fields, F.lit(6))).alias("up"), F.regexp_extract(last, r"^([^\n]*)", 1).alias("refs"), numbers.alias("numbers"), patches.alias("patches"), "__at")
+    # the text begins after the refs' line; a patch begins at a line's start
+    end, cut = F.instr(last, "\n"), F.instr(last, "\ndiff --git ")
+    numbers = F.when(end == 0, "").when(cut > 0, F.substring(last, end + 1, cut - end)).otherwise(F.substring(last, end + 1, F.length(last)))
+    patches = F.when(cut > 0, F.substring(last, cut + 1, F.length(last))).otherwise(F.lit(""))
+    base = records.where(F.length(F.substring_index("value", "\0", 7)) < F.length("value")).select(*[F.get(fields, F.lit(i)).alias(n) for i, n in enumerate(("sha", "author", "email", "date", "subject"))], F.trim(F.regexp_replace(F.get(fields, F.lit(5)), r"\s+$", "")).alias("body"), F.trim(F.get(fields, F.lit(6))).alias("up"), F.substring_index(last, "\n", 1).alias("refs"), numbers.alias("numbers"), patches.alias("patches"), "__at")
+    # named twice, so that the optimizer doesn't put the splitting of the whole record in each place where they are used
+    files = F.when(F.col("numbers") == "", numstat(F.lit(""))).otherwise(numstat(F.col("numbers")))
+    diffs = F.when(F.col("patches") == "", F.create_map().cast("map<string,string>")).otherwise(patches_by_file(F.col("patches"), config.max_diff_lines_per_file))
     return base.select(
         F.trim("sha").alias("sha"), "author", "email", "date", "subject", "body",
         F.when(F.col("up") == "", F.array().cast("array<string>")).otherwise(F.split("up", " ")).alias("parents"), "refs",
-        numstat(F.col("numbers")).alias("files"), patches_by_file(F.col("patches"), config.max_diff_lines_per_file).alias("diffs"), (-F.col("__at")).alias("seq"),
+        files.alias("files"), diffs.alias("diffs"), (-F.col("__at")).alias("seq"),
     )
 
 
@@ -75,27 +79,42 @@ def numstat(text: Column) -> Column:
     lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x.rlike(r"^(\d+|-)\t(\d+|-)\t.+"))
 
     def number(line: Column, k: int) -> Column:
-        return F.coalesce(F.try_to_number(F.regexp_extract(line, r"^(\d+|-)\t(\d+|-)\t", k), F.lit("9999999999")).cast("int"), F.lit(0))
+        return F.coalesce(F.get(F.split(line, "\t", 3), F.lit(k)).try_cast("int"), F.lit(0))
 
-    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^[^\t]*\t[^\t]*\t(.+)$", 1).alias("path"), number(x, 1).alias("additions"), number(x, 2).alias("deletions"), F.lit("M").alias("status")))
+    return F.transform(lines, lambda x: F.struct(F.regexp_extract(x, r"^[^\t]*\t[^\t]*\t(.+)$", 1).alias("path"), number(x, 0).alias("additions"), number(x, 1).alias("deletions"), F.lit("M").alias("status")))
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with the value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def patches_by_file(text: Column, max_lines: int) -> Column:
     """A patch text as a map of path to that file's patch, cut to max_lines with a note of what was cut."""
-    parts = F.filter(F.split(text, r"(?m)^diff --git a/"), lambda p: F.instr(p, "\n") > 0)
-
-    def entry(part: Column) -> Column:
-        head = F.regexp_extract(part, r"^([^\n]*)", 1)
-        path = F.when(F.instr(head, " b/") > 0, F.regexp_extract(head, r"^.*? b/(.*)$", 1)).otherwise(F.get(F.split(head, " "), F.lit(0)))
-        body = F.concat(F.lit("diff --git a/"), part)
-        lines = F.split(body, "\n")
-        short = F.concat(F.array_join(F.slice(lines, 1, max_lines), "\n"), F.lit("\n... truncated ("), (F.size(lines) - max_lines).cast("string"), F.lit(" more lines)"))
-        return F.struct(path.alias("key"), F.when(body.contains("Binary files"), "[binary file]").when(F.size(lines) > max_lines, short).otherwise(body).alias("value"))
-
-    # of entries for one path the last counts; the map keeps distinct keys
-    entries = F.transform(parts, entry)
-    last = F.filter(entries, lambda e, i: ~F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"]))
-    return F.map_from_entries(last)
+    header = "diff --git a/"
+
+    def bodies(parts: Column) -> Column:
+        # all parts but the last lost their line's end; the first is what stands before any header, after the end that was put there
+        line_end = lambda i: F.when(i + 1 < F.size(parts), "\n").otherwise("")
+        whole = lambda p, i: F.when((i == 0) & (p == ""), p).when(i == 0, F.concat(F.lit(header), F.substring(p, F.lit(2), F.length(p)), line_end(i))).otherwise(F.concat(F.lit(header), p, line_end(i)))
+        return F.filter(F.transform(parts, whole), lambda body: F.instr(body, "\n") > 0)
+
+    def entry(body: Column) -> Column:
+        first = F.substring_index(body, "\n", 1)
+        head = F.substring(first, F.lit(len(header) + 1), F.length(first))
+        path = _let(head, lambda h: F.when(F.instr(h, " b/") > 0, F.regexp_extract(h, r"^.*? b/(.*)$", 1)).otherwise(F.get(F.split(h, " "), F.lit(0))))
+        lines = F.octet_length(body) - F.octet_length(F.replace(body, F.lit("\n"), F.lit(""))) + 1
+        note = F.concat(F.lit("\n... truncated ("), (lines - max_lines).cast("string"), F.lit(" more lines)"))
+        short = _let(F.substring_index(body, "\n", max_lines), lambda cut: F.when(F.octet_length(cut) < F.octet_length(body), F.concat(cut, note)).otherwise(body))
+        return F.struct(path.alias("key"), F.when(body.contains("Binary files"), "[binary file]").otherwise(short).alias("value"))
+
+    def last(entries: Column) -> Column:
+        # of entries for one path the last counts; the map keeps distinct keys
+        again = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])
+        return F.when(F.size(F.array_distinct(F.transform(entries, lambda e: e["key"]))) == F.size(entries), entries).otherwise(F.filter(entries, lambda e, i: ~again(e, i)))
+
+    parts = F.split(F.concat(F.lit("\n"), text), f"\n{header}")
+    return F.map_from_entries(_let(F.transform(_let(parts, bodies), entry), last))
 
 
 def file_diff(repo: str, sha: str, path: str, max_lines: int = 200) -> str:
